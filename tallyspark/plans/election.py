@@ -143,13 +143,17 @@ def kept_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.split_review(scans(spark, sf_dir))[0]
 
 
-def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified marks of the scans that count."""
-    classified = ingest.classify_marks(measurements(spark, sf_dir))
-    return ingest.counted_marks(classified, scans(spark, sf_dir))
+_MARKS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str], Star] = {}
 
 
-_STORED: dict[tuple[str, str], Star] = {}
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified marks of the scans that count.  Only the list of rejected scans is kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MARKS:
+        classified = ingest.classify_marks(measurements(spark, sf_dir))
+        _MARKS[key] = ingest.counted_marks(classified, scans(spark, sf_dir))
+    return _MARKS[key]
 
 
 def results(spark: SparkSession, sf_dir: str) -> Star:
@@ -160,3 +164,19 @@ def results(spark: SparkSession, sf_dir: str) -> Star:
         save_results(ingest.build_star(scans(spark, sf_dir), measurements(spark, sf_dir)), path)
         _STORED[key] = load_results(spark, path, SEQ_TYPE)
     return _STORED[key]
+
+
+def box_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One indicator per part, with inch offsets that are exact binary fractions."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("candidate_id"),
+        F.lit(0.5).alias("content_left"),
+        F.lit(0.25).alias("content_top"),
+        (size / 8.0).alias("indicator_left"),
+        (F.col("p_retailprice") / 128.0).alias("indicator_top"),
+        (key % 9 / 64.0).alias("indicator_width"),
+        (size % 5 / 512.0).alias("indicator_height"),
+        (key % 4 / 4.0).alias("contest_left"),
+        (size % 3 / 2.0).alias("contest_width"),
+    )
