@@ -23,7 +23,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value: object) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "∅"
     if isinstance(value, (list, tuple)) or type(value).__name__ == "ndarray":
         return "[" + ",".join(_cell(v) for v in value) + "]"
