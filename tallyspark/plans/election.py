@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark import schema as S
+from tallyspark.functions import text
 from tallyspark.operators import ingest
 from tallyspark.operators.ingest import Star
 from tallyspark.session import new_folder
@@ -180,3 +181,187 @@ def box_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 4 / 4.0).alias("contest_left"),
         (size % 3 / 2.0).alias("contest_width"),
     )
+
+
+# --- stations ----------------------------------------------------------------
+
+
+def _station(star: Star, labels: tuple[int, ...], number: int) -> Star:
+    """The ballots of one station under its own ids.
+
+    Ids are moved by simple arithmetic, so that remapping them is real work.  The
+    second station lost one candidate row, whose facts cannot be mapped.
+    """
+    scale, shift = (1, 1) if number == 0 else (3, 5)
+
+    def local(column: str) -> Column:
+        return F.col(column) * scale + shift
+
+    ballot = F.regexp_extract("image_name", r"^b(\d+)_", 1).cast("bigint")
+    images = star.ballot_image.filter((ballot % 3).isin(*labels))
+    facts = star.vote_opportunity.join(images.select(F.col("id").alias("ballot_image_id")), "ballot_image_id", "left_semi")
+    candidates = star.candidate
+    if number == 1:
+        board = star.contest.filter("contest_title = 'Board'").select(F.col("id").alias("contest_id"))
+        lost = candidates.join(board, "contest_id", "left_semi").filter("candidate_name = 'Candidate 4'")
+        candidates = candidates.join(lost.select("id"), "id", "left_anti")
+    return Star(
+        star.barcode.withColumn("id", local("id")),
+        images.withColumns({"id": local("id"), "barcode_id": local("barcode_id")}),
+        star.contest.withColumn("id", local("id")),
+        candidates.withColumns({"id": local("id"), "contest_id": local("contest_id")}).select(*star.candidate.columns),
+        facts.withColumns(
+            {c: local(c) for c in ("ballot_image_id", "contest_id", "candidate_id_fk", "barcode_id")}
+        ).select(*star.vote_opportunity.columns),
+    )
+
+
+def stations(spark: SparkSession, sf_dir: str) -> list[tuple[str, Star]]:
+    """Two stations whose ballots overlap by a third."""
+    star = results(spark, sf_dir)
+    return [("A", _station(star, (0, 1), 0)), ("B", _station(star, (1, 2), 1))]
+
+
+# --- ground truth ------------------------------------------------------------
+
+
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the marks are said to be: line 7 is blank, one candidate is unknown, and
+    every mark on line 5 also names a candidate the ballots do not have."""
+    code = text.parse_barcode("barcode_data")
+    known = kept_scans(spark, sf_dir).select(
+        "image_id", "image_path",
+        F.concat_ws("|", *[code[f] for f in text.BARCODE_FIELDS[:5]]).alias("combo_id"),
+        code["region_id"].alias("precinct"), code["party_id"].alias("party"),
+    )
+    rows = marks(spark, sf_dir).select(
+        "image_id", "contest_title", "candidate_name", "marked", F.col("seq.l_linenumber").alias("line")
+    )
+    said = F.when(F.col("marked") & (F.col("line") != 7), "VOTED").otherwise("UNMARKED")
+    listed = rows.filter(~((F.col("contest_title") == "Board") & (F.col("candidate_name") == "Candidate 4"))).select(
+        "image_id", F.col("contest_title").alias("contest"), F.col("candidate_name").alias("candidate"), said.alias("counted_as")
+    )
+    extra = rows.filter("line = 5").select(
+        "image_id", F.col("contest_title").alias("contest"), F.lit("Candidate 9").alias("candidate"), said.alias("counted_as")
+    )
+    return listed.unionByName(extra).join(known, "image_id")
+
+
+# --- ballot design -----------------------------------------------------------
+
+# Fixed value: the order of voting methods in the view.
+METHODS = ("PLURALITY", "RANKED_CHOICE", "APPROVAL", "MEASURE")
+GROUP_BASE = 100
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("region_id"), F.col("n_name").alias("name"),
+        F.lit("SINGLE_PRECINCT").alias("region_type"), F.col("n_regionkey").cast("bigint").alias("jurisdiction_id"),
+    )
+    groups = table(spark, sf_dir, "region").select(
+        (F.col("r_regionkey") + GROUP_BASE).cast("bigint").alias("region_id"), F.col("r_name").alias("name"),
+        F.lit("PRECINCT_GROUP").alias("region_type"), F.col("r_regionkey").cast("bigint").alias("jurisdiction_id"),
+    )
+    return nations.unionByName(groups)
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(
+        (F.col("n_regionkey") + GROUP_BASE).cast("bigint").alias("group_id"),
+        F.col("n_nationkey").cast("bigint").alias("member_id"),
+    )
+
+
+def design_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    method = F.get(F.array(*[F.lit(m) for m in METHODS]), (key % 4).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        key.alias("contest_id"), F.col("p_name").alias("title"), F.col("p_size").alias("display_order"),
+        (key % 2 + 1).alias("election_id"), method.alias("voting_method"),
+        (F.col("p_size") % 7).alias("max_rank_choices"),
+        F.col("p_type").alias("preamble"), F.lit(None).cast("string").alias("postamble"),
+        F.col("p_brand").alias("grouping_label"), F.lit("base").alias("instructions"),
+    )
+
+
+def contest_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    direct, group = F.col("p_partkey") % 25, F.col("p_partkey") % 5 + GROUP_BASE
+    both = F.col("p_partkey") % 7 == 0
+    assigned = F.when(both, F.array(direct, group)).when(F.col("p_size") <= 25, F.array(direct)).otherwise(F.array(group))
+    return parts.select(F.col("p_partkey").alias("contest_id"), F.explode(assigned).alias("region_id"))
+
+
+def design_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").filter("p_partkey % 11 <> 0")
+    numbered = parts.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("p_size") % 4 + 1)))
+    return numbered.select(
+        (F.col("p_partkey") * 10 + F.col("n")).alias("candidate_id"), F.col("p_partkey").alias("contest_id"),
+        F.format_string("%s %d", "p_name", "n").alias("name"), F.col("n").alias("display_order"),
+        F.lit(None).cast("string").alias("explanatory_text"),
+    )
+
+
+def contest_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    title = F.when(key % 9 == 0, F.lit("  ")).otherwise(F.concat("p_name", F.lit(" (es)")))
+    return table(spark, sf_dir, "part").filter(key % 3 == 0).select(
+        key.alias("contest_id"), F.lit("es").alias("lang"), title.alias("title"),
+        F.when(key % 2 == 0, F.concat("p_type", F.lit(" (es)"))).alias("preamble"),
+        F.lit("fin").alias("postamble"), F.lit(None).cast("string").alias("grouping_label"),
+        F.when(key % 2 == 1, F.lit("vote")).alias("instructions"),
+    )
+
+
+def candidate_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("candidate_id")
+    return design_candidates(spark, sf_dir).filter(key % 3 == 0).select(
+        "candidate_id", F.lit("es").alias("lang"),
+        F.when(key % 2 == 0, F.concat("name", F.lit(" (es)"))).alias("name"),
+        F.lit("nota").alias("explanatory_text"),
+    )
+
+
+def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segment = F.col("c_mktsegment")
+    party = F.when(segment == "BUILDING", F.lit(None)).otherwise(F.length(segment) % 4 + 1).cast("bigint")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("combination_id"), F.col("c_nationkey").cast("bigint").alias("region_id"),
+        party.alias("party_id"), (F.col("c_custkey") % 2 + 1).alias("ballot_type_id"),
+        (F.col("c_custkey") % 3 + 1).alias("election_id"),
+    )
+
+
+def grouped_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combinations with every 11th wrongly placed on a group of precincts."""
+    wrong = F.when(F.col("combination_id") % 11 == 0, F.col("region_id") % 5 + GROUP_BASE).otherwise(F.col("region_id"))
+    return combinations(spark, sf_dir).withColumn("region_id", wrong)
+
+
+def print_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("log_id"), "user_id", (F.col("event_id") % 2000).alias("combination_id"),
+        F.col("ts").alias("printed_at"),
+    )
+
+
+def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed pages of eight contests each, one combination per precinct."""
+    key = F.col("contest_id")
+    page = F.expr("contest_id div 200")
+    return design_candidates(spark, sf_dir).select(
+        (key % 25).alias("combination_id"), (page + 1).cast("int").alias("page_number"),
+        F.lit(0.5).alias("content_left"), F.lit(0.5).alias("content_top"),
+        F.lit(7.5).alias("content_width"), F.lit(10.0).alias("content_height"),
+        F.expr("(contest_id div 25) % 8").cast("int").alias("contest_pos"),
+        "contest_id", F.concat(F.lit("Contest "), key.cast("string")).alias("contest_title"),
+        F.lit("PLURALITY").alias("contest_type"), F.lit(1).alias("max_votes"), F.lit(50.0).alias("percent_to_win"),
+        F.lit(0.5).alias("contest_left"), (F.expr("(contest_id div 25) % 8") * 1.25).alias("contest_top"),
+        F.lit(2.5).alias("contest_width"), F.lit(1.0).alias("contest_height"),
+        F.col("display_order").cast("int").alias("candidate_pos"), "candidate_id", F.col("name").alias("candidate_name"),
+        F.lit(False).alias("write_in"), F.lit(0.75).alias("indicator_left"),
+        (F.expr("(contest_id div 25) % 8") * 1.25 + F.col("display_order") * 0.1875).alias("indicator_top"),
+        F.lit(0.25).alias("indicator_width"), F.lit(0.125).alias("indicator_height"),
+        F.lit(S.DEFAULT_INDICATOR_STYLE).alias("indicator_style"),
+    )
