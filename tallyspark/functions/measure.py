@@ -42,7 +42,7 @@ def mm_to_points(c: Column) -> Column:
 
 
 def in_unit(inches: Column, unit: str) -> Column:
-    """Length in ``in`` or ``mm`` as text with four decimals."""
+    """Length in ``inches`` or ``mm`` as text with four decimals."""
     value = inches_to_mm(inches) if unit.lower() == "mm" else inches
     return F.format_string("%.4f", value)
 

@@ -246,7 +246,7 @@ def _box(prefix: str, unit: str) -> Column:
     return F.struct(*[measure.in_unit(F.col(f"{prefix}_{p}"), unit).alias(n) for p, n in zip(parts, _BOX)])
 
 
-def layout_report(positions: DataFrame, unit: str = "in", page: int | None = None) -> DataFrame:
+def layout_report(positions: DataFrame, unit: str = "inches", page: int | None = None) -> DataFrame:
     """Box report, one row per combination and page, contests and candidates nested.
 
     A row is one printed page, which bounds what is gathered: the boxes on a sheet.
@@ -294,7 +294,7 @@ def write_layout_json(report: DataFrame, path: str, mode: str = "overwrite") ->
     report.write.mode(mode).partitionBy("combinationId").json(path)
 
 
-def write_layout_xml(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_layout_xml(report: DataFrame, path: str, unit: str = "inches", mode: str = "overwrite") -> None:
     """The XML form: ids and settings as attributes, boxes as elements."""
     contests = F.transform(
         "contests",
@@ -317,4 +317,4 @@ def write_layout_xml(report: DataFrame, path: str, mode: str = "overwrite") -> N
         F.struct(contests.alias("contest")).alias("contests"),
     )
     (sides.write.mode(mode).partitionBy("combinationId").format("xml")
-     .option("rootTag", "ballotBoundingBoxReport").option("rowTag", "side").save(path))
+     .option("rootTag", f'ballotBoundingBoxReport unit="{unit.lower()}"').option("rowTag", "side").save(path))

@@ -365,3 +365,43 @@ def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.25).alias("indicator_width"), F.lit(0.125).alias("indicator_height"),
         F.lit(S.DEFAULT_INDICATOR_STYLE).alias("indicator_style"),
     )
+
+
+# --- pixels ------------------------------------------------------------------
+
+PAGE_SIDE = 32
+BARCODES = 8
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small rectified pages drawn by the line items of 64 orders each."""
+    spots = table(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey div 64").alias("image_id"),
+        (F.col("l_partkey") % PAGE_SIDE).cast("int").alias("x"), (F.col("l_suppkey") % PAGE_SIDE).cast("int").alias("y"),
+        (100 + 3 * F.col("l_quantity")).cast("int").alias("lum"),
+    )
+    darkest = spots.groupBy("image_id", "x", "y").agg(F.min("lum").alias("lum"))
+    return darkest.select(
+        "image_id", (F.col("image_id") % BARCODES).cast("string").alias("barcode"), F.col("image_id").alias("seq"), "x", "y", "lum"
+    )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages themselves, blank ones included."""
+    ids = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 64").alias("image_id")).distinct()
+    return ids.select("image_id", (F.col("image_id") % BARCODES).cast("string").alias("barcode"), F.col("image_id").alias("seq"))
+
+
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen boxes per barcode on a 4 x 4 grid, in all three styles."""
+    n = F.col("n")
+    grid = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % BARCODES).cast("string").alias("barcode"),
+        (F.expr("p_partkey div 8") % 16).cast("int").alias("n"),
+    ).distinct()
+    style = F.when(n % 3 == 0, "OVAL").when(n % 3 == 1, "ARROW").otherwise("CONNECT_DOTS")
+    return grid.select(
+        "barcode", n.cast("bigint").alias("box_id"), style.alias("style"), (n % 4 == 0).alias("write_in"),
+        (n % 4 * 8 + 1).cast("int").alias("left"), (F.expr("n div 4") * 8 + 1).cast("int").alias("top"),
+        F.lit(5).alias("width"), F.lit(4).alias("height"),
+    )
