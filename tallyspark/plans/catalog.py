@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import cell_queries, design_queries, ingest_queries, ranked_queries, report_queries
+from tallyspark.plans import cell_queries, design_queries, ingest_queries, ranked_queries, report_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (ingest_queries, report_queries, ranked_queries, design_queries, cell_queries)
+_MODULES = (ingest_queries, report_queries, ranked_queries, design_queries, cell_queries, stream_queries)
 
 
 def all_queries() -> dict[str, Query]:

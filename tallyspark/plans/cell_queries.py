@@ -96,6 +96,17 @@ novel AS MATERIALIZED (
                     AND f.y < t + h + CASE WHEN write_in THEN 0 ELSE 1 END)
 )"""
 
+_CLUSTERS = "WITH RECURSIVE " + _PIXELS.strip() + """,
+dk AS MATERIALIZED (SELECT image_id, x, y FROM px WHERE lum < 150),
+reach AS (
+  SELECT image_id, x, y, x AS rx, y AS ry FROM dk
+  UNION SELECT r.image_id, r.x, r.y, p.x, p.y FROM reach r JOIN dk p
+    ON p.image_id = r.image_id AND ((p.x = r.rx AND abs(p.y - r.ry) = 1) OR (p.y = r.ry AND abs(p.x - r.rx) = 1))
+),
+labelled AS (SELECT image_id, x, y, min(ry * 1000 + rx) AS label FROM reach GROUP BY 1, 2, 3)
+SELECT image_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS pixels
+FROM labelled GROUP BY image_id, label HAVING count(*) >= 8"""
+
 # --- scalar functions --------------------------------------------------------
 
 
@@ -178,7 +189,7 @@ def layouts_from_xml(spark: SparkSession, d: str) -> DataFrame:
 
 def resolved_layouts(spark: SparkSession, d: str) -> DataFrame:
     """Every scan's layout, from page files named by a part of the barcodes."""
-    known = election.kept_scans(spark, d).filter("ballot_no % 4 <> 0").select(
+    known = election.kept_scans(spark, d).filter("ballot_no % 25 % 4 <> 0").select(
         F.concat(F.lit("ballot_"), F.regexp_replace("barcode_data", r"\|", "_"), F.lit(".yaml")).alias("file_name"),
         F.lit(0).alias("side_pos"), "page_number").filter("file_name LIKE 'ballot_%_%_%_%_%_1.yaml'").distinct()
     pages = layouts.layout_pages(known)
@@ -212,7 +223,7 @@ _LAYOUT_FILES = """
 files AS MATERIALIZED (
   SELECT DISTINCT 'ballot_' || replace(barcode_data, '|', '_') || '.yaml' AS file_name, page_number,
          list_reduce(string_split(barcode_data, '|')[1:5], lambda a, b: a || '_' || b) AS layout_key
-  FROM kept WHERE ballot_no % 4 <> 0 AND barcode_data LIKE '%|%|%|%|%|1'
+  FROM kept WHERE ballot_no % 25 % 4 <> 0 AND barcode_data LIKE '%|%|%|%|%|1'
 ),
 asked AS (
   SELECT image_id, page_number, CASE WHEN len(string_split(barcode_data, '|')) >= 5
@@ -236,7 +247,7 @@ QUERIES = {
     "img3_ink_report": (ink_report, plain("""
         SELECT g.image_id, barcode, g.image_id AS seq, coalesce(n, 0) AS scribble_pixels, coalesce(n, 0) >= 5 AS scribble_flagged
         FROM pages_seen g LEFT JOIN (SELECT image_id, count(*) AS n FROM novel GROUP BY 1) USING (image_id)""", _PIXELS, _INK)),
-    "img4_ink_clusters": (ink_clusters, None),
+    "img4_ink_clusters": (ink_clusters, _CLUSTERS),
     "fn1_csv_escape": (escaped_csv, """
         SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[,"\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END) AS escaped,
                source FROM documents"""),
