@@ -53,21 +53,29 @@ def review_limit_reached(review: DataFrame, limit: int = S.DEFAULT_REVIEW_LIMIT)
     return limit > 0 and review.limit(limit).count() >= limit
 
 
-def dedupe_images(scans: DataFrame) -> DataFrame:
-    """First arrival of each path.
+def repeated_paths(scans: DataFrame) -> DataFrame:
+    """Paths that arrived more than once, with the first arrival.
 
-    A plain aggregate: copies of one path collapse on the map side, so a path that
-    makes up a large share of the scans does not gather in one task.
+    Copies collapse on the map side, so a path that makes up a large share of the
+    scans does not gather in one task.  The result is written: as a rule it is
+    small, and then the scans themselves are not shuffled to drop their copies.
     """
-    row = F.struct(*scans.columns)
-    first = scans.groupBy("image_path").agg(F.min_by(row, "image_id").alias("first"))
-    return first.select(*[F.col(f"first.{c}").alias(c) for c in scans.columns])
+    arrivals = scans.groupBy("image_path").agg(F.min("image_id").alias("first_id"), F.count("*").alias("n"))
+    return stage(arrivals.filter("n > 1").select("image_path", "first_id"), "repeated")
 
 
-def duplicate_scans(scans: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+def dedupe_images(scans: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """First arrival of each path."""
+    repeated = repeated_paths(scans) if repeated is None else repeated
+    first = F.col("first_id").isNull() | (F.col("image_id") == F.col("first_id"))
+    return scans.join(repeated, "image_path", "left").filter(first).select(*scans.columns)
+
+
+def duplicate_scans(scans: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Every later copy of a path that was already taken."""
-    kept = dedupe_images(scans) if kept is None else kept
-    return scans.join(kept.select("image_id"), "image_id", "left_anti").select("image_id", "image_path")
+    repeated = repeated_paths(scans) if repeated is None else repeated
+    later = scans.join(repeated, "image_path").filter(F.col("image_id") != F.col("first_id"))
+    return later.select("image_id", "image_path")
 
 
 def build_barcode_dim(scans: DataFrame) -> DataFrame:
@@ -207,28 +215,33 @@ def contest_ballots(marks: DataFrame) -> DataFrame:
     ``first`` holds the contest's settings as its first mark states them;
     ``choices`` the marked entries with how often each was marked.  Marks are
     counted per entry before they are gathered, so ``choices`` is bounded by the
-    entries printed on the ballot, not by the number of rows.
+    entries printed on the ballot, not by the number of rows.  The settings are
+    part of the counting key, which keeps that first and larger aggregate on plain
+    numbers.
     """
-    settings = F.struct(
-        "seq",
-        F.coalesce("contest_type", F.lit(S.DEFAULT_CONTEST_TYPE)).alias("contest_type"),
-        "contest_title",
-        "max_votes",
-        "percent_to_win",
-    )
+    settings = ("contest_type", "contest_title", "max_votes", "percent_to_win")
     marked = F.col("marked")
     entries = (
-        marks.withColumns({"contest_id": contest_key(), "candidate_key": F.coalesce("candidate_id", F.lit(-1))})
-        .groupBy("image_id", "contest_id", "candidate_key", "candidate_name")
+        marks.select(
+            "image_id",
+            contest_key().alias("contest_id"),
+            F.coalesce("candidate_id", F.lit(-1)).alias("candidate_key"),
+            "candidate_name",
+            F.coalesce("contest_type", F.lit(S.DEFAULT_CONTEST_TYPE)).alias("contest_type"),
+            *settings[1:],
+            "seq",
+            "marked",
+        )
+        .groupBy("image_id", "contest_id", "candidate_key", "candidate_name", *settings)
         .agg(
-            F.min(settings).alias("first"),
+            F.min("seq").alias("first_seq"),
             F.count_if(marked).alias("times"),
             F.min(F.when(marked, F.col("seq"))).alias("seq"),
         )
     )
     choice = F.struct("seq", "candidate_key", "candidate_name", "times")
     return entries.groupBy("image_id", "contest_id").agg(
-        F.min("first").alias("first"),
+        F.min(F.struct("first_seq", *settings)).alias("first"),
         F.collect_list(F.when(F.col("times") > 0, choice)).alias("choices"),
     )
 
@@ -323,34 +336,61 @@ def _named(marks: DataFrame) -> DataFrame:
     )
 
 
-def build_contest_dim(marks: DataFrame) -> DataFrame:
-    """Contests by title and type, with the settings of the first mark seen."""
-    seen = F.struct("image_id", "seq")
-    contests = _named(marks).groupBy("contest_title", "contest_type").agg(
-        F.min_by(F.struct("max_votes", "percent_to_win"), seen).alias("first")
+def dimension_variants(marks: DataFrame) -> DataFrame:
+    """Every distinct way a candidate's marks describe it and its contest.
+
+    One pass over the marks serves both dimensions.  The result is as small as the
+    ballot design and is written.
+    """
+    seen = (
+        _named(marks)
+        .groupBy("contest_title", "contest_type", "candidate_name", "max_votes", "percent_to_win",
+                 F.col("candidate_id").alias("ballot_candidate_id"), F.coalesce("write_in", F.lit(False)).alias("write_in"))
+        .agg(F.min("image_id").alias("first_image"))
     )
-    numbered = number_rows(contests, ["contest_title", "contest_type"], "id")
-    return numbered.select("id", "contest_title", "contest_type", "first.max_votes", "first.percent_to_win")
+    return stage(seen, "variants")
 
 
-def build_candidate_dim(marks: DataFrame, contests: DataFrame) -> DataFrame:
-    """Candidates by contest and name, with the ballot id and flag first seen."""
-    seen = F.struct("image_id", "seq")
-    names = _named(marks).groupBy("contest_title", "contest_type", "candidate_name").agg(
-        F.min_by(F.struct("candidate_id", "write_in"), seen).alias("first")
-    )
-    keyed = names.join(
-        contests.select(F.col("id").alias("contest_id"), "contest_title", "contest_type"),
-        ["contest_title", "contest_type"],
-    ).select("contest_id", "candidate_name", "first")
-    numbered = number_rows(keyed, ["contest_id", "candidate_name"], "id")
-    return numbered.select(
-        "id",
-        "contest_id",
-        "candidate_name",
-        F.col("first.candidate_id").alias("ballot_candidate_id"),
-        F.coalesce("first.write_in", F.lit(False)).alias("write_in"),
+def _first_described(variants: DataFrame, marks: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``values`` of the first mark with each key.
+
+    Where all marks of a key agree, any of them will do.  Where they differ, the
+    first mark lies on the earliest image of that key, and only the marks of those
+    images are looked at.
+    """
+    described = variants.groupBy(*keys).agg(
+        F.min("first_image").alias("first_image"), F.collect_set(F.struct(*values)).alias("seen")
     )
+    agreed = described.filter(F.size("seen") == 1).select(*keys, F.get("seen", 0).alias("first"))
+    disputed = stage(described.filter(F.size("seen") > 1).select(*keys, F.col("first_image").alias("image_id")), "disputed")
+    if not disputed.isEmpty():
+        rows = _named(marks).withColumn("ballot_candidate_id", F.col("candidate_id")).withColumn(
+            "write_in", F.coalesce("write_in", F.lit(False))
+        )
+        settled = rows.join(disputed, [*keys, "image_id"]).groupBy(*keys).agg(
+            F.min_by(F.struct(*values), "seq").alias("first")
+        )
+        agreed = agreed.unionByName(settled)
+    return agreed.select(*keys, *[F.col(f"first.{v}").alias(v) for v in values])
+
+
+def build_contest_dim(marks: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """Contests by title and type, with the settings of the first mark seen."""
+    variants = dimension_variants(marks) if variants is None else variants
+    keys = ["contest_title", "contest_type"]
+    contests = _first_described(variants, marks, keys, ["max_votes", "percent_to_win"])
+    return number_rows(contests, keys, "id").select("id", *keys, "max_votes", "percent_to_win")
+
+
+def build_candidate_dim(marks: DataFrame, contests: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """Candidates by contest and name, with the ballot id and flag first seen."""
+    variants = dimension_variants(marks) if variants is None else variants
+    keys = ["contest_title", "contest_type"]
+    values = ["ballot_candidate_id", "write_in"]
+    names = _first_described(variants, marks, [*keys, "candidate_name"], values)
+    keyed = names.join(contests.select(F.col("id").alias("contest_id"), *keys), keys)
+    numbered = number_rows(keyed.select("contest_id", "candidate_name", *values), ["contest_id", "candidate_name"], "id")
+    return numbered.select("id", "contest_id", "candidate_name", *values)
 
 
 def build_vote_fact(marks: DataFrame, images: DataFrame, contests: DataFrame, candidates: DataFrame,
@@ -392,26 +432,35 @@ def build_vote_fact(marks: DataFrame, images: DataFrame, contests: DataFrame, ca
     )
 
 
-def counted_marks(marks: DataFrame, scans: DataFrame) -> DataFrame:
-    """Marks of the scans that count.
+def rejected_scans(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids of the scans that do not count (review and later copies), and the repeated paths.
 
-    The scans that do not count (review and later copies) are written first: they
-    are few as a rule, and then Spark drops their marks without a shuffle.
+    Both are written: they are few as a rule, and then Spark drops their rows without
+    a shuffle.
     """
     good, review = split_review(scans)
-    rejected = review.select("image_id").unionByName(duplicate_scans(good).select("image_id"))
-    return marks.join(stage(rejected, "rejected"), "image_id", "left_anti")
+    repeated = repeated_paths(good)
+    rejected = review.select("image_id").unionByName(duplicate_scans(good, repeated).select("image_id"))
+    return stage(rejected, "rejected"), repeated
+
+
+def counted_marks(marks: DataFrame, scans: DataFrame) -> DataFrame:
+    """Marks of the scans that count."""
+    rejected, _ = rejected_scans(scans)
+    return marks.join(rejected, "image_id", "left_anti")
 
 
 def build_star(scans: DataFrame, measurements: DataFrame,
                dark_pct_min: float = S.DEFAULT_DARK_PCT_MIN) -> Star:
     """All five results tables.  Dimensions are written; images and facts stay lazy."""
-    marks = counted_marks(classify_marks(measurements, dark_pct_min), scans)
+    rejected, repeated = rejected_scans(scans)
+    marks = classify_marks(measurements, dark_pct_min).join(rejected, "image_id", "left_anti")
     good, _ = split_review(scans)
-    kept = dedupe_images(good)
-    barcodes = stage(build_barcode_dim(kept), "barcode")
-    contests = stage(build_contest_dim(marks), "contest")
-    candidates = stage(build_candidate_dim(marks, contests), "candidate")
+    kept = dedupe_images(good, repeated)
+    variants = dimension_variants(marks)
+    barcodes = build_barcode_dim(kept)
+    contests = build_contest_dim(marks, variants)
+    candidates = build_candidate_dim(marks, contests, variants)
     images = build_image_table(kept, barcodes)
     facts = build_vote_fact(marks, images, contests, candidates)
     return Star(barcodes, images, contests, candidates, facts)

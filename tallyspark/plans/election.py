@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark import schema as S
 from tallyspark.functions import text
@@ -26,16 +25,7 @@ CONTESTS = (
     ("Clerk", "RANKED_CHOICE", 1, 50.0),
     ("Board", "APPROVAL", 99, 50.0),
 )
-SEQ_COLUMNS = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-SEQ_TYPE = T.StructType(
-    [
-        T.StructField("l_linenumber", T.IntegerType()),
-        T.StructField("l_partkey", T.LongType()),
-        T.StructField("l_suppkey", T.LongType()),
-        T.StructField("l_quantity", T.DoubleType()),
-        T.StructField("l_extendedprice", T.DoubleType()),
-    ]
-)
+LINE_SHIFT, PART_SHIFT = 60, 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +47,10 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     precincts = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    name = F.format_string("b%d_c%d.png", "ballot_no", "page_number")
-    barcode = F.format_string(
-        "%d|%d|%d|%d|1|%d", "n_regionkey", "n_nationkey",
-        F.col("ballot_no") % 3, F.col("ballot_no") % 2 + 1, "page_number",
+    name = F.concat(F.lit("b"), F.col("ballot_no").cast("string"), F.lit("_c"), F.col("page_number").cast("string"), F.lit(".png"))
+    barcode = text.encode_barcode(
+        F.col("n_regionkey"), F.col("n_nationkey"), F.col("ballot_no") % 3, F.col("ballot_no") % 2 + 1,
+        F.lit(1), F.col("page_number"),
     )
     ink = (F.round("o_totalprice").cast("bigint") % 100).cast("int")
     return orders.join(precincts, "n_nationkey").select(
@@ -87,7 +77,9 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One measured box per line item."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *SEQ_COLUMNS)
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
+    )
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     index = (flag + F.lit(3) * (F.col("l_orderkey") % 2)).cast("int")
     items = items.withColumn("c", index)
@@ -101,16 +93,22 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = (F.col("l_linenumber") - 1) % 3 + 1
     name = (
         F.when(c == 2, F.when(F.col("k") == 0, "Yes").otherwise("No"))
-        .when(c.isin(3, 4), F.format_string("Candidate %d (Rank %d)", "k", rank))
-        .otherwise(F.format_string("Candidate %d", "k"))
+        .when(c.isin(3, 4), F.concat(F.lit("Candidate "), F.col("k").cast("string"), F.lit(" (Rank "), rank.cast("string"), F.lit(")")))
+        .otherwise(F.concat(F.lit("Candidate "), F.col("k").cast("string")))
     )
     pct = F.greatest(F.col("l_quantity") - 18.0, F.lit(0.0))
     trimmed = pct + F.col("l_linenumber") % 4
+    # The place of a box on its image: line number, then part, then supplier, in one number.
+    seq = (
+        F.shiftleft(F.col("l_linenumber").cast("bigint"), LINE_SHIFT)
+        + F.shiftleft("l_partkey", PART_SHIFT)
+        + F.col("l_suppkey")
+    )
     left = (F.col("l_linenumber") * 10).cast("int")
     top = (F.col("k") * 10).cast("int")
     return items.select(
         F.col("l_orderkey").alias("image_id"),
-        F.struct(*SEQ_COLUMNS).alias("seq"),
+        seq.alias("seq"),
         (c + 1).cast("bigint").alias("contest_id"),
         _per_contest(c, 0).alias("contest_title"),
         _per_contest(c, 1).alias("contest_type"),
@@ -163,7 +161,7 @@ def results(spark: SparkSession, sf_dir: str) -> Star:
     if key not in _STORED:
         path = new_folder(spark, "results")
         save_results(ingest.build_star(scans(spark, sf_dir), measurements(spark, sf_dir)), path)
-        _STORED[key] = load_results(spark, path, SEQ_TYPE)
+        _STORED[key] = load_results(spark, path)
     return _STORED[key]
 
 
@@ -235,7 +233,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         code["region_id"].alias("precinct"), code["party_id"].alias("party"),
     )
     rows = marks(spark, sf_dir).select(
-        "image_id", "contest_title", "candidate_name", "marked", F.col("seq.l_linenumber").alias("line")
+        "image_id", "contest_title", "candidate_name", "marked", F.shiftright("seq", LINE_SHIFT).alias("line")
     )
     said = F.when(F.col("marked") & (F.col("line") != 7), "VOTED").otherwise("UNMARKED")
     listed = rows.filter(~((F.col("contest_title") == "Board") & (F.col("candidate_name") == "Candidate 4"))).select(

@@ -51,8 +51,8 @@ def _feed_rows(spark: SparkSession, d: str) -> DataFrame:
 def ingested(spark: SparkSession, d: str) -> DataFrame:
     out = new_folder(spark, "stream")
     _in_passes(_feed_rows(spark, d), "image_id", new_folder(spark, "feed"),
-               lambda feed, _: streams.ingest_stream(feed, out, f"{out}/_checkpoint", election.SEQ_TYPE))
-    star = streams.stored_star(spark, out, election.SEQ_TYPE)
+               lambda feed, _: streams.ingest_stream(feed, out, f"{out}/_checkpoint"))
+    star = streams.stored_star(spark, out)
     return (
         star.vote_opportunity.join(reports.image_names(star, "image_path"), "ballot_image_id")
         .join(reports.contest_names(star), "contest_id")
@@ -95,7 +95,7 @@ def live(spark: SparkSession, d: str) -> DataFrame:
 def final_snapshot(spark: SparkSession, d: str) -> DataFrame:
     out = new_folder(spark, "stream")
     _in_passes(_feed_rows(spark, d), "image_id", new_folder(spark, "feed"), lambda feed, number: streams.snapshot_every(
-        feed, out, f"{out}/_checkpoint", seq=election.SEQ_TYPE, pass_number=number))
+        feed, out, f"{out}/_checkpoint", pass_number=number))
     return streams.read_snapshots(spark, out).filter("snapshot = 'final'").drop("snapshot")
 
 

@@ -76,31 +76,29 @@ CANDIDATE = _struct(
 )
 
 
-def vote_opportunity(seq: T.DataType = _LONG) -> T.StructType:
-    """Fact schema.  ``seq`` is the marking's place on its image; with the image id it
-    is the row's key, so no global numbering of the facts is needed.  ``barcode_id`` is
-    carried from the image so that precinct and party reports never join the image table.
-    """
-    return _struct(
-        ("ballot_image_id", _LONG, False),
-        ("seq", seq, False),
-        ("contest_id", _LONG, False),
-        ("candidate_id_fk", _LONG, False),
-        ("barcode_id", _LONG, True),
-        ("abs_left", _INT, True),
-        ("abs_top", _INT, True),
-        ("indicator_width", _INT, True),
-        ("indicator_height", _INT, True),
-        ("warp_dpi", _INT, True),
-        ("image_x", _INT, True),
-        ("image_y", _INT, True),
-        ("threshold", _INT, True),
-        ("dark_pct", _DBL, True),
-        ("dark_pixels", _INT, True),
-        ("total_pixels", _INT, True),
-        ("mean_intensity", _DBL, True),
-        ("vote_status", _STR, False),
-    )
+# ``seq`` is the marking's place on its image; with the image id it is the row's key, so no
+# global numbering of the facts is needed.  ``barcode_id`` is carried from the image so that
+# precinct and party reports never join the image table.
+VOTE_OPPORTUNITY = _struct(
+    ("ballot_image_id", _LONG, False),
+    ("seq", _LONG, False),
+    ("contest_id", _LONG, False),
+    ("candidate_id_fk", _LONG, False),
+    ("barcode_id", _LONG, True),
+    ("abs_left", _INT, True),
+    ("abs_top", _INT, True),
+    ("indicator_width", _INT, True),
+    ("indicator_height", _INT, True),
+    ("warp_dpi", _INT, True),
+    ("image_x", _INT, True),
+    ("image_y", _INT, True),
+    ("threshold", _INT, True),
+    ("dark_pct", _DBL, True),
+    ("dark_pixels", _INT, True),
+    ("total_pixels", _INT, True),
+    ("mean_intensity", _DBL, True),
+    ("vote_status", _STR, False),
+)
 
 
 RESULT_TABLES = ("barcode", "ballot_image", "contest", "candidate", "vote_opportunity")
@@ -127,38 +125,37 @@ SCAN = _struct(
 )
 
 
-def measurement(seq: T.DataType = _LONG) -> T.StructType:
-    """One row per measured indicator box: the input contract of ingest."""
-    return _struct(
-        ("image_id", _LONG, False),
-        ("seq", seq, False),
-        ("contest_id", _LONG, True),
-        ("contest_title", _STR, True),
-        ("contest_type", _STR, True),
-        ("max_votes", _INT, True),
-        ("percent_to_win", _DBL, True),
-        ("candidate_id", _LONG, True),
-        ("candidate_name", _STR, True),
-        ("write_in", _BOOL, True),
-        ("indicator_style", _STR, True),
-        ("dark_pct", _DBL, True),
-        ("dark_pixels", _INT, True),
-        ("total_pixels", _INT, True),
-        ("mean_intensity", _DBL, True),
-        ("trimmed_pct", _DBL, True),
-        ("trimmed_dark", _INT, True),
-        ("trimmed_total", _INT, True),
-        ("trimmed_mean", _DBL, True),
-        ("zone_dark", _INT, True),
-        ("abs_left", _INT, True),
-        ("abs_top", _INT, True),
-        ("width", _INT, True),
-        ("height", _INT, True),
-        ("warp_dpi", _INT, True),
-        ("image_x", _INT, True),
-        ("image_y", _INT, True),
-        ("threshold", _INT, True),
-    )
+# One row per measured indicator box: the input contract of ingest.
+MEASUREMENT = _struct(
+    ("image_id", _LONG, False),
+    ("seq", _LONG, False),
+    ("contest_id", _LONG, True),
+    ("contest_title", _STR, True),
+    ("contest_type", _STR, True),
+    ("max_votes", _INT, True),
+    ("percent_to_win", _DBL, True),
+    ("candidate_id", _LONG, True),
+    ("candidate_name", _STR, True),
+    ("write_in", _BOOL, True),
+    ("indicator_style", _STR, True),
+    ("dark_pct", _DBL, True),
+    ("dark_pixels", _INT, True),
+    ("total_pixels", _INT, True),
+    ("mean_intensity", _DBL, True),
+    ("trimmed_pct", _DBL, True),
+    ("trimmed_dark", _INT, True),
+    ("trimmed_total", _INT, True),
+    ("trimmed_mean", _DBL, True),
+    ("zone_dark", _INT, True),
+    ("abs_left", _INT, True),
+    ("abs_top", _INT, True),
+    ("width", _INT, True),
+    ("height", _INT, True),
+    ("warp_dpi", _INT, True),
+    ("image_x", _INT, True),
+    ("image_y", _INT, True),
+    ("threshold", _INT, True),
+)
 
 
 LAYOUT_ROW = _struct(

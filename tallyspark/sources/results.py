@@ -16,7 +16,7 @@ def save_results(star: Star, path: str, mode: str = "errorifexists") -> None:
         table.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def load_results(spark: SparkSession, path: str, seq: T.DataType = T.LongType()) -> Star:
+def load_results(spark: SparkSession, path: str) -> Star:
     """Read the star with its fixed schemas.
 
     A contest table written before thresholds existed has no ``percent_to_win``;
@@ -34,7 +34,7 @@ def load_results(spark: SparkSession, path: str, seq: T.DataType = T.LongType())
         table("ballot_image", S.BALLOT_IMAGE),
         contest,
         table("candidate", S.CANDIDATE),
-        table("vote_opportunity", S.vote_opportunity(seq)),
+        table("vote_opportunity", S.VOTE_OPPORTUNITY),
     )
 
 

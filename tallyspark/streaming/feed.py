@@ -13,12 +13,13 @@ from tallyspark import schema as S
 
 _MARK = "m_"
 SCAN_COLUMNS = tuple(f.name for f in S.SCAN.fields)
-MARK_COLUMNS = tuple(f.name for f in S.measurement().fields if f.name != "image_id")
+MARK_COLUMNS = tuple(f.name for f in S.MEASUREMENT.fields if f.name != "image_id")
 
 
-def feed_schema(seq: T.DataType = T.LongType()) -> T.StructType:
-    marks = [T.StructField(_MARK + f.name, f.dataType) for f in S.measurement(seq).fields if f.name != "image_id"]
-    return T.StructType([T.StructField(f.name, f.dataType) for f in S.SCAN.fields] + marks)
+FEED = T.StructType(
+    [T.StructField(f.name, f.dataType) for f in S.SCAN.fields]
+    + [T.StructField(_MARK + f.name, f.dataType) for f in S.MEASUREMENT.fields if f.name != "image_id"]
+)
 
 
 def flatten(scans: DataFrame, measurements: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def read_feed(spark: SparkSession, path: str, seq: T.DataType = T.LongType(), files_per_trigger: int | None = None) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The folder as a stream; ``files_per_trigger`` bounds a batch when much is waiting."""
-    reader = spark.readStream.schema(feed_schema(seq))
+    reader = spark.readStream.schema(FEED)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)

@@ -60,7 +60,7 @@ def _grow(spark: SparkSession, out: str, table: str, schema: T.StructType, found
     return read_table(spark, out, table, schema, before=batch_id + 1)
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, out: str, seq: T.DataType = T.LongType(),
+def ingest_batch(batch: DataFrame, batch_id: int, out: str,
                  dark_pct_min: float = S.DEFAULT_DARK_PCT_MIN) -> None:
     """One batch of the feed into the stored star and the review table.
 
@@ -87,18 +87,18 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, seq: T.DataType = T.
     write_batch(images, out, "ballot_image", batch_id)
 
 
-def stored_star(spark: SparkSession, out: str, seq: T.DataType = T.LongType(), before: int | None = None) -> Star:
+def stored_star(spark: SparkSession, out: str, before: int | None = None) -> Star:
     return Star(
         read_table(spark, out, "barcode", S.BARCODE, before),
         read_table(spark, out, "ballot_image", S.BALLOT_IMAGE, before),
         read_table(spark, out, "contest", S.CONTEST, before),
         read_table(spark, out, "candidate", S.CANDIDATE, before),
-        read_table(spark, out, "vote_opportunity", S.vote_opportunity(seq), before),
+        read_table(spark, out, "vote_opportunity", S.VOTE_OPPORTUNITY, before),
     )
 
 
-def ingest_stream(feed: DataFrame, out: str, checkpoint: str, seq: T.DataType = T.LongType()) -> StreamingQuery:
-    return run(feed, lambda batch, batch_id: ingest_batch(batch, batch_id, out, seq), checkpoint)
+def ingest_stream(feed: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    return run(feed, lambda batch, batch_id: ingest_batch(batch, batch_id, out), checkpoint)
 
 
 # --- duplicates --------------------------------------------------------------
@@ -145,30 +145,28 @@ def running_tallies(spark: SparkSession, out: str) -> DataFrame:
 # --- snapshots ---------------------------------------------------------------
 
 
-def snapshot_batch(batch: DataFrame, batch_id: int, out: str, every: int = S.DEFAULT_SNAPSHOT_INTERVAL,
-                   seq: T.DataType = T.LongType()) -> None:
+def snapshot_batch(batch: DataFrame, batch_id: int, out: str, every: int = S.DEFAULT_SNAPSHOT_INTERVAL) -> None:
     """Ingest, then write the results report when the image count passed a multiple of
     ``every``.  The snapshot is named after that multiple, so a replay replaces it."""
     spark = batch.sparkSession
-    ingest_batch(batch, batch_id, out, seq)
+    ingest_batch(batch, batch_id, out)
     seen = read_table(spark, out, "ballot_image", S.BALLOT_IMAGE, before=batch_id).count()
     now = read_table(spark, out, "ballot_image", S.BALLOT_IMAGE, before=batch_id + 1).count()
     if every > 0 and now // every > seen // every:
-        write_snapshot(spark, out, f"n{now // every * every}", seq, before=batch_id + 1)
+        write_snapshot(spark, out, f"n{now // every * every}", before=batch_id + 1)
 
 
-def write_snapshot(spark: SparkSession, out: str, name: str, seq: T.DataType = T.LongType(), before: int | None = None) -> None:
-    report = winners.results_report(stored_star(spark, out, seq, before))
+def write_snapshot(spark: SparkSession, out: str, name: str, before: int | None = None) -> None:
+    report = winners.results_report(stored_star(spark, out, before))
     report.write.mode("overwrite").parquet(f"{out}/snapshots/snapshot={name}")
 
 
-def snapshot_every(feed: DataFrame, out: str, checkpoint: str, every: int = S.DEFAULT_SNAPSHOT_INTERVAL,
-                   seq: T.DataType = T.LongType(), pass_number: int = 1) -> None:
+def snapshot_every(feed: DataFrame, out: str, checkpoint: str, every: int = S.DEFAULT_SNAPSHOT_INTERVAL, pass_number: int = 1) -> None:
     """One pass over what has arrived, with snapshots on the way, one for the pass, and the final one."""
     spark = feed.sparkSession
-    run(feed, lambda batch, batch_id: snapshot_batch(batch, batch_id, out, every, seq), checkpoint).awaitTermination()
-    write_snapshot(spark, out, f"pass{pass_number}", seq)
-    write_snapshot(spark, out, "final", seq)
+    run(feed, lambda batch, batch_id: snapshot_batch(batch, batch_id, out, every), checkpoint).awaitTermination()
+    write_snapshot(spark, out, f"pass{pass_number}")
+    write_snapshot(spark, out, "final")
 
 
 def read_snapshots(spark: SparkSession, out: str) -> DataFrame:
