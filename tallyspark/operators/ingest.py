@@ -239,14 +239,15 @@ def contest_ballots(marks: DataFrame) -> DataFrame:
             F.min(F.when(marked, F.col("seq"))).alias("seq"),
         )
     )
-    choice = F.struct("seq", "candidate_key", "candidate_name", "times")
+    choice = F.struct("seq", "candidate_key", "candidate_name", "contest_title", "times")
     return entries.groupBy("image_id", "contest_id").agg(
         F.min(F.struct("first_seq", *settings)).alias("first"),
         F.collect_list(F.when(F.col("times") > 0, choice)).alias("choices"),
     )
 
 
-def _too_many() -> Column:
+def too_many_marked() -> Column:
+    """Whether a row of ``contest_ballots`` has more candidates marked than its contest allows."""
     limit = F.when(F.col("first.max_votes") > 0, F.col("first.max_votes")).otherwise(S.DEFAULT_MAX_VOTES)
     distinct = F.size(F.array_distinct(F.transform("choices", lambda c: c.candidate_key)))
     return F.col("first.contest_type").isin(*SINGLE_MARK_TYPES) & (distinct > limit)
@@ -278,7 +279,7 @@ def _doubled_ranks() -> Column:
 
 def overvotes_fptp(marks: DataFrame) -> DataFrame:
     """Single-mark contests of an image with more candidates marked than allowed."""
-    bad = contest_ballots(marks).filter(_too_many())
+    bad = contest_ballots(marks).filter(too_many_marked())
     return bad.select(
         "image_id",
         "contest_id",
@@ -299,7 +300,7 @@ def overvote_flags(marks: DataFrame) -> DataFrame:
     Reduced to image grain, so that attaching the flags costs the wide marks one
     shuffle on the image key.
     """
-    ballots = contest_ballots(marks).withColumns({"whole": _too_many(), "bad_ranks": _doubled_ranks()})
+    ballots = contest_ballots(marks).withColumns({"whole": too_many_marked(), "bad_ranks": _doubled_ranks()})
     bad = ballots.filter(F.col("whole") | (F.size("bad_ranks") > 0))
     return bad.groupBy("image_id").agg(
         F.collect_list(F.struct("contest_id", "whole", "bad_ranks")).alias("overvotes")

@@ -24,7 +24,7 @@ def valid_choices(marks: DataFrame, scans: DataFrame) -> DataFrame:
     ``choices`` lists every marked name once, in the order of its first mark, with
     the number of marks; ``names`` is the same list with repeats written out.
     """
-    per_contest = ingest.contest_ballots(marks).withColumn("overvoted", ingest._too_many())
+    per_contest = ingest.contest_ballots(marks).withColumn("overvoted", ingest.too_many_marked())
     named = F.transform(
         F.array_sort("choices"),
         lambda c: F.struct(F.coalesce(c.candidate_name, F.lit(S.UNKNOWN)).alias("name"), c.times.alias("times")),
@@ -79,17 +79,22 @@ def summary_by_region(choices: DataFrame) -> DataFrame:
     return _tally(choices, "contest_id", "contest_title", "region_id")
 
 
-def _overvoted_titles(marks: DataFrame) -> DataFrame:
-    return ingest.overvotes_fptp(marks).select("image_id", "contest_title").distinct()
-
-
 def overvoted_choices(marks: DataFrame) -> DataFrame:
-    """Marks that were set aside because their contest was overvoted on that ballot."""
+    """Marks that were set aside because their contest was overvoted on that ballot.
+
+    Contests are told apart by title here, so the choices of an image are looked at
+    together; they are bounded by what is printed on the sheet.
+    """
+    per_image = ingest.contest_ballots(marks).groupBy("image_id").agg(
+        F.collect_set(F.when(ingest.too_many_marked(), F.col("first.contest_title"))).alias("titles"),
+        F.flatten(F.collect_list("choices")).alias("choices"),
+    )
     return (
-        marks.filter("marked")
-        .join(_overvoted_titles(marks), ["image_id", "contest_title"], "left_semi")
-        .groupBy("contest_title", F.col("candidate_name").alias("candidate"))
-        .agg(F.count("*").alias("overvotes"))
+        per_image.filter(F.size("titles") > 0)
+        .select("titles", F.explode("choices").alias("choice"))
+        .filter(F.array_contains("titles", F.col("choice.contest_title")))
+        .groupBy(F.col("choice.contest_title").alias("contest_title"), F.col("choice.candidate_name").alias("candidate"))
+        .agg(F.sum("choice.times").alias("overvotes"))
     )
 
 
@@ -164,7 +169,7 @@ def write_in_crops(marks: DataFrame, scans: DataFrame) -> DataFrame:
         "image_id", ingest.contest_key().alias("contest_id"), "seq", "candidate_name", "marked", "dark_pct",
         "image_x", "image_y",
     )
-    numbered = number_within(active, ["image_id", "contest_id"], ["seq"], "k")
+    numbered = number_within(active, ["image_id", "contest_id"], ["seq", "dark_pct"], "k")
     several = numbered.groupBy("image_id", "contest_id").agg(F.count("*").alias("n"))
     dotted = F.col("image_name").contains(".")
     stem = F.when(dotted, F.regexp_replace("image_name", r"\.[^.]*$", "")).otherwise(F.col("image_name"))
