@@ -359,11 +359,13 @@ def _first_described(variants: DataFrame, marks: DataFrame, keys: list[str], val
     first mark lies on the earliest image of that key, and only the marks of those
     images are looked at.
     """
+    said = F.struct(*values)
     described = variants.groupBy(*keys).agg(
-        F.min("first_image").alias("first_image"), F.collect_set(F.struct(*values)).alias("seen")
+        F.min("first_image").alias("image_id"), F.min(said).alias("first"), F.max(said).alias("other")
     )
-    agreed = described.filter(F.size("seen") == 1).select(*keys, F.get("seen", 0).alias("first"))
-    disputed = stage(described.filter(F.size("seen") > 1).select(*keys, F.col("first_image").alias("image_id")), "disputed")
+    agree = F.col("first").eqNullSafe(F.col("other"))
+    agreed = described.filter(agree).select(*keys, "first")
+    disputed = stage(described.filter(~agree).select(*keys, "image_id"), "disputed")
     if not disputed.isEmpty():
         rows = _named(marks).withColumn("ballot_candidate_id", F.col("candidate_id")).withColumn(
             "write_in", F.coalesce("write_in", F.lit(False))

@@ -8,7 +8,7 @@ than there are stations.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -142,26 +142,32 @@ def _labels(stations: Stations) -> Column:
     return F.get(F.array(*[F.lit(label) for label, _ in stations]), F.col("station_no"))
 
 
-def station_totals(stations: Stations) -> DataFrame:
-    """Voted and overvoted per station, contest and candidate, and the station's images."""
-    totals: DataFrame | None = None
+def _per_station(stations: Stations, report: Callable[[Star], DataFrame]) -> DataFrame:
+    """A report of every station, one below the other, with the station's label."""
+    stacked: DataFrame | None = None
     for label, star in stations:
-        images = star.ballot_image.agg(F.count("*").alias("ballot_images"), F.lit(label).alias("station"))
-        votes = reports.votes_by_contest(star).select(
-            F.lit(label).alias("station"), "contest", "candidate", "voted", "overvoted"
-        )
-        rows = votes.join(images, "station")
-        totals = rows if totals is None else totals.unionByName(rows)
-    if totals is None:
+        rows = report(star).withColumn("station", F.lit(label))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    if stacked is None:
         raise ValueError("no stations")
-    return totals
+    return stacked
+
+
+def station_votes(stations: Stations) -> DataFrame:
+    """Voted and overvoted per station, contest and candidate."""
+    return _per_station(stations, reports.votes_by_contest).select("station", "contest", "candidate", "voted", "overvoted")
+
+
+def station_totals(stations: Stations) -> DataFrame:
+    """The same, with the number of images of the station."""
+    images = _per_station(stations, lambda star: star.ballot_image.agg(F.count("*").alias("ballot_images")))
+    return station_votes(stations).join(images, "station")
 
 
 def compare_stations(stations: Stations) -> DataFrame:
     """Contest and candidate with a column per station and the sum; absent counts as 0."""
     labels = [label for label, _ in stations]
-    totals = station_totals(stations)
-    wide = totals.groupBy("contest", "candidate").pivot("station", labels).agg(
+    wide = station_votes(stations).groupBy("contest", "candidate").pivot("station", labels).agg(
         F.sum("voted").alias("voted"), F.sum("overvoted").alias("overvoted")
     )
     filled = wide.na.fill(0)

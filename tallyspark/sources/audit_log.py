@@ -31,7 +31,6 @@ def append_events(events: DataFrame, path: str) -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema(S.AUDIT_EVENT).option("quote", '"').option("escape", '"').option("multiLine", "true")
-        .option("emptyValue", "").option("nullValue", "\u0000").csv(path)
-    )
+    """The log as a table.  An absent user or detail is empty text, as it is written."""
+    reader = spark.read.schema(S.AUDIT_EVENT).option("quote", '"').option("escape", '"').option("multiLine", "true")
+    return reader.csv(path).na.fill("")

@@ -77,7 +77,8 @@ def _parse_yaml(batches: Iterator) -> Iterator:
                 continue
             paths.append(path)
             documents.append(document)
-        yield pd.DataFrame({"path": paths, "document": documents})
+        if paths:
+            yield pd.DataFrame({"path": paths, "document": documents})
 
 
 def _files(spark: SparkSession, path: str, fmt: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tallyspark import schema as S
 
+PORTION = 1000   # equal marks of one image per written line
 _IMAGES = T.MapType(T.StringType(), S.GROUND_TRUTH_IMAGE)
 
 
@@ -34,8 +35,16 @@ def read_ground_truth(spark: SparkSession, path: str, whole_files: bool = True)
 
 
 def write_ground_truth(truth: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One line per image, each a document of its own."""
+    """One document per line; an image with very many marks spreads over several lines.
+
+    Equal marks are counted first and written out in portions, so no line holds more
+    than a portion of each.
+    """
+    owner = ("image_path", "combo_id", "precinct", "party")
+    counted = truth.groupBy(*owner, "contest", "candidate", "counted_as").agg(F.count("*").alias("n"))
+    portions = counted.withColumn("portion", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {PORTION} as int)"))))
+    times = F.least(F.lit(PORTION), F.col("n") - F.col("portion") * PORTION).cast("int")
     mark = F.struct("contest", "candidate", "counted_as")
-    images = truth.groupBy("image_path", "combo_id", "precinct", "party").agg(F.collect_list(mark).alias("indicators"))
+    lines = portions.groupBy(*owner, "portion").agg(F.flatten(F.collect_list(F.array_repeat(mark, times))).alias("indicators"))
     entry = F.create_map("image_path", F.struct("combo_id", "precinct", "party", "indicators"))
-    images.select(F.to_json(F.struct(entry.alias("per_image"))).alias("value")).write.mode(mode).text(path)
+    lines.select(F.to_json(F.struct(entry.alias("per_image"))).alias("value")).write.mode(mode).text(path)
