@@ -20,7 +20,7 @@ sides:
   ballotContentArea: {{offsetFromLeft: '25.4', offsetFromTop: '50.8 mm', width: 254, height: 'wide'}}
   cornerMarks:
   - {{corner: BL, x: '25.4', y: '0'}}
-  - {{corner: TL, x: '50.8', y: '76.2'}}
+  - {{corner: TL, x: '50.8', y: '101.6'}}
   barcodeCentre: {{x: '127.0', y: '254.0'}}
   contests:
   - id: 7
@@ -57,7 +57,7 @@ def test_yaml_layouts(spark, tmp_path):
         ("Mayor", "Ann", 71), ("Mayor", "Bob", None), ("Empty", None, None)]
     ann, bob, empty = rows
     assert (ann["page_number"], ann["content_left"], ann["content_top"], ann["content_width"], ann["content_height"]) == (2, 1.0, 2.0, 10.0, 0.0)
-    assert ann["corner_marks"] == [[2.0, 3.0], [0.0, 0.0], [0.0, 0.0], [1.0, 0.0]] and ann["page_marks"] is None
+    assert ann["corner_marks"] == [[2.0, 4.0], [0.0, 0.0], [0.0, 0.0], [1.0, 0.0]] and ann["page_marks"] is None
     assert (ann["barcode_x"], ann["barcode_y"]) == (5.0, 10.0)
     assert (ann["contest_type"], ann["max_votes"], ann["percent_to_win"]) == ("PLURALITY", 1, 50.0)
     assert (ann["write_in"], ann["indicator_style"], ann["indicator_left"]) == (True, "ARROW", pytest.approx(0.1))
