@@ -61,28 +61,19 @@ def ballot_of_image(star: Star) -> DataFrame:
 def contest_cells(star: Star, pages: DataFrame | None = None) -> DataFrame:
     """Text of one contest on one physical ballot.
 
-    Facts are first counted per entry of the ballot, so the list behind a cell is as
-    long as the contest's entries; an entry marked several times is repeated.
-    Entries come in page order and then in the order of their marks; ranked ones by
-    rank.
+    Facts are first counted per image and entry, on plain numbers, so the list behind a
+    cell is as long as the contest's entries; an entry marked several times is repeated.
+    Entries come in image order and then in the order of their marks; ranked ones by
+    rank first.
     """
     pages = ballot_of_image(star) if pages is None else pages
     types = star.contest.select(F.col("id").alias("contest_id"), "contest_type")
     names = star.candidate.select(F.col("id").alias("candidate_id_fk"), "candidate_name", "write_in")
     voted, spoiled = F.col("vote_status") == "VOTED", F.col("vote_status") == "OVERVOTED"
-    place = F.struct("page_image", "seq")
     entries = (
-        star.vote_opportunity.select(
-            F.col("ballot_image_id").alias("image_id"), F.col("ballot_image_id").alias("page_image"),
-            "seq", "contest_id", "candidate_id_fk", "vote_status",
-        )
-        .join(pages, "image_id")
-        .groupBy("anchor_id", "contest_id", "candidate_id_fk")
-        .agg(
-            F.count_if(voted).alias("times"),
-            F.bool_or(spoiled).alias("spoiled"),
-            F.min(F.when(voted, place)).alias("at"),
-        )
+        star.vote_opportunity.groupBy(F.col("ballot_image_id").alias("image_id"), "contest_id", "candidate_id_fk")
+        .agg(F.count_if(voted).alias("times"), F.count_if(spoiled).alias("spoiled"), F.min(F.when(voted, F.col("seq"))).alias("seq"))
+        .join(pages.select("image_id", "anchor_id"), "image_id")
         .join(types, "contest_id")
         .join(names, "candidate_id_fk")
     )
@@ -92,10 +83,10 @@ def contest_cells(star: Star, pages: DataFrame | None = None) -> DataFrame:
     )
     sort_rank = F.when(ranked, text.rank_or_last("candidate_name")).otherwise(0)
     entry = F.when(
-        F.col("times") > 0, F.struct(sort_rank.alias("rank"), "at", shown.alias("shown"), "times")
+        F.col("times") > 0, F.struct(sort_rank.alias("rank"), "image_id", "seq", shown.alias("shown"), "times")
     )
     cells = entries.groupBy("anchor_id", "contest_id").agg(
-        F.bool_or("spoiled").alias("spoiled"), F.array_sort(F.collect_list(entry)).alias("entries")
+        F.bool_or(F.col("spoiled") > 0).alias("spoiled"), F.array_sort(F.collect_list(entry)).alias("entries")
     )
     words = F.flatten(F.transform("entries", lambda e: F.array_repeat(e["shown"], e["times"].cast("int"))))
     cell = F.when(F.col("spoiled"), OVERVOTE_CELL).otherwise(F.array_join(words, "|"))

@@ -150,7 +150,7 @@ entry AS (
     vo.ballot_image_id AS page_image, vo.seq,
     row_number() OVER (PARTITION BY p.anchor_id, vo.contest_id, vo.candidate_id_fk, vo.vote_status
                        ORDER BY vo.ballot_image_id, vo.seq) AS nth,
-    min(vo.ballot_image_id * 1000000 + vo.seq) OVER (PARTITION BY p.anchor_id, vo.contest_id, vo.candidate_id_fk, vo.vote_status) AS first_at
+    min(vo.ballot_image_id * 1000000 + vo.seq) OVER (PARTITION BY p.anchor_id, vo.contest_id, vo.candidate_id_fk, vo.vote_status, vo.ballot_image_id) AS first_at
   FROM vo JOIN keyed k ON k.image_id = vo.ballot_image_id JOIN paper p USING (ballot_key)
   JOIN co ON co.id = vo.contest_id JOIN ca ON ca.id = vo.candidate_id_fk
 ),
