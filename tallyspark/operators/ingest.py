@@ -78,14 +78,15 @@ def duplicate_scans(scans: DataFrame, repeated: DataFrame | None = None) -> Data
     return later.select("image_id", "image_path")
 
 
+def distinct_barcodes(scans: DataFrame) -> DataFrame:
+    """Raw texts with their fields; an absent text is empty."""
+    raw = scans.select(F.coalesce("barcode_data", F.lit("")).alias("raw_data")).distinct()
+    return raw.withColumn("parts", text.parse_barcode("raw_data")).select("raw_data", "parts.*")
+
+
 def build_barcode_dim(scans: DataFrame) -> DataFrame:
     """One row per distinct raw barcode text, numbered in text order."""
-    distinct = scans.select(F.coalesce("barcode_data", F.lit("")).alias("raw_data")).distinct()
-    return (
-        number_rows(distinct, ["raw_data"], "id")
-        .withColumn("parts", text.parse_barcode("raw_data"))
-        .select("id", "raw_data", "parts.*")
-    )
+    return number_rows(distinct_barcodes(scans), ["raw_data"], "id").select(*S.BARCODE.fieldNames())
 
 
 def build_image_table(scans: DataFrame, barcodes: DataFrame) -> DataFrame:
@@ -377,23 +378,32 @@ def _first_described(variants: DataFrame, marks: DataFrame, keys: list[str], val
     return agreed.select(*keys, *[F.col(f"first.{v}").alias(v) for v in values])
 
 
-def build_contest_dim(marks: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+def described_contests(variants: DataFrame, marks: DataFrame) -> DataFrame:
     """Contests by title and type, with the settings of the first mark seen."""
-    variants = dimension_variants(marks) if variants is None else variants
-    keys = ["contest_title", "contest_type"]
-    contests = _first_described(variants, marks, keys, ["max_votes", "percent_to_win"])
-    return number_rows(contests, keys, "id").select("id", *keys, "max_votes", "percent_to_win")
+    return _first_described(variants, marks, ["contest_title", "contest_type"], ["max_votes", "percent_to_win"])
 
 
-def build_candidate_dim(marks: DataFrame, contests: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+def described_candidates(variants: DataFrame, marks: DataFrame, contests: DataFrame) -> DataFrame:
     """Candidates by contest and name, with the ballot id and flag first seen."""
-    variants = dimension_variants(marks) if variants is None else variants
     keys = ["contest_title", "contest_type"]
     values = ["ballot_candidate_id", "write_in"]
     names = _first_described(variants, marks, [*keys, "candidate_name"], values)
-    keyed = names.join(contests.select(F.col("id").alias("contest_id"), *keys), keys)
-    numbered = number_rows(keyed.select("contest_id", "candidate_name", *values), ["contest_id", "candidate_name"], "id")
-    return numbered.select("id", "contest_id", "candidate_name", *values)
+    known = contests.select(F.col("id").alias("contest_id"), *keys)
+    return names.join(known, keys).select("contest_id", "candidate_name", *values)
+
+
+def build_contest_dim(marks: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """The contests, numbered by title and type."""
+    variants = dimension_variants(marks) if variants is None else variants
+    contests = described_contests(variants, marks)
+    return number_rows(contests, ["contest_title", "contest_type"], "id").select(*S.CONTEST.fieldNames())
+
+
+def build_candidate_dim(marks: DataFrame, contests: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """The candidates, numbered by contest and name."""
+    variants = dimension_variants(marks) if variants is None else variants
+    candidates = described_candidates(variants, marks, contests)
+    return number_rows(candidates, ["contest_id", "candidate_name"], "id").select(*S.CANDIDATE.fieldNames())
 
 
 def build_vote_fact(marks: DataFrame, images: DataFrame, contests: DataFrame, candidates: DataFrame,

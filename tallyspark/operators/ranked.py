@@ -147,11 +147,10 @@ def irv_rounds(ballots: DataFrame, tie_rule: str = "eliminate_last") -> DataFram
         history = counts if history is None else history.unionByName(counts)
         if counts.filter(F.col("outcome").isNull()).isEmpty():
             return history
-        gone = stage(
+        gone = (
             counts.filter(F.col("outcome").isNull())
             .groupBy("contest_id")
-            .agg(F.collect_list(F.when(F.col("fate") == "eliminated", F.col("candidate"))).alias("gone")),
-            "gone",
+            .agg(F.collect_list(F.when(F.col("fate") == "eliminated", F.col("candidate"))).alias("gone"))
         )
         left = lists.join(gone, "contest_id").select(
             "contest_id", F.filter("prefs", lambda p: ~F.array_contains("gone", p)).alias("prefs"), "weight"

@@ -396,7 +396,7 @@ QUERIES = {
         FROM (SELECT * REPLACE (CASE WHEN region_id % 5 = 0 THEN 900 ELSE region_id END AS region_id) FROM combos)
         GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""", _REGIONS)),
     "dsn12_collapse_parties": (collapsed_parties, plain(
-        "SELECT * REPLACE (CASE WHEN party_id IS NOT NULL THEN 9 END AS party_id) FROM combos", _REGIONS)),
+        "SELECT * REPLACE (CASE WHEN party_id IS NOT NULL THEN CAST(9 AS BIGINT) END AS party_id) FROM combos", _REGIONS)),
     "rvw1_list_ballots": (on_star(review.list_ballots), with_star(f"SELECT {_SUMMARY} FROM bi")),
     "rvw2_ballots_by_ids": (ballots_by_ids, with_star(f"SELECT event_id AS position, {_SUMMARY} FROM bi JOIN events ON event_id * 3 = id")),
     "rvw3_ballots_by_glob": (on_star(review.ballots_by_glob, "B?1*_C2.P"), with_star(f"""

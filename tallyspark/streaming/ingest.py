@@ -45,18 +45,20 @@ def run(stream: DataFrame, step: BatchStep, checkpoint: str) -> StreamingQuery:
 # --- ingest ------------------------------------------------------------------
 
 
-def _new_rows(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+def _new_rows(found: DataFrame, known: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
     """New keys of a dimension, numbered after the ids already given."""
-    fresh = found.join(known.select(*keys), keys, "left_anti")
+    fresh = stage(found.join(known.select(*keys), keys, "left_anti"), "fresh")
+    if fresh.isEmpty():
+        return fresh.sparkSession.createDataFrame([], schema)
     highest = known.agg(F.max("id").alias("top")).first()["top"] or 0
-    return number_rows(fresh.drop("id"), keys, "id", start=highest + 1)
+    return number_rows(fresh, keys, "id", start=highest + 1).select(*schema.fieldNames())
 
 
 def _grow(spark: SparkSession, out: str, table: str, schema: T.StructType, found: DataFrame, keys: list[str],
           batch_id: int) -> DataFrame:
     """Adds a batch's new dimension rows and returns the dimension so far."""
     known = read_table(spark, out, table, schema, before=batch_id)
-    write_batch(_new_rows(found, known, keys).select(*schema.fieldNames()), out, table, batch_id)
+    write_batch(_new_rows(found, known, keys, schema), out, table, batch_id)
     return read_table(spark, out, table, schema, before=batch_id + 1)
 
 
@@ -74,12 +76,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     kept = stage(ingest.dedupe_images(good).join(stored, "image_path", "left_anti"), "kept")
     marks = ingest.classify_marks(marks_of(rows), dark_pct_min).join(kept.select("image_id"), "image_id", "left_semi")
 
-    codes = kept.select(F.coalesce("barcode_data", F.lit("")).alias("raw_data")).distinct()
-    parsed = ingest.build_barcode_dim(codes.withColumnRenamed("raw_data", "barcode_data"))
-    barcodes = _grow(spark, out, "barcode", S.BARCODE, parsed, ["raw_data"], batch_id)
-    contests = _grow(spark, out, "contest", S.CONTEST, ingest.build_contest_dim(marks),
+    variants = ingest.dimension_variants(marks)
+    barcodes = _grow(spark, out, "barcode", S.BARCODE, ingest.distinct_barcodes(kept), ["raw_data"], batch_id)
+    contests = _grow(spark, out, "contest", S.CONTEST, ingest.described_contests(variants, marks),
                      ["contest_title", "contest_type"], batch_id)
-    candidates = _grow(spark, out, "candidate", S.CANDIDATE, ingest.build_candidate_dim(marks, contests),
+    candidates = _grow(spark, out, "candidate", S.CANDIDATE, ingest.described_candidates(variants, marks, contests),
                        ["contest_id", "candidate_name"], batch_id)
     images = ingest.build_image_table(kept, barcodes)
     write_batch(ingest.build_vote_fact(marks, images, contests, candidates), out, "vote_opportunity", batch_id)
