@@ -210,28 +210,29 @@ def contest_key() -> Column:
     return F.coalesce("contest_id", F.lit(NO_CONTEST_ID).cast("bigint"))
 
 
-def contest_ballots(marks: DataFrame) -> DataFrame:
+# What a contest's first mark settles, and the part of it that overvotes depend on.
+_SETTINGS = ("contest_type", "contest_title", "max_votes", "percent_to_win")
+_RULES = ("contest_type", "max_votes")
+
+
+def contest_ballots(marks: DataFrame, settings: tuple[str, ...] = _SETTINGS) -> DataFrame:
     """One row per image and contest with what its marks say.
 
     ``first`` holds the contest's settings as its first mark states them;
-    ``choices`` the marked entries with how often each was marked.  Marks are
+    ``choices`` the marked entries with how often each was marked, ``marks`` their sum.  Marks are
     counted per entry before they are gathered, so ``choices`` is bounded by the
     entries printed on the ballot, not by the number of rows.  The settings are
     part of the counting key, which keeps that first and larger aggregate on plain
     numbers.
     """
-    settings = ("contest_type", "contest_title", "max_votes", "percent_to_win")
     marked = F.col("marked")
     entries = (
-        marks.select(
-            "image_id",
-            contest_key().alias("contest_id"),
-            F.coalesce("candidate_id", F.lit(-1)).alias("candidate_key"),
-            "candidate_name",
-            F.coalesce("contest_type", F.lit(S.DEFAULT_CONTEST_TYPE)).alias("contest_type"),
-            *settings[1:],
-            "seq",
-            "marked",
+        marks.withColumns(
+            {
+                "contest_id": contest_key(),
+                "candidate_key": F.coalesce("candidate_id", F.lit(-1)),
+                "contest_type": F.coalesce("contest_type", F.lit(S.DEFAULT_CONTEST_TYPE)),
+            }
         )
         .groupBy("image_id", "contest_id", "candidate_key", "candidate_name", *settings)
         .agg(
@@ -240,9 +241,11 @@ def contest_ballots(marks: DataFrame) -> DataFrame:
             F.min(F.when(marked, F.col("seq"))).alias("seq"),
         )
     )
-    choice = F.struct("seq", "candidate_key", "candidate_name", "contest_title", "times")
+    title = [F.col("contest_title")] if "contest_title" in settings else []
+    choice = F.struct("seq", "candidate_key", "candidate_name", *title, "times")
     return entries.groupBy("image_id", "contest_id").agg(
         F.min(F.struct("first_seq", *settings)).alias("first"),
+        F.sum("times").alias("marks"),
         F.collect_list(F.when(F.col("times") > 0, choice)).alias("choices"),
     )
 
@@ -251,7 +254,8 @@ def too_many_marked() -> Column:
     """Whether a row of ``contest_ballots`` has more candidates marked than its contest allows."""
     limit = F.when(F.col("first.max_votes") > 0, F.col("first.max_votes")).otherwise(S.DEFAULT_MAX_VOTES)
     distinct = F.size(F.array_distinct(F.transform("choices", lambda c: c.candidate_key)))
-    return F.col("first.contest_type").isin(*SINGLE_MARK_TYPES) & (distinct > limit)
+    # A contest with a single mark, by far the most, is settled without looking at its list.
+    return (F.col("marks") > 1) & F.col("first.contest_type").isin(*SINGLE_MARK_TYPES) & (distinct > limit)
 
 
 def _doubled_ranks() -> Column:
@@ -275,7 +279,8 @@ def _doubled_ranks() -> Column:
         ),
     )
     doubled = F.transform(F.filter(totals, lambda t: t.times > 1), lambda t: t.rank)
-    return F.when(F.col("first.contest_type") == "RANKED_CHOICE", doubled).otherwise(F.lit([]).cast("array<int>"))
+    ranked_contest = (F.col("marks") > 1) & (F.col("first.contest_type") == "RANKED_CHOICE")
+    return F.when(ranked_contest, doubled).otherwise(F.lit([]).cast("array<int>"))
 
 
 def overvotes_fptp(marks: DataFrame) -> DataFrame:
@@ -291,7 +296,7 @@ def overvotes_fptp(marks: DataFrame) -> DataFrame:
 
 def overvotes_ranked(marks: DataFrame) -> DataFrame:
     """Ranks marked more than once in a ranked contest of an image."""
-    ballots = contest_ballots(marks).withColumn("bad_ranks", _doubled_ranks())
+    ballots = contest_ballots(marks, _RULES).withColumn("bad_ranks", _doubled_ranks())
     return ballots.select("image_id", "contest_id", F.explode("bad_ranks").alias("bad_rank"))
 
 
@@ -301,7 +306,8 @@ def overvote_flags(marks: DataFrame) -> DataFrame:
     Reduced to image grain, so that attaching the flags costs the wide marks one
     shuffle on the image key.
     """
-    ballots = contest_ballots(marks).withColumns({"whole": too_many_marked(), "bad_ranks": _doubled_ranks()})
+    several = contest_ballots(marks, _RULES).filter("marks > 1")
+    ballots = several.withColumns({"whole": too_many_marked(), "bad_ranks": _doubled_ranks()})
     bad = ballots.filter(F.col("whole") | (F.size("bad_ranks") > 0))
     return bad.groupBy("image_id").agg(
         F.collect_list(F.struct("contest_id", "whole", "bad_ranks")).alias("overvotes")

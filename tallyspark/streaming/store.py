@@ -7,6 +7,7 @@ counts every scan exactly once.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,17 +17,15 @@ def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """All batches of a table, or those before a batch; empty when there are none."""
-    path = f"{root}/{table}"
-    if not _exists(spark, path):
+    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    try:
+        rows = spark.read.schema(with_batch).parquet(f"{root}/{table}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
     if before is not None:
         rows = rows.filter(F.col("batch_id") < before)
     return rows.select(*schema.fieldNames())

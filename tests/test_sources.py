@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.operators import audit, design, ingest, merge, reports, verify
@@ -223,3 +224,14 @@ def test_contests_of_a_precinct(spark):
 
 def test_glob_text():
     assert text.glob_to_regex("A*b?.PNG") == "a.*b.[.]png"
+
+
+def test_lookups_and_party_collapse(spark):
+    elections = spark.createDataFrame([(1, "2024-11-05"), (2, "2026-11-03"), (3, "2025-05-01")], "election_id bigint, held string")
+    assert [r["election_id"] for r in design.lookup(elections, [F.desc("held")]).collect()] == [2, 3, 1]
+    combos = spark.createDataFrame([(1, 5, 1, 1, 1), (2, 5, 2, 1, 1), (3, 5, None, 1, 1), (4, 5, None, 1, 1)],
+                                   "combination_id bigint, region_id bigint, party_id bigint, ballot_type_id bigint, election_id bigint")
+    old = spark.createDataFrame([(1,), (2,)], "party_id bigint")
+    moved, collisions = design.collapse_parties(old, 9, combos)
+    assert sorted((r["combination_id"], r["party_id"]) for r in moved.collect()) == [(1, 9), (2, 9), (3, None), (4, None)]
+    assert sorted((r["party_id"] or 0, r["copies"]) for r in collisions.collect()) == [(0, 2), (9, 2)]

@@ -172,3 +172,15 @@ def test_pixels_of_an_image_file(spark, tmp_path):
     images = spark.read.format("image").load(str(tmp_path)).selectExpr("1L AS image_id", "'0' AS barcode", "1L AS seq", "image")
     got = {(r["x"], r["y"]): r["lum"] for r in cells.pixels_of_images(images).collect()}
     assert got == {(x, y): (299 * r + 587 * g + 114 * b) // 1000 for y, row in enumerate(rows) for x, (r, g, b) in enumerate(row)}
+
+
+def test_duplicates_within_a_watermark(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for number in (1, 2):
+        spark.sql(f"SELECT timestamp'2026-01-01 10:0{number}:00' AS at, '/a.png' AS image_path UNION ALL "
+                  f"SELECT timestamp'2026-01-01 10:0{number}:00', '/b{number}.png'").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("at timestamp, image_path string").parquet(source)
+        query = streams.dedupe_stream(stream, ("at", "1 hour")).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", f"{out}_cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(r["image_path"] for r in spark.read.parquet(out).collect()) == ["/a.png", "/b1.png", "/b2.png"]
