@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text
 from tallyspark.operators import reports
 from tallyspark.operators.ingest import Star
-from tallyspark.session import number_rows
+from tallyspark.session import number_rows, stage
 
 # Fixed values of the export format.
 TABULATOR = 1
@@ -52,10 +52,11 @@ def physical_ballots(star: Star) -> DataFrame:
     )
 
 
-def ballot_of_image(star: Star) -> DataFrame:
+def ballot_of_image(star: Star, ballots: DataFrame | None = None) -> DataFrame:
     """Maps every image to the anchor of its physical ballot."""
+    ballots = physical_ballots(star) if ballots is None else ballots
     images = _keyed_images(star).select("ballot_key", "image_id", "page_number")
-    return images.join(physical_ballots(star).select("ballot_key", "anchor_id"), "ballot_key").drop("ballot_key")
+    return images.join(ballots.select("ballot_key", "anchor_id"), "ballot_key").drop("ballot_key")
 
 
 def contest_cells(star: Star, pages: DataFrame | None = None) -> DataFrame:
@@ -93,16 +94,17 @@ def contest_cells(star: Star, pages: DataFrame | None = None) -> DataFrame:
     return cells.select("anchor_id", "contest_id", cell.alias("cell"))
 
 
-def cvr_records(star: Star) -> DataFrame:
+def cvr_records(star: Star, ballots: DataFrame | None = None) -> DataFrame:
     """The fixed columns of every physical ballot, numbered by its first image."""
-    ballots = number_rows(physical_ballots(star).select("anchor_id", "first_id"), ["first_id"], "cvr_number")
+    ballots = physical_ballots(star) if ballots is None else ballots
+    numbered = number_rows(ballots.select("anchor_id", "first_id"), ["first_id"], "cvr_number")
     images = star.ballot_image.select(F.col("id").alias("anchor_id"), "barcode_id")
     codes = reports.barcode_keys(star, "jurisdiction_id", "region_id", "party_id", "ballot_type_id")
     kind = F.concat(
         F.lit("J"), text.blank_to("jurisdiction_id", "?"), F.lit("-P"), text.blank_to("party_id", "0"),
         F.lit("-T"), text.blank_to("ballot_type_id", "1"),
     )
-    return ballots.join(images, "anchor_id").join(codes, "barcode_id").select(
+    return numbered.join(images, "anchor_id").join(codes, "barcode_id").select(
         "anchor_id",
         "cvr_number",
         F.lit(TABULATOR).alias("tabulator_num"),
@@ -122,9 +124,10 @@ def cvr_export(star: Star) -> DataFrame:
     contests = [(c["id"], c["contest_title"]) for c in star.contest.select("id", "contest_title").orderBy("id").collect()]
     titles = [t for _, t in contests]
     names = {i: (t if titles.count(t) == 1 else f"{t} ({i})") for i, t in contests}
-    cells = contest_cells(star).groupBy("anchor_id").pivot("contest_id", [i for i, _ in contests]).agg(F.first("cell"))
+    ballots = stage(physical_ballots(star), "ballots")
+    cells = contest_cells(star, ballot_of_image(star, ballots)).groupBy("anchor_id").pivot("contest_id", [i for i, _ in contests]).agg(F.first("cell"))
     wide = cells.select("anchor_id", *[F.col(str(i)).alias(names[i]) for i, _ in contests])
-    joined = cvr_records(star).join(wide, "anchor_id", "left").drop("anchor_id")
+    joined = cvr_records(star, ballots).join(wide, "anchor_id", "left").drop("anchor_id")
     return joined.na.fill("", [names[i] for i, _ in contests])
 
 

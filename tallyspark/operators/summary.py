@@ -85,7 +85,7 @@ def overvoted_choices(marks: DataFrame) -> DataFrame:
     Contests are told apart by title here, so the choices of an image are looked at
     together; they are bounded by what is printed on the sheet.
     """
-    per_image = ingest.contest_ballots(marks).groupBy("image_id").agg(
+    per_image = ingest.contest_ballots(marks).filter("marks > 0").groupBy("image_id").agg(
         F.collect_set(F.when(ingest.too_many_marked(), F.col("first.contest_title"))).alias("titles"),
         F.flatten(F.collect_list("choices")).alias("choices"),
     )

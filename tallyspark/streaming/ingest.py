@@ -230,10 +230,9 @@ def ink_batch(batch: DataFrame, batch_id: int, out: str, boxes: DataFrame, warp_
 
     touched = pixels.select("barcode").distinct()
     so_far = read_table(spark, out, "first_dark", _FIRST, before=batch_id + 1).join(touched, "barcode", "left_semi")
-    arrived = read_table(spark, f"{out}", "first_dark", _FIRST, before=batch_id + 1).select("image_id").distinct()
     radius = int(dilation_in * warp_dpi + 0.5)
     mask = stage(cells.masked_positions(boxes, warp_dpi, pad_in), "mask")
-    new_images = pixels.select("image_id").distinct().join(arrived, "image_id", "left_semi")
+    new_images = pixels.select("image_id").distinct()
     novel = (
         cells.novel_positions(so_far, radius)
         .join(new_images, "image_id", "left_semi")
