@@ -9,7 +9,6 @@ bytes (``spark.sql.autoBroadcastJoinThreshold``) and never by a forced hint.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def build_session(app_name: str = "tallyspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,19 +37,12 @@ def build_session(app_name: str = "tallyspark", master: str | None = None, **con
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder for written intermediates, taken from the session.
+    """Folder for written intermediates: ``spark.checkpoint.dir``, else the session's warehouse.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Both are shared by all executors of a cluster.
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tallyspark-")
-    return _LOCAL_ROOTS[app]
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from tallyspark.plans import catalog
 from tests.compare import connect, difference
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.all_queries()
+SQL = catalog.all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,8 @@ def test_query_matches_sql(spark, sf_dir, con, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry_has_winners(spark):
