@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import packing, syncmers, token_files
+from tallyspark.llm import line_dedup, packing, quality, syncmers, token_files
 from tallyspark.llm.common import table
 from tallyspark.llm.tokens import default_path
 
@@ -26,7 +26,18 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.cleaned_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality.quality_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
+    "op7_line_dedup": (op7_line_dedup, None),
+    "op10_quality": (op10_quality, None),
     "op5_packing": (op5_packing, None),
     "op6_token_files": (op6_token_files, None),
     "op9_syncmers": (op9_syncmers, None),
