@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 # The word patterns that the two vocabulary files state, for Latin-1.
@@ -24,6 +23,7 @@ _CASELESS_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[
 
 #: Latin-1 bytes whose class as blank, letter or mark differs between libraries.
 _UNUSUAL = bytes([*range(0, 9), *range(14, 32), *range(127, 161), 173])
+#: Words kept are in two generations of this size; words met again move to the younger one.
 _MOST_WORDS = 600_000
 
 
@@ -34,7 +34,7 @@ def default_path(name: str) -> str:
 
 
 class Encoder:
-    """Encodes lists of texts into little-endian unsigned 32-bit ids."""
+    """Encodes lists of texts into unsigned 32-bit ids, in the byte order of the machine (little-endian)."""
 
     def __init__(self, path: str, caseless: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,10 +45,11 @@ class Encoder:
         self._words = _CASELESS_WORDS if caseless else _BYTE_WORDS
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [array("I", e.ids).tobytes() for e in encoded]
 
     def _plain(self, text: str) -> bool:
         if any(s in text for s in self._special):
@@ -64,13 +65,18 @@ class Encoder:
         for text in texts:
             plain = self._plain(text)
             cut.append(self._words.findall(text.lower() if self._caseless else text) if plain else None)
-        known = self._known
         met: set[str] = set()
         for words in cut:
             met.update(words or ())
-        if len(known) + len(met - known.keys()) > _MOST_WORDS:
-            known.clear()
-        new = list(met - known.keys())
+        if len(self._known) > _MOST_WORDS:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        new = []
+        for word in met.difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
         for start in range(0, len(new), 10_000):
             some = new[start:start + 10_000]
             known.update(zip(some, self._library(some)))
