@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import line_dedup, packing, quality, syncmers, token_files
+from tallyspark.llm import line_dedup, near_dup, packing, quality, secret_scan, syncmers, token_files
 from tallyspark.llm.common import table
 from tallyspark.llm.tokens import default_path
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link_documents(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.pack_documents(docs, default_path("byte_bpe_50k.json"), end_id=0, window=1024)
@@ -35,7 +39,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"), secret_scan.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op4_near_dup": (op4_near_dup, None),
+    "op8_secrets": (op8_secrets, None),
     "op7_line_dedup": (op7_line_dedup, None),
     "op10_quality": (op10_quality, None),
     "op5_packing": (op5_packing, None),
