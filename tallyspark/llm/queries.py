@@ -5,11 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import line_dedup, near_dup, packing, quality, secret_scan, syncmers, token_files
+from tallyspark.llm import chat, line_dedup, mixing, near_dup, packing, quality, secret_scan, syncmers, token_files, urls
 from tallyspark.llm.common import table
 from tallyspark.llm.tokens import default_path
 
 
+_AWKWARD = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are records of one turn each; conversation -7 is one record of messages."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    said = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(_AWKWARD).alias("content")) for r in ("user", "assistant")])
+    extra = spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(0).alias("turn"), F.to_json(F.struct(said.alias("messages"))).alias("record"))
+    return chat.read_back(chat.format_records(rows.unionByName(extra)))
+
+
+#: Shares of the mixture, as parameters of the query.
+DOMAIN_WEIGHTS = {"web": 0.5, "books": 0.3, "code": 0.2}
+LANG_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def domain_of(source: str = "source"):
+    """Domain by the number at the end of a source's name; web where there is none."""
+    number = F.coalesce(F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)) % 4
+    return F.when(number <= 1, "web").when(number == 2, "books").otherwise("code")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    taken = mixing.mix(docs, ["doc_id"], domain_of(), fraction=0.5, max_epochs=3, seed=17,
+                       domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS)
+    return taken.select("row.doc_id", "domain", "lang", "source", "words", "epoch")
+
+
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = urls.judge_urls(table(spark, sf_dir, "pages"), rules, ["page_id"])
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link_documents(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -53,6 +94,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat": (op1_chat, None),
+    "op2_mixing": (op2_mixing, None),
+    "op3_urls": (op3_urls, None),
     "op4_near_dup": (op4_near_dup, None),
     "op8_secrets": (op8_secrets, None),
     "op7_line_dedup": (op7_line_dedup, None),
