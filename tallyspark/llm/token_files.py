@@ -51,20 +51,34 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     return (value & _MASKS[lengths]).astype(np.uint32)
 
 
-def _tokenize(path: str, caseless: bool, end_id: int, bounds: list[int]):
+def _binary(data: bytes | memoryview, sizes: np.ndarray) -> pa.Array:
+    """Binary column of consecutive pieces of ``data`` with the given sizes in bytes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    large = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return large.cast(pa.binary())
+
+
+def _values(column: pa.Array, kind: str) -> np.ndarray:
+    """All values of a binary column without nulls, end to end."""
+    large = column.cast(pa.large_binary())
+    offsets = np.frombuffer(large.buffers()[1], dtype=np.int64)[large.offset:large.offset + len(large) + 1]
+    return np.frombuffer(large.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]].view(kind)
+
+
+def _tokenize(path: str, caseless: bool, end_id: int, bounds: list[int], kind: str):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
-            encoded = encoder(path, caseless).encode(batch.column("text").to_pylist())
-            ids = [np.frombuffer(e + end, dtype="<u4") for e in encoded]
+        for batch in small_batches(batches, "text"):
+            encoded = [e + end for e in encoder(path, caseless).encode(batch.column("text").to_pylist())]
+            sizes = np.array([len(e) for e in encoded], dtype=np.int64) // 4
+            ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(kind)
             yield pa.RecordBatch.from_arrays([
                 pa.array(slice_numbers(batch.column("doc_id"), bounds)),
                 batch.column("doc_id"),
-                pa.array([len(i) for i in ids], pa.int64()),
-                pa.array([encode_values(i)[0] for i in ids], pa.binary()),
-                pa.array([encode_values(i)[1] for i in ids], pa.binary()),
-            ], names=["slice", "doc_id", "n_tokens", "control", "data"])
+                pa.array(sizes),
+                _binary(ids.tobytes(), sizes * ids.itemsize),
+            ], names=["slice", "doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -85,23 +99,24 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*batch.schema.names, "before"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for n, control, data in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "control", "data"))):
-            counts = np.bincount(decode_values(control, data, n))
-            if len(counts) > len(seen):
-                seen = np.concatenate([seen, np.zeros(len(counts) - len(seen), np.int64)])
-            seen[: len(counts)] += counts
-    ids = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids])], names=["id", "n"])
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            counts = np.bincount(_values(batch.column("ids"), kind), minlength=len(seen))
+            counts[: len(seen)] += seen
+            seen = counts
+        ids = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids])], names=["id", "n"])
+
+    return run
 
 
 _BLOCK = ("slice int, before bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, "
           "control binary, data binary")
 
 
-def _blocks(rank_of: np.ndarray, offsets: dict[int, int]):
+def _blocks(rank_of: np.ndarray, offsets: dict[int, int], kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("n_tokens").to_numpy()
@@ -112,9 +127,7 @@ def _blocks(rank_of: np.ndarray, offsets: dict[int, int]):
             rows = []
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
                 part = batch.slice(a, b - a)
-                ids = [decode_values(c, d, n) for c, d, n in zip(
-                    part.column("control").to_pylist(), part.column("data").to_pylist(), sizes[a:b].tolist())]
-                control, data = encode_values(rank_of[np.concatenate(ids)])
+                control, data = encode_values(rank_of[_values(part.column("ids"), kind)])
                 number = int(slices[a])
                 rows.append((number, offsets[number] + int(before[a]), int(sizes[a:b].sum()),
                              part.column("doc_id").to_pylist(), sizes[a:b].tolist(), control, data))
@@ -136,16 +149,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, casele
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     bounds = order_bounds(docs, "doc_id", rows_per_slice)
+    largest = max(encoder(tokenizer_path, caseless).largest_id, end_id)
+    kind = "<u2" if largest < 1 << 16 else "<u4"
+    row = "slice int, doc_id bigint, n_tokens bigint, ids binary"
     ordered = (
-        docs.mapInArrow(_tokenize(tokenizer_path, caseless, end_id, bounds),
-                        "slice int, doc_id bigint, n_tokens bigint, control binary, data binary")
+        docs.mapInArrow(_tokenize(tokenizer_path, caseless, end_id, bounds, kind), row)
         .repartitionById(len(bounds) + 1, F.col("slice"))
-        .sortWithinPartitions("slice", F.col("doc_id").asc_nulls_first(), "control", "data")
-        .mapInArrow(_running, "slice int, doc_id bigint, n_tokens bigint, control binary, data binary, before bigint")
+        .sortWithinPartitions("slice", F.col("doc_id").asc_nulls_first(), "ids")
+        .mapInArrow(_running, f"{row}, before bigint")
     )
     ordered.write.option("compression", "zstd").parquet(f"{path}/unranked")
     tokens = spark.read.parquet(f"{path}/unranked")
-    counts = tokens.select("n_tokens", "control", "data").mapInArrow(_count, "id bigint, n bigint")
+    counts = tokens.select("ids").mapInArrow(_count(kind), "id bigint, n bigint")
     ranked = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
     rank_of = np.zeros(max((r["id"] for r in ranked), default=0) + 1, dtype=np.uint32)
     for rank, r in enumerate(ranked):
@@ -158,7 +173,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, casele
     table = [(rank, r["id"], r["n"]) for rank, r in enumerate(ranked)]
     spark.createDataFrame(table, "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{path}/ranks")
     (
-        tokens.mapInArrow(_blocks(rank_of, offsets), _BLOCK)
+        tokens.mapInArrow(_blocks(rank_of, offsets, kind), _BLOCK)
         .sortWithinPartitions("slice", "before")
         .write.partitionBy("slice").option("compression", "none").parquet(f"{path}/blocks")
     )
@@ -171,12 +186,12 @@ def _unpack(id_of: np.ndarray):
                 before, n, docs, sizes, control, data = (
                     batch.column(c)[row].as_py() for c in ("before", "n_ids", "doc_ids", "n_tokens", "control", "data"))
                 ids = id_of[decode_values(control, data, n)].astype("<u4")
-                ends = np.cumsum(sizes)
+                sizes = np.array(sizes, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(docs, pa.int64()),
-                    pa.array(before + ends - np.array(sizes)),
-                    pa.array(sizes, pa.int64()),
-                    pa.array([ids[e - s: e].tobytes() for e, s in zip(ends, sizes)], pa.binary()),
+                    pa.array(before + np.cumsum(sizes) - sizes),
+                    pa.array(sizes),
+                    _binary(ids.tobytes(), 4 * sizes),
                 ], names=["doc_id", "start", "n_tokens", "ids"])
 
     return run

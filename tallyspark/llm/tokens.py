@@ -41,6 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self.largest_id = max(self._tokenizer.get_vocab().values())
         self._caseless = caseless
         self._words = _CASELESS_WORDS if caseless else _BYTE_WORDS
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
