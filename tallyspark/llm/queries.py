@@ -93,7 +93,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": (pipeline, None),
     "op1_chat": (op1_chat, None),
     "op2_mixing": (op2_mixing, None),
     "op3_urls": (op3_urls, None),
