@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, line_dedup, mixing, near_dup, packing, quality, secret_scan, syncmers, token_files, urls
+from tallyspark.llm import chat, line_dedup, mixing, near_dup, packing, quality, reference_sql, secret_scan, syncmers, token_files, urls
 from tallyspark.llm.common import table
 from tallyspark.llm.tokens import default_path
 
@@ -101,13 +101,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": (pipeline, None),
-    "op1_chat": (op1_chat, None),
-    "op2_mixing": (op2_mixing, None),
-    "op3_urls": (op3_urls, None),
+    "op1_chat": (op1_chat, reference_sql.chat(_AWKWARD)),
+    "op2_mixing": (op2_mixing, reference_sql.mixing(0.5, 3, 17, DOMAIN_WEIGHTS, LANG_WEIGHTS)),
+    "op3_urls": (op3_urls, reference_sql.urls(URL_RULES)),
     "op4_near_dup": (op4_near_dup, None),
     "op8_secrets": (op8_secrets, None),
-    "op7_line_dedup": (op7_line_dedup, None),
-    "op10_quality": (op10_quality, None),
+    "op7_line_dedup": (op7_line_dedup, reference_sql.line_dedup_sql()),
+    "op10_quality": (op10_quality, reference_sql.quality_sql()),
     "op5_packing": (op5_packing, None),
     "op6_token_files": (op6_token_files, None),
     "op9_syncmers": (op9_syncmers, None),
