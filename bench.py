@@ -52,6 +52,7 @@ def main() -> None:
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": os.path.abspath("spark-warehouse/staged"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

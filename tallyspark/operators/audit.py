@@ -62,10 +62,9 @@ def ballot_of_image(star: Star, ballots: DataFrame | None = None) -> DataFrame:
 def contest_cells(star: Star, pages: DataFrame | None = None) -> DataFrame:
     """Text of one contest on one physical ballot.
 
-    Facts are first counted per image and entry, on plain numbers, so the list behind a
-    cell is as long as the contest's entries; an entry marked several times is repeated.
-    Entries come in image order and then in the order of their marks; ranked ones by
-    rank first.
+    Facts are first gathered per image and entry, on plain numbers; the list behind a cell
+    is as long as the contest's marks on the sheet.  Marks come in image order and then in
+    the order they stand in; ranked ones by rank first.
     """
     pages = ballot_of_image(star) if pages is None else pages
     types = star.contest.select(F.col("id").alias("contest_id"), "contest_type")
@@ -73,7 +72,7 @@ def contest_cells(star: Star, pages: DataFrame | None = None) -> DataFrame:
     voted, spoiled = F.col("vote_status") == "VOTED", F.col("vote_status") == "OVERVOTED"
     entries = (
         star.vote_opportunity.groupBy(F.col("ballot_image_id").alias("image_id"), "contest_id", "candidate_id_fk")
-        .agg(F.count_if(voted).alias("times"), F.count_if(spoiled).alias("spoiled"), F.min(F.when(voted, F.col("seq"))).alias("seq"))
+        .agg(F.count_if(spoiled).alias("spoiled"), F.collect_list(F.when(voted, F.col("seq"))).alias("places"))
         .join(pages.select("image_id", "anchor_id"), "image_id")
         .join(types, "contest_id")
         .join(names, "candidate_id_fk")
@@ -83,13 +82,12 @@ def contest_cells(star: Star, pages: DataFrame | None = None) -> DataFrame:
         F.when(F.col("write_in"), WRITE_IN_CELL).otherwise(F.col("candidate_name"))
     )
     sort_rank = F.when(ranked, text.rank_or_last("candidate_name")).otherwise(0)
-    entry = F.when(
-        F.col("times") > 0, F.struct(sort_rank.alias("rank"), "image_id", "seq", shown.alias("shown"), "times")
+    named = entries.withColumns({"rank": sort_rank, "shown": shown})
+    each = F.transform("places", lambda at: F.struct("rank", "image_id", at.alias("at"), "shown"))
+    cells = named.withColumn("each", each).groupBy("anchor_id", "contest_id").agg(
+        F.bool_or(F.col("spoiled") > 0).alias("spoiled"), F.flatten(F.collect_list("each")).alias("entries")
     )
-    cells = entries.groupBy("anchor_id", "contest_id").agg(
-        F.bool_or(F.col("spoiled") > 0).alias("spoiled"), F.array_sort(F.collect_list(entry)).alias("entries")
-    )
-    words = F.flatten(F.transform("entries", lambda e: F.array_repeat(e["shown"], e["times"].cast("int"))))
+    words = F.transform(F.array_sort("entries"), lambda e: e["shown"])
     cell = F.when(F.col("spoiled"), OVERVOTE_CELL).otherwise(F.array_join(words, "|"))
     return cells.select("anchor_id", "contest_id", cell.alias("cell"))
 

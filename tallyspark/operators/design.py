@@ -12,7 +12,6 @@ from tallyspark.functions import measure, text
 # Fixed values.
 MAX_RANK_BOXES = 5
 MEASURE_OPTIONS = (("Yes", 1), ("No", 2))
-CORNERS = ("TL", "TR", "BR", "BL")
 
 
 # --- contests per precinct ---------------------------------------------------
@@ -156,12 +155,16 @@ def fill_measure_options(contests: DataFrame, candidates: DataFrame) -> DataFram
     return candidates.select("contest_id", "name", "display_order").unionByName(added)
 
 
-def expand_rank_options(contests: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per candidate and rank box of a ranked contest."""
+def expand_rank_options(contests: DataFrame, candidates: DataFrame, most_boxes: int = MAX_RANK_BOXES) -> DataFrame:
+    """One row per candidate and rank box of a ranked contest.
+
+    A contest has as many boxes as it states, else one per candidate, and never more
+    than ``most_boxes``, the width of the printed column.
+    """
     ranked = contests.filter("voting_method = 'RANKED_CHOICE'").select("contest_id", "max_rank_choices")
     sizes = candidates.groupBy("contest_id").agg(F.count("*").alias("n"))
-    boxes = F.when(F.col("max_rank_choices") > 0, F.least(F.col("max_rank_choices"), F.lit(MAX_RANK_BOXES))).otherwise(
-        F.least(F.col("n"), F.lit(MAX_RANK_BOXES))
+    boxes = F.when(F.col("max_rank_choices") > 0, F.least(F.col("max_rank_choices"), F.lit(most_boxes))).otherwise(
+        F.least(F.col("n"), F.lit(most_boxes))
     )
     limits = ranked.join(sizes, "contest_id").select("contest_id", boxes.cast("int").alias("boxes"))
     return (

@@ -215,7 +215,7 @@ _SETTINGS = ("contest_type", "contest_title", "max_votes", "percent_to_win")
 _RULES = ("contest_type", "max_votes")
 
 
-def contest_ballots(marks: DataFrame, settings: tuple[str, ...] = _SETTINGS) -> DataFrame:
+def contest_ballots(marks: DataFrame, settings: tuple[str, ...] = _SETTINGS, places: bool = False) -> DataFrame:
     """One row per image and contest with what its marks say.
 
     ``first`` holds the contest's settings as its first mark states them;
@@ -223,7 +223,7 @@ def contest_ballots(marks: DataFrame, settings: tuple[str, ...] = _SETTINGS) ->
     counted per entry before they are gathered, so ``choices`` is bounded by the
     entries printed on the ballot, not by the number of rows.  The settings are
     part of the counting key, which keeps that first and larger aggregate on plain
-    numbers.
+    numbers.  With ``places``, a choice also lists the ``seq`` of each of its marks.
     """
     marked = F.col("marked")
     entries = (
@@ -239,10 +239,12 @@ def contest_ballots(marks: DataFrame, settings: tuple[str, ...] = _SETTINGS) ->
             F.min("seq").alias("first_seq"),
             F.count_if(marked).alias("times"),
             F.min(F.when(marked, F.col("seq"))).alias("seq"),
+            *([F.collect_list(F.when(marked, F.col("seq"))).alias("places")] if places else []),
         )
     )
     title = [F.col("contest_title")] if "contest_title" in settings else []
-    choice = F.struct("seq", "candidate_key", "candidate_name", *title, "times")
+    listed = [F.col("places")] if places else []
+    choice = F.struct("seq", "candidate_key", "candidate_name", *title, "times", *listed)
     return entries.groupBy("image_id", "contest_id").agg(
         F.min(F.struct("first_seq", *settings)).alias("first"),
         F.sum("times").alias("marks"),

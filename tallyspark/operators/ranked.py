@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions import text
 from tallyspark.operators.ingest import Star
-from tallyspark.session import stage
+from tallyspark.session import discarding, stage
 
 # Outcomes, and what happened to a candidate in a round.
 WINNER, TIE, NO_MAJORITY = "winner", "tie", "no_majority"
@@ -138,35 +138,38 @@ def irv_rounds(ballots: DataFrame, tie_rule: str = "eliminate_last") -> DataFram
     longest candidate list.  Lists and counts are written between rounds; the
     driver only learns whether any contest is still open.
     """
-    lists = stage(_compress(ballots.select("contest_id", "prefs", F.lit(1).cast("bigint").alias("weight"))), "lists")
-    history: DataFrame | None = None
-    number = 0
-    while True:
-        number += 1
-        counts = stage(_count_round(lists, number, tie_rule), "round")
-        history = counts if history is None else history.unionByName(counts)
-        if counts.filter(F.col("outcome").isNull()).isEmpty():
-            return history
-        gone = (
-            counts.filter(F.col("outcome").isNull())
-            .groupBy("contest_id")
-            .agg(F.collect_list(F.when(F.col("fate") == "eliminated", F.col("candidate"))).alias("gone"))
-        )
-        left = lists.join(gone, "contest_id").select(
-            "contest_id", F.filter("prefs", lambda p: ~F.array_contains("gone", p)).alias("prefs"), "weight"
-        )
-        lists = stage(_compress(left.filter(F.size("prefs") > 0)), "lists")
+    spark = ballots.sparkSession
+    with discarding(spark):
+        lists = stage(_compress(ballots.select("contest_id", "prefs", F.lit(1).cast("bigint").alias("weight"))), "lists")
+        history: DataFrame | None = None
+        number = 0
+        while True:
+            number += 1
+            counts = stage(_count_round(lists, number, tie_rule), "round")
+            history = counts if history is None else history.unionByName(counts)
+            undecided = counts.filter(F.col("outcome").isNull())
+            if undecided.isEmpty():
+                return stage(history.coalesce(1), "history", keep=True)
+            gone = undecided.groupBy("contest_id").agg(
+                F.collect_list(F.when(F.col("fate") == "eliminated", F.col("candidate"))).alias("gone"))
+            left = lists.join(gone, "contest_id").select(
+                "contest_id", F.filter("prefs", lambda p: ~F.array_contains("gone", p)).alias("prefs"), "weight"
+            )
+            lists = stage(_compress(left.filter(F.size("prefs") > 0)), "lists")
 
 
 def irv_results(ballots: DataFrame, rounds: DataFrame) -> DataFrame:
-    """One row per contest that has ballots: total, rounds, winner, outcome."""
-    totals = ballots.groupBy("contest_id").agg(F.count("*").alias("total_ballots"))
+    """One row per contest that has ballots: total, rounds, winner, outcome.
+
+    Every ballot is active in the first of its ``rounds``, so ``ballots`` is not read again.
+    """
     ends = rounds.groupBy("contest_id").agg(
+        F.max(F.when(F.col("round") == 1, F.col("active"))).alias("total_ballots"),
         F.max("round").alias("rounds"),
         F.max(F.when(F.col("fate") == "winner", F.col("candidate"))).alias("winner"),
         F.coalesce(F.max("outcome"), F.lit(NO_MAJORITY)).alias("outcome"),
     )
-    return totals.join(ends, "contest_id").select("contest_id", "total_ballots", "rounds", "winner", "outcome")
+    return ends.select("contest_id", "total_ballots", "rounds", "winner", "outcome")
 
 
 def irv_round_report(rounds: DataFrame) -> DataFrame:

@@ -22,14 +22,14 @@ def valid_choices(marks: DataFrame, scans: DataFrame) -> DataFrame:
     """One row per image and contest: settings, overvote flag, and the valid choices.
 
     ``choices`` lists every marked name once, in the order of its first mark, with
-    the number of marks; ``names`` is the same list with repeats written out.
+    the number of marks; ``names`` has a name for every mark, in the order of the marks.
     """
-    per_contest = ingest.contest_ballots(marks).withColumn("overvoted", ingest.too_many_marked())
+    per_contest = ingest.contest_ballots(marks, places=True).withColumn("overvoted", ingest.too_many_marked())
     named = F.transform(
         F.array_sort("choices"),
-        lambda c: F.struct(F.coalesce(c.candidate_name, F.lit(S.UNKNOWN)).alias("name"), c.times.alias("times")),
+        lambda c: F.struct(F.coalesce(c.candidate_name, F.lit(S.UNKNOWN)).alias("name"), c.times.alias("times"), c.places.alias("places")),
     )
-    none = F.lit([]).cast("array<struct<name:string,times:bigint>>")
+    none = F.lit([]).cast("array<struct<name:string,times:bigint,places:array<bigint>>>")
     first = F.col("first")
     settled = per_contest.select(
         "image_id",
@@ -48,8 +48,11 @@ def valid_choices(marks: DataFrame, scans: DataFrame) -> DataFrame:
         F.coalesce(F.get(parts, 2), F.lit("0")).alias("party_id"),
         F.coalesce(F.get(parts, 1), F.lit("0")).alias("region_id"),
     )
-    names = F.flatten(F.transform("choices", lambda c: F.array_repeat(c["name"], c["times"].cast("int"))))
-    return settled.join(voters, "image_id").withColumn("names", names)
+    placed = F.flatten(F.transform(
+        "choices", lambda c: F.transform(c["places"], lambda at: F.struct(at.alias("at"), c["name"].alias("name")))))
+    names = F.transform(F.array_sort(placed), lambda x: x["name"])
+    plain = F.transform("choices", lambda c: F.struct(c["name"].alias("name"), c["times"].alias("times")))
+    return settled.join(voters, "image_id").withColumns({"names": names, "choices": plain})
 
 
 def _tally(choices: DataFrame, *keys: str) -> DataFrame:

@@ -147,10 +147,7 @@ paper AS MATERIALIZED (
 ),
 entry AS (
   SELECT p.anchor_id, vo.contest_id, co.contest_type, ca.candidate_name, ca.write_in, vo.vote_status,
-    vo.ballot_image_id AS page_image, vo.seq,
-    row_number() OVER (PARTITION BY p.anchor_id, vo.contest_id, vo.candidate_id_fk, vo.vote_status
-                       ORDER BY vo.ballot_image_id, vo.seq) AS nth,
-    min(vo.ballot_image_id * 1000000 + vo.seq) OVER (PARTITION BY p.anchor_id, vo.contest_id, vo.candidate_id_fk, vo.vote_status, vo.ballot_image_id) AS first_at
+    vo.ballot_image_id AS page_image, vo.seq
   FROM vo JOIN keyed k ON k.image_id = vo.ballot_image_id JOIN paper p USING (ballot_key)
   JOIN co ON co.id = vo.contest_id JOIN ca ON ca.id = vo.candidate_id_fk
 ),
@@ -161,7 +158,7 @@ cells AS MATERIALIZED (
            CASE WHEN contest_type = 'RANKED_CHOICE' THEN regexp_replace(candidate_name, '\\(Rank (\\d+)\\)$', '(\\1)')
                 WHEN write_in THEN 'WRITE-IN' ELSE candidate_name END, '|'
            ORDER BY CASE WHEN contest_type = 'RANKED_CHOICE'
-                         THEN CAST(regexp_extract(candidate_name, '\\(Rank (\\d+)\\)$', 1) AS INTEGER) ELSE 0 END, first_at, nth)
+                         THEN CAST(regexp_extract(candidate_name, '\\(Rank (\\d+)\\)$', 1) AS INTEGER) ELSE 0 END, page_image, seq)
            FILTER (WHERE vote_status = 'VOTED'), '') END AS cell
   FROM entry GROUP BY 1, 2
 )"""

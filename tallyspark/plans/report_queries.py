@@ -111,15 +111,12 @@ icr AS MATERIALIZED (
   LEFT JOIN fptp_bad f ON f.image_id = p.image_id AND f.contest_no = p.contest_id
 ),
 picked AS MATERIALIZED (
-  SELECT i.*, m.candidate_name AS candidate, m.seq,
-    min(m.seq) OVER (PARTITION BY m.image_id, m.contest_no, m.candidate_no, m.candidate_name) AS first_seq
+  SELECT i.*, m.candidate_name AS candidate, m.seq
   FROM icr i JOIN marks m ON m.image_id = i.image_id AND m.contest_no = i.contest_id
   WHERE m.marked AND NOT i.overvoted
 ),
 listed AS (
-  SELECT image_id, contest_id, string_agg(candidate, '|' ORDER BY first_seq, seq) AS names,
-         string_agg(candidate, ', ' ORDER BY first_seq, seq) AS sentence
-  FROM picked GROUP BY 1, 2
+  SELECT image_id, contest_id, list(candidate ORDER BY seq) AS marked FROM picked GROUP BY image_id, contest_id
 ),
 set_aside AS (
   SELECT m.contest_title, m.candidate_name AS candidate, count(*) AS overvotes
@@ -187,7 +184,8 @@ QUERIES = {
                      count(*) AS ballots_checked FROM marks GROUP BY 1, 2)
         LEFT JOIN set_aside USING (contest_title, candidate)""", _ICR)),
     "agg16_valid_choices": (valid_choices, with_marks("""
-        SELECT i.*, coalesce(names, '') AS names FROM icr i LEFT JOIN listed USING (image_id, contest_id)""", _ICR)),
+        SELECT i.*, coalesce(array_to_string(l.marked, '|'), '') AS names
+        FROM icr i LEFT JOIN listed l ON l.image_id = i.image_id AND l.contest_id = i.contest_id""", _ICR)),
     "agg17_summary_totals": (on_choices(totals_with_overvotes), with_marks("""
         SELECT contest_id, contest_title, candidate, votes, overvoted_ballots
         FROM (SELECT contest_id, contest_title, candidate, count(*) AS votes FROM picked GROUP BY 1, 2, 3)
@@ -198,9 +196,10 @@ QUERIES = {
         "SELECT contest_id, contest_title, region_id, candidate, count(*) AS votes FROM picked GROUP BY 1, 2, 3, 4", _ICR)),
     "agg20_overvoted_choices": (on_marks(summary.overvoted_choices), with_marks("SELECT * FROM set_aside", _ICR)),
     "agg21_image_detail": (on_choices(summary.image_detail), with_marks("""
-        SELECT contest_id, image_id, CASE WHEN overvoted THEN image_name || ' [OVERVOTE]'
-          ELSE image_name || ' (party=' || party_id || ' region=' || region_id || '): ' || sentence END AS line
-        FROM icr LEFT JOIN listed USING (image_id, contest_id) WHERE overvoted OR sentence IS NOT NULL""", _ICR)),
+        SELECT i.contest_id, i.image_id, CASE WHEN overvoted THEN image_name || ' [OVERVOTE]'
+          ELSE image_name || ' (party=' || party_id || ' region=' || region_id || '): ' || array_to_string(l.marked, ', ') END AS line
+        FROM icr i LEFT JOIN listed l ON l.image_id = i.image_id AND l.contest_id = i.contest_id
+        WHERE overvoted OR l.marked IS NOT NULL""", _ICR)),
     "agg22_vote_summary": (vote_summary, with_marks("""
         SELECT contest_title, 'totalVotes' AS section, '' AS section_key, candidate, count(*) AS votes FROM picked GROUP BY 1, 4
         UNION ALL SELECT contest_title, 'overvotedChoices', '', candidate, overvotes FROM set_aside

@@ -49,9 +49,10 @@ def _feed_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, d: str) -> DataFrame:
-    out = new_folder(spark, "stream")
-    _in_passes(_feed_rows(spark, d), "image_id", new_folder(spark, "feed"),
-               lambda feed, _: streams.ingest_stream(feed, out, f"{out}/_checkpoint"))
+    """One file per batch, whatever way the files were cut."""
+    out, folder = new_folder(spark, "stream"), new_folder(spark, "feed")
+    _in_passes(_feed_rows(spark, d).repartition(2, "image_id"), "image_id", folder, lambda feed, _: streams.ingest_stream(
+        feeds.read_feed(spark, folder, files_per_trigger=1), out, f"{out}/_checkpoint"))
     star = streams.stored_star(spark, out)
     return (
         star.vote_opportunity.join(reports.image_names(star, "image_path"), "ballot_image_id")
@@ -136,9 +137,8 @@ QUERIES = {
                      count(*) AS ballots_checked FROM marks GROUP BY 1, 2)
         LEFT JOIN set_aside USING (contest_title, candidate)""", _ICR)),
     "str3_live_counts": (live, with_marks("""
-        SELECT contest_title, candidate_name AS candidate,
-               count(*) FILTER (WHERE raw_pct >= 8 OR (raw_pct >= 5 AND trimmed_pct >= 8)) AS marked, count(*) AS ballots_checked
-        FROM meas GROUP BY 1, 2""")),
+        SELECT contest_title, candidate_name AS candidate, count(*) FILTER (WHERE marked) AS marked, count(*) AS ballots_checked
+        FROM marks GROUP BY 1, 2""")),
     "str4_snapshot_every": (final_snapshot, with_star("""
         SELECT contest, candidate, contest_type, max_votes, percent_to_win, voted + overvoted AS marked, overvoted,
                voted AS counted, place, winner FROM won""", _CONFIG, _RANKED)),

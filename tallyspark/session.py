@@ -9,7 +9,10 @@ bytes (``spark.sql.autoBroadcastJoinThreshold``) and never by a forced hint.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +54,37 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tallyspark/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet below the shared root and return the written table."""
+_SCOPES = threading.local()
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was staged inside, apart from tables staged with ``keep``.
+
+    For work whose results are written elsewhere; nothing lazy may outlive the block.
+    """
+    scopes = _SCOPES.__dict__.setdefault("paths", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stage(df: DataFrame, label: str = "stage", keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet below the shared root and return the written table.
+
+    Inside ``discarding`` the table lives as long as the block; with ``keep``, as long as
+    the block around that.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    scopes = _SCOPES.__dict__.get("paths", [])
+    depth = 2 if keep else 1
+    if len(scopes) >= depth:
+        scopes[-depth].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

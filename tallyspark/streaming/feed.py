@@ -1,6 +1,7 @@
-"""The stream's input: one row per measured box with its scan's columns beside it.
+"""The stream's input: one row per scan, with all its measured boxes in an array.
 
-A scan is delivered whole within one batch.  A blank ballot is one row without a mark.
+A scan is one row, so no way of cutting the input into batches can part a ballot from its
+marks.  The array is as long as the boxes printed on the sheet.
 """
 
 from __future__ import annotations
@@ -11,26 +12,23 @@ from pyspark.sql import types as T
 
 from tallyspark import schema as S
 
-_MARK = "m_"
 SCAN_COLUMNS = tuple(f.name for f in S.SCAN.fields)
 MARK_COLUMNS = tuple(f.name for f in S.MEASUREMENT.fields if f.name != "image_id")
+_MARK = T.StructType([f for f in S.MEASUREMENT.fields if f.name != "image_id"])
 
-
-FEED = T.StructType(
-    [T.StructField(f.name, f.dataType) for f in S.SCAN.fields]
-    + [T.StructField(_MARK + f.name, f.dataType) for f in S.MEASUREMENT.fields if f.name != "image_id"]
-)
+FEED = T.StructType([*S.SCAN.fields, T.StructField("marks", T.ArrayType(_MARK))])
 
 
 def flatten(scans: DataFrame, measurements: DataFrame) -> DataFrame:
-    """Scans and marks as feed rows."""
-    marks = measurements.select("image_id", *[F.col(c).alias(_MARK + c) for c in MARK_COLUMNS])
-    return scans.select(*SCAN_COLUMNS).join(marks, "image_id", "left")
+    """Scans and marks as feed rows; a blank ballot has no marks."""
+    marks = measurements.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("seq", *[
+        c for c in MARK_COLUMNS if c != "seq"]))).alias("marks"))
+    ordered = F.transform("marks", lambda m: F.struct(*[m[c].alias(c) for c in MARK_COLUMNS]))
+    return scans.select(*SCAN_COLUMNS).join(marks.select("image_id", ordered.alias("marks")), "image_id", "left")
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
-    """Add files to a stream's folder.  A batch must hold scans whole: read all that was
-    added together, or write one file per group of scans."""
+    """Add files to a stream's folder."""
     rows.write.mode("append").parquet(path)
 
 
@@ -43,10 +41,10 @@ def read_feed(spark: SparkSession, path: str, files_per_trigger: int | None = No
 
 
 def scans_of(batch: DataFrame) -> DataFrame:
-    """The scans of a batch, once each."""
-    return batch.select(*SCAN_COLUMNS).dropDuplicates(["image_id"])
+    """The scans of a batch."""
+    return batch.select(*SCAN_COLUMNS)
 
 
 def marks_of(batch: DataFrame) -> DataFrame:
-    marks = batch.filter(F.col(_MARK + "seq").isNotNull())
-    return marks.select("image_id", *[F.col(_MARK + c).alias(c) for c in MARK_COLUMNS])
+    """The marks of a batch, a row each."""
+    return batch.select("image_id", F.explode("marks").alias("m")).select("image_id", *[F.col(f"m.{c}") for c in MARK_COLUMNS])

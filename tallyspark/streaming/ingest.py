@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyspark import schema as S
 from tallyspark.operators import cells, ingest, summary, winners
 from tallyspark.operators.ingest import Star
-from tallyspark.session import number_rows, stage
+from tallyspark.session import discarding, number_rows, stage
 from tallyspark.sources import audit_log
 from tallyspark.streaming.feed import marks_of, scans_of
 from tallyspark.streaming.store import read_table, write_batch
@@ -20,6 +20,7 @@ from tallyspark.streaming.store import read_table, write_batch
 REVIEW = T.StructType(
     [T.StructField("image_id", T.LongType()), T.StructField("image_path", T.StringType()), T.StructField("reason", T.StringType())]
 )
+_PATH = T.StructType([T.StructField("image_path", T.StringType())])
 TALLY = T.StructType(
     [
         T.StructField("contest_title", T.StringType()),
@@ -62,30 +63,40 @@ def _grow(spark: SparkSession, out: str, table: str, schema: T.StructType, found
     return read_table(spark, out, table, schema, before=batch_id + 1)
 
 
+def _kept(batch: DataFrame, batch_id: int, out: str, paths: str) -> tuple[DataFrame, DataFrame]:
+    """The scans of a batch that count, and those for review.
+
+    A path counts once: later copies in the batch go, and so do paths that an earlier batch
+    wrote to ``paths``.  Only the path column is read for that.
+    """
+    good, review = ingest.split_review(scans_of(batch))
+    stored = read_table(batch.sparkSession, out, paths, _PATH, before=batch_id)
+    return stage(ingest.dedupe_images(good).join(stored, "image_path", "left_anti"), "kept"), review
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, out: str,
                  dark_pct_min: float = S.DEFAULT_DARK_PCT_MIN) -> None:
     """One batch of the feed into the stored star and the review table.
 
-    A path already stored by an earlier batch is dropped here, as is a later copy
-    inside the batch.  Only the path column of the stored images is read for that.
+    What is staged on the way is deleted at the end of the batch.
     """
     spark = batch.sparkSession
-    rows = stage(batch, "batch")
-    good, review = ingest.split_review(scans_of(rows))
-    stored = read_table(spark, out, "ballot_image", S.BALLOT_IMAGE, before=batch_id).select("image_path")
-    kept = stage(ingest.dedupe_images(good).join(stored, "image_path", "left_anti"), "kept")
-    marks = ingest.classify_marks(marks_of(rows), dark_pct_min).join(kept.select("image_id"), "image_id", "left_semi")
-
-    variants = ingest.dimension_variants(marks)
-    barcodes = _grow(spark, out, "barcode", S.BARCODE, ingest.distinct_barcodes(kept), ["raw_data"], batch_id)
-    contests = _grow(spark, out, "contest", S.CONTEST, ingest.described_contests(variants, marks),
-                     ["contest_title", "contest_type"], batch_id)
-    candidates = _grow(spark, out, "candidate", S.CANDIDATE, ingest.described_candidates(variants, marks, contests),
-                       ["contest_id", "candidate_name"], batch_id)
-    images = ingest.build_image_table(kept, barcodes)
-    write_batch(ingest.build_vote_fact(marks, images, contests, candidates), out, "vote_opportunity", batch_id)
-    write_batch(review, out, "review", batch_id)
-    write_batch(images, out, "ballot_image", batch_id)
+    rows = batch.persist()
+    with discarding(spark):
+        kept, review = _kept(rows, batch_id, out, "ballot_image")
+        marks = ingest.classify_marks(marks_of(rows), dark_pct_min).join(kept.select("image_id"), "image_id", "left_semi")
+
+        variants = ingest.dimension_variants(marks)
+        barcodes = _grow(spark, out, "barcode", S.BARCODE, ingest.distinct_barcodes(kept), ["raw_data"], batch_id)
+        contests = _grow(spark, out, "contest", S.CONTEST, ingest.described_contests(variants, marks),
+                         ["contest_title", "contest_type"], batch_id)
+        candidates = _grow(spark, out, "candidate", S.CANDIDATE, ingest.described_candidates(variants, marks, contests),
+                           ["contest_id", "candidate_name"], batch_id)
+        images = ingest.build_image_table(kept, barcodes)
+        write_batch(ingest.build_vote_fact(marks, images, contests, candidates), out, "vote_opportunity", batch_id)
+        write_batch(review, out, "review", batch_id)
+        write_batch(images, out, "ballot_image", batch_id)
+    rows.unpersist()
 
 
 def stored_star(spark: SparkSession, out: str, before: int | None = None) -> Star:
@@ -120,20 +131,31 @@ def dedupe_stream(scans: DataFrame, watermark: tuple[str, str] | None = None) ->
 
 
 def live_counts(feed: DataFrame, dark_pct_min: float = S.DEFAULT_DARK_PCT_MIN) -> DataFrame:
-    """Boxes looked at and marked per title and candidate, as a streaming aggregate."""
-    marks = ingest.classify_marks(marks_of(feed), dark_pct_min)
+    """Boxes looked at and marked per title and candidate, as a streaming aggregate.
+
+    Scans for review do not count, nor do copies of a path that has been seen before.
+    """
+    good = feed.filter(F.col("error_message").isNull()).dropDuplicates(["image_path"])
+    marks = ingest.classify_marks(marks_of(good), dark_pct_min)
     return marks.groupBy("contest_title", F.col("candidate_name").alias("candidate")).agg(
         F.count_if("marked").alias("marked"), F.count("*").alias("ballots_checked")
     )
 
 
 def tally_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """The batch's share of the session tally.  A scan never spans batches, so overvotes
-    are settled inside one and shares simply add up."""
-    rows = stage(batch, "batch")
-    good, _ = ingest.split_review(scans_of(rows))
-    marks = ingest.classify_marks(marks_of(rows)).join(good.select("image_id"), "image_id", "left_semi")
-    write_batch(summary.session_tallies(marks), out, "tally", batch_id)
+    """The batch's share of the session tally, under the same rule for repeats as the store.
+
+    A scan is one row of the feed, so overvotes are settled inside a batch and shares
+    simply add up.
+    """
+    spark = batch.sparkSession
+    rows = batch.persist()
+    with discarding(spark):
+        kept, _ = _kept(rows, batch_id, out, "tally_path")
+        marks = ingest.classify_marks(marks_of(rows)).join(kept.select("image_id"), "image_id", "left_semi")
+        write_batch(summary.session_tallies(marks), out, "tally", batch_id)
+        write_batch(kept.select("image_path"), out, "tally_path", batch_id)
+    rows.unpersist()
 
 
 def running_tallies(spark: SparkSession, out: str) -> DataFrame:
@@ -220,7 +242,14 @@ def ink_batch(batch: DataFrame, batch_id: int, out: str, boxes: DataFrame, warp_
     order, and every page has at least one pixel row.
     """
     spark = batch.sparkSession
-    pixels = stage(batch, "pixels")
+    pixels = batch.persist()
+    with discarding(spark):
+        _ink_batch(spark, pixels, batch_id, out, boxes, warp_dpi, dilation_in, pad_in)
+    pixels.unpersist()
+
+
+def _ink_batch(spark: SparkSession, pixels: DataFrame, batch_id: int, out: str, boxes: DataFrame, warp_dpi: int,
+               dilation_in: float, pad_in: float) -> None:
     known = read_table(spark, out, "first_dark", _FIRST, before=batch_id)
     seeds = read_table(spark, out, "seed", _SEED, before=batch_id)
     new_seeds = pixels.groupBy("barcode").agg(F.min("seq").alias("seed_seq")).join(seeds, "barcode", "left_anti")

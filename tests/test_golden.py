@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import ranked, reports, winners
-from tests.builders import dicts, mark, scan, star_of
+from tallyspark.operators import audit, ingest, ranked, reports, summary, winners
+from tests.builders import dicts, mark, marks_df, scan, scans_df, star_of
 
 
 def prefs_df(spark, ballots, contest=1):
@@ -125,3 +125,18 @@ def test_undecided_contest_is_listed(spark):
     star = star_of(spark, [scan(i) for i in range(1, 5)], marks)
     assert [r["contest"] for r in winners.no_winner_contests(winners.results_report(star)).collect()] == ["Mayor"]
     assert reports.votes_by_contest(star).agg(F.sum("voted")).first()[0] == 4
+
+
+def test_marks_keep_their_order(spark):
+    """A, B, A stays A, B, A in the choices, the detail line and the cell."""
+    kinds = {"title": "Pick", "kind": "APPROVAL", "max_votes": 9}
+    marks = [mark(1, 1, "A", candidate_id=1, **kinds), mark(1, 2, "B", candidate_id=2, **kinds), mark(1, 3, "A", candidate_id=1, **kinds)]
+    scans = [scan(1)]
+    chosen = summary.valid_choices(ingest.classify_marks(marks_df(spark, marks)), scans_df(spark, scans))
+    row = chosen.first()
+    assert row["names"] == ["A", "B", "A"]
+    assert [(c["name"], c["times"]) for c in row["choices"]] == [("A", 2), ("B", 1)]
+    assert summary.image_detail(chosen).first()["line"].endswith("): A, B, A")
+    star = star_of(spark, scans, marks)
+    assert audit.contest_cells(star).first()["cell"] == "A|B|A"
+    assert audit.cvr_export(star).first()["Pick"] == "A|B|A"

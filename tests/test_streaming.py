@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+
 import pytest
 from pyspark.errors import StreamingQueryException
 
-from tallyspark.operators import cells, reports, winners
+from tallyspark import session
+from tallyspark.operators import cells, ingest, ranked, reports, summary, winners
 from tallyspark.sources import audit_log
 from tallyspark.streaming import feed as feeds
 from tallyspark.streaming import ingest as streams
@@ -39,6 +42,38 @@ def test_restarts_count_once_and_equal_batch(spark, tmp_path):
     assert [r["reason"] for r in read_table(spark, out, "review", streams.REVIEW).collect()] == ["torn"]
 
 
+def test_one_file_per_batch_equals_batch(spark, tmp_path):
+    """Scans with many marks, overvotes and repeated paths, each scan in a file and a batch of its own."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    scans = [scan(1), scan(2), scan(3, "/in/b1_c1.png"), scan(4, error="torn")]
+    marks = [mark(1, 1, "A"), mark(1, 2, "B"), mark(2, 1, "A"), mark(2, 2, "B", marked=False), mark(3, 1, "B"), mark(4, 1, "A"),
+             *[mark(2, k, f"X (Rank {k % 3})", kind="RANKED_CHOICE", title="R", contest_id=2) for k in range(3, 9)]]
+    for one in scans:
+        arrive(spark, source, [one], [m for m in marks if m["image_id"] == one["image_id"]])
+    streams.ingest_stream(feeds.read_feed(spark, source, files_per_trigger=1), out, f"{out}/_cp").awaitTermination()
+    streams.run(feeds.read_feed(spark, source, files_per_trigger=1), lambda b, i: streams.tally_batch(b, i, out), f"{out}/_cp2").awaitTermination()
+    star, batch = streams.stored_star(spark, out), star_of(spark, scans, marks)
+    columns = ("contest", "candidate", "voted", "overvoted", "unmarked")
+    assert dicts(reports.votes_by_contest(star).select(*columns), *columns) == dicts(reports.votes_by_contest(batch).select(*columns), *columns)
+    counted = ingest.counted_marks(ingest.classify_marks(marks_df(spark, marks)), scans_df(spark, scans))
+    tally = ("contest_title", "candidate", "votes", "ballots_checked", "overvotes")
+    assert dicts(streams.running_tallies(spark, out).select(*tally), *tally) == dicts(summary.session_tallies(counted).select(*tally), *tally)
+
+
+def test_batches_and_rounds_leave_nothing_staged(spark, tmp_path):
+    root = session.shared_root(spark).removeprefix("file:")
+    def staged():
+        return set(glob.glob(f"{root}/tallyspark/{spark.sparkContext.applicationId}/*"))
+
+    before = staged()
+    streams.ingest_batch(feeds.flatten(scans_df(spark, [scan(1)]), marks_df(spark, [mark(1, 1, "A"), mark(1, 2, "B")])), 0, str(tmp_path / "out"))
+    assert staged() == before
+    ballots = spark.createDataFrame([(1, ["A", "B"]), (1, ["B"]), (1, ["C", "A"]), (1, ["A"])], "contest_id bigint, prefs array<string>")
+    rounds = ranked.irv_rounds(ballots)
+    (left,) = staged() - before
+    assert "history" in left and rounds.count() > 0
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     out = str(tmp_path / "out")
     first = feeds.flatten(scans_df(spark, [scan(1)]), marks_df(spark, [mark(1, 1, "A")]))
