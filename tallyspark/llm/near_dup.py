@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.bloom import keep_possible
 from tallyspark.llm.common import mix64, shingle_hashes, small_batches, text_of
 from tallyspark.llm.components import components
 from tallyspark.session import stage
@@ -205,11 +206,15 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
         .agg(F.min("doc_id").alias("node"), F.first("regions").alias("regions")), "classes")
     members = classes.filter("node is not null").select("node", F.explode("regions").alias("region"))
     shared = members.groupBy("region").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    spokes = stage(members.join(shared.select("region", "least"), "region").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "spokes")
+    shared = stage(shared.select("region", "least"), "shared-regions")
+    spokes = stage(keep_possible(members, "region", shared).join(shared, "region").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "spokes")
     clusters = stage(components(spokes).withColumnsRenamed({"component": "cluster"}), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("nodes"))
     wanted = clusters.join(sizes, "cluster").select("node", "cluster", (F.col("nodes") > MOST).alias("large"))
-    texts = stage(docs.join(wanted, F.col("doc_id") == F.col("node")).select("node", "cluster", "large", "text"), "texts")
+    wanted = stage(wanted, "wanted").withColumnRenamed("node", "doc_id")
+    texts = stage(
+        keep_possible(docs, "doc_id", wanted).join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "cluster", "large", "text"),
+        "texts")
     links = stage(
         texts.filter("not large").select("cluster", "node", "text").repartition("cluster").sortWithinPartitions("cluster", "node")
         .mapInArrow(_link_clusters(size, percent), _LINK), "cluster-links")

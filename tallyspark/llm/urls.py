@@ -6,10 +6,6 @@ url is cut into all keys that a rule could have: every ending of its host after
 every start of its path as long as some rule's path.  Keys that pass the Bloom filter join
 the rules exactly, which removes false hits.
 
-The filter's blocks are 256 bits; a key sets one bit in each of its block's eight words.
-Sixteen bits per rule, at most ``MOST_BYTES`` for the whole filter: with more rules it lets
-more keys through to the join, and stays right.
-
 A null url, or one without ``://``, has an empty host and path, and no rule.
 """
 
@@ -23,14 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.bloom import build_filter, might_hold
 from tallyspark.session import stage
 
-MOST_BYTES = 8 << 20
-_WORDS, _WORD_BITS = 8, 32
-#: Odd numbers below 2**31, so that products stay within 63 bits.
-_SALTS = [((0x9E3779B1 * (2 * i + 1)) & 0x7FFFFFFF) | 1 for i in range(_WORDS)]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOW = 0xFFFFFFFF
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,41 +34,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.coalesce(host, F.lit("")), _UPPER, _UPPER.lower()), F.coalesce(path, F.lit(""))
 
 
-def _block_count(keys: int) -> int:
-    bits = _WORDS * _WORD_BITS
-    return max(1, min(MOST_BYTES * 8 // bits, -(-16 * keys // bits)))
-
-
-def build_filter(keys: DataFrame, key_col: str) -> np.ndarray:
-    """Blocks of a Bloom filter over ``keys``; Spark sets the bits, the driver gets at most MOST_BYTES."""
-    blocks = _block_count(keys.count())
-    h = F.xxhash64(key_col)
-    low = h.bitwiseAND(F.lit(_LOW))
-    block = F.shiftrightunsigned(h, 32) % blocks
-    bits = F.array(*[
-        F.struct(block.alias("block"), F.lit(w).alias("word"),
-                 F.shiftright((low * F.lit(salt)).bitwiseAND(F.lit(_LOW)), 27).cast("int").alias("bit"))
-        for w, salt in enumerate(_SALTS)
-    ])
-    one = F.expr("shiftleft(1L, bit)")
-    words = keys.select(F.explode(bits).alias("b")).select("b.*").groupBy("block", "word").agg(F.bit_or(one).alias("bits"))
-    out = np.zeros((blocks, _WORDS), dtype=np.uint64)
-    found = words.toPandas()
-    out[found["block"].to_numpy(np.int64), found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint64)
-    return out
-
-
-def might_hold(blocks: np.ndarray, keys: list[str]) -> np.ndarray:
-    h = np.array([xxhash.xxh64_intdigest(k.encode(), seed=42) for k in keys], dtype=np.uint64)
-    block = (h >> np.uint64(32)) % np.uint64(len(blocks))
-    low = h & np.uint64(_LOW)
-    passes = np.ones(len(keys), dtype=bool)
-    for w, salt in enumerate(_SALTS):
-        bit = ((low * np.uint64(salt)) & np.uint64(_LOW)) >> np.uint64(27)
-        passes &= (blocks[block, w] >> bit & np.uint64(1)).astype(bool)
-    return passes
-
-
 def candidate_keys(host: str, path: str, sizes: list[int]) -> list[str]:
     """Every key a fitting rule can have."""
     ends = [host] + [host[i + 1:] for i, c in enumerate(host) if c == "."]
@@ -90,7 +47,8 @@ def _possible(blocks: np.ndarray, sizes: list[int]):
             each = [candidate_keys(h, p, sizes) for h, p in zip(hosts, paths)]
             row = np.repeat(np.arange(len(each)), [len(k) for k in each])
             keys = [k for found in each for k in found]
-            hits = np.flatnonzero(might_hold(blocks, keys)) if keys else np.empty(0, np.int64)
+            hashes = np.array([xxhash.xxh64_intdigest(k.encode(), seed=42) for k in keys], dtype=np.uint64)
+            hits = np.flatnonzero(might_hold(blocks, hashes))
             rows = pa.array(row[hits])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("host").take(rows), batch.column("path").take(rows), pa.array([keys[i] for i in hits], pa.string())],
@@ -113,7 +71,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str
         "url-rules",
     )
     sizes = sorted(r[0] for r in listed.select("path_size").distinct().collect())
-    blocks = build_filter(listed, "rule")
+    blocks = build_filter(listed, F.xxhash64("rule"))
     possible = rows.select("host", "path").distinct().mapInArrow(_possible(blocks, sizes), "host string, path string, key string")
     best = F.max(F.struct(F.length("rule").alias("size"), "host_size", "rule", "verdict")).alias("best")
     judged = (
