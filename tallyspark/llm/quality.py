@@ -98,16 +98,17 @@ def _value(cell: Column) -> Column:
     return F.when(cell == _ZERO, 0.0).otherwise(2 * F.pow(F.lit(CELL), cell) / (CELL + 1))
 
 
+def _measured() -> list[Column]:
+    """The measures of a text with words, in the order of ``MEASURES``."""
+    n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    return [F.col("word_chars") / n, F.col("n_symbols") / n, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / n]
+
+
 def sketches(counted: DataFrame) -> DataFrame:
     """Cell counts of every measure by language and source."""
-    n = F.col("n_words")
-    values = F.array(
-        F.col("word_chars") / n, F.col("n_symbols") / n,
-        F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), F.col("n_repeat_words") / n,
-    )
     return (
-        counted.filter(n > 0)
-        .select("lang", "source", F.posexplode(values).alias("measure", "value"))
+        counted.filter("n_words > 0")
+        .select("lang", "source", F.posexplode(F.array(*_measured())).alias("measure", "value"))
         .groupBy("lang", "source", "measure", _cell(F.col("value")).alias("cell"))
         .agg(F.count("*").alias("n"))
     )
@@ -187,10 +188,8 @@ def judge(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: st
         F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "low", "high")
     n = F.col("n_words")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PCT * n)
-    measured = [F.col("word_chars") / n, F.col("n_symbols") / n,
-                F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), F.col("n_repeat_words") / n]
     inside = F.lit(True)
-    for i, value in enumerate(measured):
+    for i, value in enumerate(_measured()):
         inside = inside & value.between(F.col("low")[i], F.col("high")[i])
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
     return (

@@ -8,8 +8,8 @@ alphabet, and correlation of neighbours.  The three probabilities combine by Bon
 
 Which candidates count as random is decided per band of length, over all texts.  Random
 strings pass a limit t with probability (1 - t/3)^3, so their number follows from those above
-one half; what else passes is false.  Each band takes the smallest limit at which at most
-``FALSE_SHARE`` of what passes is false.
+one half; what else passes is false.  Each band takes the smallest limit, ``LEAST`` or more,
+at which at most ``FALSE_SHARE`` of what passes is false.
 
 Spans count code points, end exclusive.  A random span inside a base span is left out.
 Null text is empty.  Repeated rows are reported each.  Only built-in expressions are used.
@@ -50,6 +50,7 @@ ENCODINGS = (
 )
 BANDS = (20, 24, 32, 48, 64, 128)
 FALSE_SHARE = 0.1
+LEAST = 0.001
 _GRID = 100
 
 
@@ -154,7 +155,7 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def limits(spans: DataFrame) -> DataFrame:
     """Per band of length, the least probability that counts as random (one row per band)."""
-    cells = spans.filter("p is not null").groupBy("band", F.floor(F.col("p") * _GRID).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    cells = spans.filter(F.col("p") >= LEAST).groupBy("band", F.floor(F.col("p") * _GRID).cast("int").alias("cell")).agg(F.count("*").alias("n"))
     above = F.sum("n").over(Window.partitionBy("band").orderBy(F.desc("cell")))
     # A cell without strings needs no row: the limit can only fall where strings are.
     passing = cells.select("band", "cell", above.alias("passing"))
@@ -162,7 +163,7 @@ def limits(spans: DataFrame) -> DataFrame:
     t = F.col("cell") / F.lit(float(_GRID))
     random = F.col("half") / (1 - 0.5 / 3) ** 3 * F.pow(1 - t / 3, F.lit(3))
     fine = (F.col("cell") >= _GRID // 2) | (F.col("passing") - random <= FALSE_SHARE * F.col("passing"))
-    return passing.join(half, "band").filter(fine).groupBy("band").agg((F.min("cell") / F.lit(float(_GRID))).alias("limit"))
+    return passing.join(half, "band").filter(fine).groupBy("band").agg(F.greatest(F.min("cell") / F.lit(float(_GRID)), F.lit(LEAST)).alias("limit"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
