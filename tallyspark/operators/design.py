@@ -200,6 +200,28 @@ def lookup(table: DataFrame, order_by: Sequence[str | Column], **equals: object)
     return rows.orderBy(*order_by)
 
 
+def parties_by_name(parties: DataFrame) -> DataFrame:
+    return parties.orderBy("name")
+
+
+def ballot_types_by_name(types: DataFrame) -> DataFrame:
+    return types.orderBy("name")
+
+
+def elections_newest_first(elections: DataFrame) -> DataFrame:
+    return elections.orderBy(F.desc("election_date"))
+
+
+def regions_of_jurisdiction(regions: DataFrame, jurisdiction_id: int) -> DataFrame:
+    return lookup(regions, ["name"], jurisdiction_id=jurisdiction_id)
+
+
+def groups_containing(regions: DataFrame, members: DataFrame, precinct_id: int) -> DataFrame:
+    """The groups that have a precinct among their members."""
+    holding = members.filter(F.col("member_id") == precinct_id).select(F.col("group_id").alias("region_id")).distinct()
+    return regions.join(holding, "region_id", "left_semi").orderBy("name")
+
+
 # --- simplification ----------------------------------------------------------
 
 

@@ -94,7 +94,12 @@ def merge_stations(stations: Stations, on_duplicate_image: str = "skip") -> Merg
         "candidates",
     )
     images = stage(_resolve(_stack(stations, "ballot_image"), ["image_path"]), "images")
-    image_map = _mapping(images, "ballot_image_id", "new_image", "survives")
+    merged_images = _remap_barcode(images.filter("survives"), codes).withColumn("id", F.col("new_id")).select(
+        *first.ballot_image.columns
+    )
+    # The surviving image's barcode is looked up per image, so that the facts move once.
+    codes_of = merged_images.select(F.col("id").alias("new_image"), "barcode_id")
+    image_map = _mapping(images, "ballot_image_id", "new_image", "survives").join(codes_of, "new_image", "left")
 
     facts = (
         _stack(stations, "vote_opportunity")
@@ -105,21 +110,15 @@ def merge_stations(stations: Stations, on_duplicate_image: str = "skip") -> Merg
     )
     mapped = F.col("new_image").isNotNull() & F.col("new_contest").isNotNull() & F.col("new_candidate").isNotNull()
     usable = mapped if on_duplicate_image == "append" else mapped & F.col("survives")
-    merged_images = _remap_barcode(images.filter("survives"), codes).withColumn("id", F.col("new_id")).select(
-        *first.ballot_image.columns
-    )
     moved = facts.filter(usable).withColumns(
         {"ballot_image_id": F.col("new_image"), "contest_id": F.col("new_contest"), "candidate_id_fk": F.col("new_candidate")}
     )
-    with_code = moved.join(
-        merged_images.select(F.col("id").alias("ballot_image_id"), "barcode_id"), "ballot_image_id"
-    ).select(*first.vote_opportunity.columns)
     star = Star(
         _survivors(codes, first.barcode.columns),
         merged_images,
         _survivors(contests, first.contest.columns),
         _survivors(candidates, first.candidate.columns),
-        with_code,
+        moved.select(*first.vote_opportunity.columns),
     )
     duplicates = images.filter(~F.col("survives")).groupBy("station_no").agg(F.count("*").alias("n"))
     unmapped = facts.filter(~mapped).groupBy("station_no").agg(F.count("*").alias("n"))

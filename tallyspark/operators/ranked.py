@@ -135,27 +135,28 @@ def irv_rounds(ballots: DataFrame, tie_rule: str = "eliminate_last") -> DataFram
 
     ``ballots`` has ``contest_id`` and ``prefs``.  Each round removes at least one
     candidate of every open contest, so the loop ends after as many rounds as the
-    longest candidate list.  Lists and counts are written between rounds; the
-    driver only learns whether any contest is still open.
+    longest candidate list.  The distinct lists are written once and read by every
+    round without the names that are out; a round writes its counts, a row per contest
+    and candidate.  The driver only learns whether any contest is still open.
     """
     spark = ballots.sparkSession
     with discarding(spark):
         lists = stage(_compress(ballots.select("contest_id", "prefs", F.lit(1).cast("bigint").alias("weight"))), "lists")
-        history: DataFrame | None = None
-        number = 0
+        standing, history, number = lists, None, 0
         while True:
             number += 1
-            counts = stage(_count_round(lists, number, tie_rule), "round")
+            counts = stage(_count_round(standing, number, tie_rule).coalesce(1), "round")
             history = counts if history is None else history.unionByName(counts)
-            undecided = counts.filter(F.col("outcome").isNull())
+            undecided = counts.filter(F.col("outcome").isNull()).select("contest_id").distinct()
             if undecided.isEmpty():
                 return stage(history.coalesce(1), "history", keep=True)
-            gone = undecided.groupBy("contest_id").agg(
-                F.collect_list(F.when(F.col("fate") == "eliminated", F.col("candidate"))).alias("gone"))
-            left = lists.join(gone, "contest_id").select(
-                "contest_id", F.filter("prefs", lambda p: ~F.array_contains("gone", p)).alias("prefs"), "weight"
+            gone = (
+                history.filter("fate = 'eliminated'").join(undecided, "contest_id", "left_semi")
+                .groupBy("contest_id").agg(F.collect_list("candidate").alias("gone"))
             )
-            lists = stage(_compress(left.filter(F.size("prefs") > 0)), "lists")
+            left = lists.join(gone, "contest_id").select(
+                "contest_id", F.filter("prefs", lambda p: ~F.array_contains("gone", p)).alias("prefs"), "weight")
+            standing = left.filter(F.size("prefs") > 0)
 
 
 def irv_results(ballots: DataFrame, rounds: DataFrame) -> DataFrame:

@@ -207,6 +207,31 @@ def region_lookup(spark: SparkSession, d: str) -> DataFrame:
     return design.lookup(election.regions(spark, d), ["name"], region_type="SINGLE_PRECINCT")
 
 
+def region_list(spark: SparkSession, d: str) -> DataFrame:
+    return design.regions_of_jurisdiction(election.regions(spark, d), 2)
+
+
+def precinct_groups(spark: SparkSession, d: str) -> DataFrame:
+    return design.groups_containing(election.regions(spark, d), election.members(spark, d), 7)
+
+
+def party_list(spark: SparkSession, d: str) -> DataFrame:
+    """Market segments stand in for parties."""
+    names = election.table(spark, d, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    return design.parties_by_name(names)
+
+
+def ballot_type_list(spark: SparkSession, d: str) -> DataFrame:
+    """Brands stand in for ballot types."""
+    return design.ballot_types_by_name(election.table(spark, d, "part").select(F.col("p_brand").alias("name")).distinct())
+
+
+def election_list(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates stand in for elections."""
+    dates = election.table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("election_date")).agg(F.min("o_orderkey").alias("election_id"))
+    return design.elections_newest_first(dates)
+
+
 def _collapsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All precincts of the first jurisdiction become one."""
     old = election.regions(spark, d).filter("jurisdiction_id = 0 AND region_type = 'SINGLE_PRECINCT'").select("region_id")
@@ -384,6 +409,13 @@ QUERIES = {
         "SELECT p_partkey AS contest_id, p_name AS title, p_size AS display_order FROM part WHERE p_partkey % 2 = 1"),
     "dsn11_combination_lookup": (combination_lookup, plain("SELECT * FROM combos WHERE region_id = 4", _REGIONS)),
     "dsn11_region_lookup": (region_lookup, plain("SELECT * FROM regions WHERE region_type = 'SINGLE_PRECINCT'", _REGIONS)),
+    "dsn11_regions_of_jurisdiction": (region_list, plain("SELECT * FROM regions WHERE jurisdiction_id = 2", _REGIONS)),
+    "dsn11_groups_containing": (precinct_groups, plain("""
+        SELECT * FROM regions WHERE region_id IN (SELECT group_id FROM members WHERE member_id = 7)""", _REGIONS)),
+    "dsn11_parties_by_name": (party_list, "SELECT DISTINCT c_mktsegment AS name FROM customer"),
+    "dsn11_ballot_types_by_name": (ballot_type_list, "SELECT DISTINCT p_brand AS name FROM part"),
+    "dsn11_elections_newest_first": (election_list, """
+        SELECT o_orderdate AS election_date, min(o_orderkey) AS election_id FROM orders GROUP BY 1"""),
     "dsn12_collapse_regions": (collapsed_combinations, plain("""
         SELECT * REPLACE (CASE WHEN region_id % 5 = 0 THEN 900 ELSE region_id END AS region_id) FROM combos""", _REGIONS)),
     "dsn12_collapse_assignments": (collapsed_assignments, plain("""
