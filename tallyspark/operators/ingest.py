@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark import schema as S
 from tallyspark.functions import measure, text
@@ -414,45 +415,54 @@ def build_candidate_dim(marks: DataFrame, contests: DataFrame, variants: DataFra
     return number_rows(candidates, ["contest_id", "candidate_name"], "id").select(*S.CANDIDATE.fieldNames())
 
 
-def build_vote_fact(marks: DataFrame, images: DataFrame, contests: DataFrame, candidates: DataFrame,
-                    flags: DataFrame | None = None) -> DataFrame:
-    """One fact per indicator of a kept image.
+def settled_marks(marks: DataFrame, images: DataFrame) -> DataFrame:
+    """Marks of kept images with barcode key and vote status, still under their own names.
 
-    Marks, image keys and overvote flags meet on the image id: one wide shuffle.
-    The dimensions are written tables of known size.
+    Marks meet their image on the image id, and overvotes are settled by windows inside
+    that partitioning: the wide marks are read once and moved once.
     """
-    flags = overvote_flags(marks) if flags is None else flags
-    keys = images.select(F.col("id").alias("image_id"), "barcode_id").join(flags, "image_id", "left")
-    status = _status(F.col("marked"), contest_key(), F.col("candidate_name"), F.col("overvotes"))
-    settled = _named(marks.join(keys, "image_id").withColumn("vote_status", status).drop("contest_id"))
+    keys = images.select(F.col("id").alias("image_id"), "barcode_id")
+    marked = F.col("marked")
+    named = _named(marks.withColumn("contest_key", contest_key()).withColumn(
+        "rank", text.rank_of(F.coalesce("candidate_name", F.lit("")))).join(keys, "image_id"))
+    contest = Window.partitionBy("image_id", "contest_key")
+    first = F.min(F.struct("seq", "contest_type", "max_votes")).over(contest)
+    same_rank = F.count_if(marked).over(Window.partitionBy("image_id", "contest_key", "rank"))
+    candidates = F.collect_set(F.when(marked, F.coalesce("candidate_id", F.lit(-1)))).over(contest)
+    settled = named.select("*", first.alias("first"), candidates.alias("chosen"), same_rank.alias("same_rank"))
+    limit = F.when(F.col("first.max_votes") > 0, F.col("first.max_votes")).otherwise(S.DEFAULT_MAX_VOTES)
+    whole = F.col("first.contest_type").isin(*SINGLE_MARK_TYPES) & (F.size("chosen") > limit)
+    doubled = (F.col("first.contest_type") == "RANKED_CHOICE") & (F.col("rank") > 0) & (F.col("same_rank") > 1)
+    over = whole | F.coalesce(doubled, F.lit(False))
+    status = F.when(marked & over, "OVERVOTED").when(marked, "VOTED").otherwise("UNMARKED")
+    return settled.withColumn("vote_status", status).select(
+        "image_id", "seq", "contest_title", "contest_type", "candidate_name", "max_votes", "percent_to_win", "candidate_id",
+        "write_in", "barcode_id", *_MEASURED, "vote_status")
+
+
+_MEASURED = ("abs_left", "abs_top", "width", "height", "warp_dpi", "image_x", "image_y", "threshold", "dark_pct",
+             "dark_pixels", "total_pixels", "mean_intensity")
+
+
+def key_facts(settled: DataFrame, contests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Settled marks under the keys of the written dimensions."""
     co = contests.select(F.col("id").alias("contest_id"), "contest_title", "contest_type")
     ca = candidates.select(F.col("id").alias("candidate_id_fk"), "contest_id", "candidate_name")
+    renamed = {"image_id": "ballot_image_id", "width": "indicator_width", "height": "indicator_height"}
     return (
         settled.join(co, ["contest_title", "contest_type"])
         .join(ca, ["contest_id", "candidate_name"])
-        .select(
-            F.col("image_id").alias("ballot_image_id"),
-            "seq",
-            "contest_id",
-            "candidate_id_fk",
-            "barcode_id",
-            "abs_left",
-            "abs_top",
-            F.col("width").alias("indicator_width"),
-            F.col("height").alias("indicator_height"),
-            "warp_dpi",
-            "image_x",
-            "image_y",
-            "threshold",
-            "dark_pct",
-            "dark_pixels",
-            "total_pixels",
-            "mean_intensity",
-            "vote_status",
-        )
+        .withColumnsRenamed(renamed)
+        .select("ballot_image_id", "seq", "contest_id", "candidate_id_fk", "barcode_id",
+                *[renamed.get(c, c) for c in _MEASURED], "vote_status")
     )
 
 
+def build_vote_fact(marks: DataFrame, images: DataFrame, contests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One fact per indicator of a kept image."""
+    return key_facts(settled_marks(marks, images), contests, candidates)
+
+
 def rejected_scans(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids of the scans that do not count (review and later copies), and the repeated paths.
 
@@ -473,15 +483,19 @@ def counted_marks(marks: DataFrame, scans: DataFrame) -> DataFrame:
 
 def build_star(scans: DataFrame, measurements: DataFrame,
                dark_pct_min: float = S.DEFAULT_DARK_PCT_MIN) -> Star:
-    """All five results tables.  Dimensions are written; images and facts stay lazy."""
+    """All five results tables.
+
+    The measurements are read once: settled marks are written under their own names, and
+    both dimensions and the facts come from those.  Images and facts stay lazy.
+    """
     rejected, repeated = rejected_scans(scans)
     marks = classify_marks(measurements, dark_pct_min).join(rejected, "image_id", "left_anti")
     good, _ = split_review(scans)
     kept = dedupe_images(good, repeated)
-    variants = dimension_variants(marks)
     barcodes = build_barcode_dim(kept)
-    contests = build_contest_dim(marks, variants)
-    candidates = build_candidate_dim(marks, contests, variants)
     images = build_image_table(kept, barcodes)
-    facts = build_vote_fact(marks, images, contests, candidates)
-    return Star(barcodes, images, contests, candidates, facts)
+    settled = stage(settled_marks(marks, images), "settled")
+    variants = dimension_variants(settled)
+    contests = build_contest_dim(settled, variants)
+    candidates = build_candidate_dim(settled, contests, variants)
+    return Star(barcodes, images, contests, candidates, key_facts(settled, contests, candidates))

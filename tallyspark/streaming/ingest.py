@@ -86,14 +86,15 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
         kept, review = _kept(rows, batch_id, out, "ballot_image")
         marks = ingest.classify_marks(marks_of(rows), dark_pct_min).join(kept.select("image_id"), "image_id", "left_semi")
 
-        variants = ingest.dimension_variants(marks)
         barcodes = _grow(spark, out, "barcode", S.BARCODE, ingest.distinct_barcodes(kept), ["raw_data"], batch_id)
-        contests = _grow(spark, out, "contest", S.CONTEST, ingest.described_contests(variants, marks),
+        images = ingest.build_image_table(kept, barcodes)
+        settled = stage(ingest.settled_marks(marks, images), "settled")
+        variants = ingest.dimension_variants(settled)
+        contests = _grow(spark, out, "contest", S.CONTEST, ingest.described_contests(variants, settled),
                          ["contest_title", "contest_type"], batch_id)
-        candidates = _grow(spark, out, "candidate", S.CANDIDATE, ingest.described_candidates(variants, marks, contests),
+        candidates = _grow(spark, out, "candidate", S.CANDIDATE, ingest.described_candidates(variants, settled, contests),
                            ["contest_id", "candidate_name"], batch_id)
-        images = ingest.build_image_table(kept, barcodes)
-        write_batch(ingest.build_vote_fact(marks, images, contests, candidates), out, "vote_opportunity", batch_id)
+        write_batch(ingest.key_facts(settled, contests, candidates), out, "vote_opportunity", batch_id)
         write_batch(review, out, "review", batch_id)
         write_batch(images, out, "ballot_image", batch_id)
     rows.unpersist()
