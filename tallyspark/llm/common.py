@@ -26,6 +26,16 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+#: Tables of at most so many rows or values are sent to every task; larger ones are joined by a shuffle.
+MOST_SENT = 2_000_000
+
+
+def sent(small: DataFrame, values: Column | None = None) -> DataFrame:
+    """A written table, marked for sending to every task if its rows (or the values in them) are few enough."""
+    found = small.agg(F.sum(values) if values is not None else F.count("*")).first()[0] or 0
+    return F.broadcast(small) if found <= MOST_SENT else small
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most_bytes`` of text, at least one row each."""
     for batch in batches:

@@ -2,11 +2,12 @@
 
 Lines are numbered within their text; a line is earlier if its (doc_id, hash of the text,
 number) is smaller.  The unit of an edit is a word between single blanks: one word replaced,
-inserted or left out.  Lines equal up to one edit share a half: of the first n/2 or the last
-n/2 words, one is untouched.  Lines that share a half with another line emit all variants
-with one word deleted as hashed keys; equal variants join, the pair's edit distance is
-verified, and the later line goes.  Each group of equal variants is compared with its
-earliest line only, which decides for the whole group, so no group is paired with itself.
+inserted or left out.  If two lines are one edit apart, the first or the last half of their
+words is untouched, and within the other half again one of its halves.  Lines that share a
+half, and then a quarter, with another line emit all variants with one of the remaining words
+deleted as hashed keys; equal variants join, the pair's edit distance is verified, and the
+later line goes.  Each group of equal variants is compared with its earliest line only, which
+decides for the whole group, so no group is paired with itself.
 
 Lines of fewer than ``min_chars`` code points stay; lines of fewer than ``min_words`` words
 are compared exactly only.  Null text is empty and stays null.  Null ids come first.  Rows
@@ -19,76 +20,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.llm.common import text_of
+from tallyspark.llm.common import sent, text_of
 from tallyspark.llm.quality import let
-from tallyspark.session import stage
+from tallyspark.session import discarding, stage
 
 MIN_CHARS, MIN_WORDS = 20, 8
-
-
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    # The hash and the split come before the explode, so that no row carries the whole text.
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
+        split.select("doc_id", "text_hash", F.posexplode("lines").alias("number", "line"))
         .filter(F.length("line") >= min_chars)
         .withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     )
 
 
-def _half_keys(line: Column, n: Column) -> Column:
-    """Hashes of the halves a line may share with a line one edit away."""
+def _words_in(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _part(line: Column, size: Column) -> Column:
+    """The first ``size`` words of a line, or the last ones if negative."""
+    return F.when(size == 0, F.lit("")).otherwise(F.call_function("substring_index", line, F.lit(" "), size))
+
+
+def _halves(n: Column) -> Column:
+    """Sizes of the halves that a line of ``n`` words may share with a line one edit away.
+
+    Negative sizes count from the end.  Even sizes n give n/2; odd ones both neighbours, so
+    that lines of n and n + 1 words have a common size.
+    """
     low, high = F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")
+    return F.when(low == high, F.array(low, -low)).otherwise(F.array(low, -low, high, -high))
 
-    def of(size: Column) -> Column:
-        return F.array(
-            F.xxhash64(F.lit("first"), F.call_function("substring_index", line, F.lit(" "), size)),
-            F.xxhash64(F.lit("last"), F.call_function("substring_index", line, F.lit(" "), -size)),
-        )
 
-    return F.when(low == high, of(low)).otherwise(F.concat(of(low), of(high)))
+def _half_keys(line: Column) -> Column:
+    return let(_words_in(line), lambda n: F.transform(_halves(n), lambda k: F.xxhash64(F.signum(k), _part(line, k))))
+
+
+def _quarters(line: Column) -> Column:
+    """Struct of key, low and high for every half and quarter a line may share.
+
+    ``low`` to ``high`` are the places of the words outside both.
+    """
+
+    def of_words(n: Column) -> Column:
+        return F.flatten(F.transform(_halves(n), lambda half: of_half(n, half)))
+
+    def of_half(n: Column, half: Column) -> Column:
+        size = F.abs(half)
+        rest = _part(line, F.when(half > 0, size - n).otherwise(n - size))
+        base = F.when(half > 0, size).otherwise(0)
+
+        def of_both(both: Column) -> Column:
+            def of_quarter(quarter: Column) -> Column:
+                key = F.xxhash64(F.signum(half), both["half"], F.signum(quarter), _part(both["rest"], quarter))
+                low = base + F.when(quarter > 0, quarter).otherwise(0)
+                high = base + (n - size) - 1 + F.when(quarter < 0, quarter).otherwise(0)
+                return F.struct(key.alias("key"), low.alias("low"), high.alias("high"))
+
+            return F.transform(_halves(n - size), of_quarter)
+
+        return let(F.struct(F.xxhash64(_part(line, half)).alias("half"), rest.alias("rest")), of_both)
+
+    return let(_words_in(line), of_words)
 
 
 def _variants(near: DataFrame) -> DataFrame:
-    """Hashed keys of every variant of the lines in ``near``: h, h2, at, role, key parts.
+    """Hashed keys of the variants of the lines in ``near``: at, is_whole, key, key2, kind.
 
     Kind 0: one word blanked at its place; lines that share it differ in that word alone.
-    Kind 1: the line without one word (role "cut"), or the whole line (role "whole").
-    Each word is hashed with its place, so a variant is the exclusive or of its words.
+    Kind 1: the line without one word, or the whole line (is_whole).
+    Each word is hashed with its place, so a variant is the exclusive or of its words; only
+    words in one of the line's ``ranges`` are deleted.
     """
-    words = near.select("h", "h2", "at", F.posexplode(F.split("line", " ", -1)).alias("place", "word"))
+    words = near.select("at", "ranges", F.posexplode(F.split("line", " ", -1)).alias("place", "word"))
     words = words.select(
-        "h", "h2", "at", "place",
+        "at", "place", F.exists("ranges", lambda r: F.col("place").between(r["low"], r["high"])).alias("free"),
         F.xxhash64("word", "place").alias("here"),
         F.xxhash64("word", F.col("place") - 1).alias("moved"),
     )
-    whole = Window.partitionBy("h", "h2")
+    whole = Window.partitionBy("at")
     before = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     upto = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    zero = F.lit(0).cast("bigint")
     found = words.select(
-        "h", "h2", "at", "place", "here",
+        "at", "place", "free", "here",
         F.bit_xor("here").over(whole).alias("all_here"),
         F.bit_xor("moved").over(whole).alias("all_moved"),
-        F.coalesce(F.bit_xor("here").over(before), zero).alias("start"),
+        F.coalesce(F.bit_xor("here").over(before), F.lit(0).cast("bigint")).alias("start"),
         F.bit_xor("moved").over(upto).alias("moved_upto"),
         F.count("*").over(whole).cast("int").alias("n"),
-    )
+    ).filter("free or place = 0")
 
-    def key(kind: int, n: Column, place: Column, value: Column, role: str) -> Column:
+    def key(kind: int, n: Column, place: Column, value: Column, is_whole: bool) -> Column:
         return F.struct(
-            F.lit(role == "whole").alias("is_whole"),
+            F.lit(is_whole).alias("is_whole"),
             F.xxhash64(F.lit(kind), n, place, value).alias("key"),
             F.xxhash64(value, place, n, F.lit(kind)).alias("key2"),
             F.lit(kind).alias("kind"),
         )
 
-    here, n = F.col("here"), F.col("n")
+    here, n, free = F.col("here"), F.col("n"), F.col("free")
     tail = F.col("all_moved").bitwiseXOR(F.col("moved_upto"))
     keys = F.array(
-        key(0, n, F.col("place"), F.col("all_here").bitwiseXOR(here), "cut"),
-        key(1, n - 1, F.lit(0), F.col("start").bitwiseXOR(tail), "cut"),
-        F.when(F.col("place") == 0, key(1, n, F.lit(0), F.col("all_here"), "whole")),
+        F.when(free, key(0, n, F.col("place"), F.col("all_here").bitwiseXOR(here), False)),
+        F.when(free, key(1, n - 1, F.lit(0), F.col("start").bitwiseXOR(tail), False)),
+        F.when(F.col("place") == 0, key(1, n, F.lit(0), F.col("all_here"), True)),
     )
-    return found.select("h", "h2", "at", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("h", "h2", "at", "k.*")
+    return found.select("at", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("at", "k.*")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -103,36 +142,45 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & ((alike >= most - 1) | (a == b))
 
 
-def _near_repeats(docs: DataFrame, light: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
-    """Hashes of distinct lines that are one edit away from an earlier line."""
-    keys = light.select("h", "h2", F.explode("halves").alias("half"))
-    shared = (
-        keys.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d"))
-        .filter((F.col("a") != F.col("b")) | (F.col("c") != F.col("d"))).select("half")
+def _shared(keys: DataFrame, key: str) -> DataFrame:
+    """Keys that at least two different lines have (``at`` is the place of a line's first copy)."""
+    return keys.groupBy(key).agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select(key)
+
+
+def _near_repeats(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
+    """First places of the lines that are one edit away from an earlier line."""
+    halves = first.select("at", F.explode("halves").alias("half"))
+    flagged = halves.join(_shared(halves, "half"), "half", "left_semi").select("at").distinct()
+    flagged = stage(flagged.select("at.*"), "near-places")
+    same = ["doc_id", "text_hash", "number"]
+    texts = stage(
+        _lines(docs, min_chars).select(*same, "line")
+        .join(sent(flagged.select(*[F.col(c).alias(f"of_{c}") for c in same])),
+              F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("text_hash") == F.col("of_text_hash"))
+              & (F.col("number") == F.col("of_number")), "left_semi")
+        .select(F.struct(*same).alias("at"), "line"), "near-texts").dropDuplicates(["at"])
+    quarters = stage(texts.select("at", F.explode(_quarters(F.col("line"))).alias("q")).select("at", "q.*"), "quarters")
+    ranges = (
+        quarters.join(_shared(quarters, "key"), "key", "left_semi")
+        .groupBy("at").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     )
-    wanted = stage(keys.join(shared, "half", "left_semi").select("h", "h2").distinct().join(first, ["h", "h2"]), "near-lines")
-    lines = _lines(docs, min_chars).select("h", "h2", "line")
-    near = stage(lines.join(wanted, ["h", "h2"]).groupBy("h", "h2", "at").agg(F.first("line").alias("line")), "near-texts")
+    near = stage(texts.join(ranges, "at"), "near-lines")
     variants = stage(_variants(near), "variants")
-    line = F.struct("at", "h", "h2")
     groups = (
         variants.groupBy("kind", "key", "key2")
-        .agg(F.min(F.when(~F.col("is_whole"), line)).alias("cut"), F.min(F.when(F.col("is_whole"), line)).alias("whole"),
+        .agg(F.min(F.when(~F.col("is_whole"), F.col("at"))).alias("cut"), F.min(F.when(F.col("is_whole"), F.col("at"))).alias("whole"),
              F.count("*").alias("members"))
         .filter("members > 1")
     )
-    other = F.when(F.col("kind") == 0, F.col("cut")).when(F.col("is_whole"), F.col("cut")).otherwise(F.col("whole"))
+    other = F.when((F.col("kind") == 0) | F.col("is_whole"), F.col("cut")).otherwise(F.col("whole"))
     pairs = (
-        variants.join(groups, ["kind", "key", "key2"])
-        .select("h", "h2", "at", other.alias("by"))
-        .filter(F.col("by.at") < F.col("at"))
-        .select("h", "h2", F.col("by.h").alias("by_h"), F.col("by.h2").alias("by_h2"))
-        .distinct()
+        variants.join(groups, ["kind", "key", "key2"]).select("at", other.alias("by"))
+        .filter(F.col("by") < F.col("at")).distinct()
     )
-    left = near.select("h", "h2", "line")
-    right = near.select(F.col("h").alias("by_h"), F.col("h2").alias("by_h2"), F.col("line").alias("by_line"))
-    checked = pairs.join(left, ["h", "h2"]).join(right, ["by_h", "by_h2"])
-    return checked.filter(_one_edit(F.split("line", " ", -1), F.split("by_line", " ", -1))).select("h", "h2").distinct()
+    left = near.select("at", "line")
+    right = near.select(F.col("at").alias("by"), F.col("line").alias("by_line"))
+    checked = pairs.join(left, "at").join(right, "by")
+    return checked.filter(_one_edit(F.split("line", " ", -1), F.split("by_line", " ", -1))).select("at").distinct()
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -140,19 +188,18 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int =
 
     ``docs`` has doc_id and text (not null).
     """
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    halves = F.when(n >= min_words, _half_keys(F.col("line"), n))
+    halves = F.when(_words_in(F.col("line")) >= min_words, _half_keys(F.col("line")))
     at = F.struct("doc_id", "text_hash", "number")
     light = stage(_lines(docs, min_chars).select(at.alias("at"), "h", "h2", halves.alias("halves")), "lines")
-    first = light.groupBy("h", "h2").agg(F.min("at").alias("at"), F.max("at").alias("last"))
-    near = _near_repeats(docs, light, first.select("h", "h2", "at"), min_chars).withColumn("near", F.lit(True))
-    decided = (
-        first.join(near, ["h", "h2"], "left")
+    first = stage(
+        light.groupBy("h", "h2").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.first("halves").alias("halves")), "first-lines")
+    near = _near_repeats(docs, first, min_chars).withColumn("near", F.lit(True))
+    decided = stage(
+        first.select("h", "h2", "at", "last").join(near, "at", "left")
         .filter(F.coalesce("near", F.lit(False)) | (F.col("at") < F.col("last")))
-        .select("h", "h2", F.col("at").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near"))
-    )
+        .select("h", "h2", F.col("at").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near")), "repeats")
     return (
-        light.select("h", "h2", "at").join(decided, ["h", "h2"])
+        light.select("h", "h2", "at").join(sent(decided), ["h", "h2"])
         .filter(F.col("near") | (F.col("kept_at") < F.col("at")))
         .groupBy("at.doc_id", "at.text_hash").agg(F.collect_set("at.number").alias("removed"))
     )
@@ -162,12 +209,14 @@ def dedup_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_c
                 min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` (a struct of the columns ``keep``), the cleaned text, n_lines and n_removed."""
     read = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    gone = repeated_lines(read, min_chars, min_words).select(
+    with discarding(docs.sparkSession):
+        gone = stage(repeated_lines(read, min_chars, min_words), "removed", keep=True)
+    gone = gone.select(
         F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "removed")
     rows = docs.select(
         F.struct(*keep).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
         F.xxhash64(text_of(text_col)).alias("text_hash"))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    joined = rows.join(sent(gone, F.size("removed")), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
     lines = F.split("text", "\n", -1)
     rest = let(lines, lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
