@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm import line_dedup, mixing, near_dup, packing, quality
-from tallyspark.llm.common import WORD, table
+from tallyspark.llm.common import WORD, sent, table
 from tallyspark.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS, domain_of
 from tallyspark.llm.tokens import default_path
 from tallyspark.session import stage
@@ -50,12 +50,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that share a doc_id, one stays.  Of rows without a doc_id, one per text stays.
     """
     linked = near_dup.link_documents(docs, SHINGLE_WORDS, LIKENESS_PERCENT)
-    kept = stage(linked.filter("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    known = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    loose = docs.filter("doc_id is null")
+    known = linked.filter("doc_id is not null")
+    gone = known.filter("not kept").select("doc_id").distinct()
+    several = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    apart = stage(gone.unionByName(several).distinct(), "apart")
+    # Most documents are kept and occur once; only the others are looked at by id.
+    once = docs.filter("doc_id is not null").join(sent(apart), "doc_id", "left_anti").select(docs.columns)
+    again = stage(several.join(gone, "doc_id", "left_anti"), "again")
+    repeated = docs.filter("doc_id is not null").join(sent(again), "doc_id", "left_semi").select(docs.columns)
+    rows = repeated.unionByName(docs.filter("doc_id is null")).select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    rows = known.unionByName(loose).select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    return rows.select("row", F.row_number().over(same).alias("copy")).filter("copy = 1").select("row.*")
+    single = rows.select("row", F.row_number().over(same).alias("copy")).filter("copy = 1").select("row.*")
+    return once.unionByName(single)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

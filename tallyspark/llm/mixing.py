@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm.common import WORD, text_of
-from tallyspark.session import stage
+from tallyspark.session import discarding, stage
 
 _LEAF = ["domain", "lang", "source"]
 
@@ -92,42 +92,51 @@ def mix(docs: DataFrame, keep: list[str], domain: Column, *, fraction: float = 0
     The budget is ``fraction`` of all words.  A text taken in several epochs has a row each.
     """
     words = F.coalesce(F.regexp_count(text_of(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    read = stage(
-        docs.select(F.struct(*keep).alias("row"), domain.alias("domain"), F.col(lang_col).alias("lang"),
-                    F.col(source_col).alias("source"), F.col(id_col).alias("id"), words.alias("words")),
-        "counted-words",
-    )
-    leaves = stage(read.groupBy(*_LEAF).agg(F.sum("words").alias("words")), "leaves")
-    total = F.floor(F.sum("words") * fraction)
-    plan = stage(
-        budgets(leaves, F.lit(leaves.agg(total).first()[0] or 0), max_epochs, domain_weights, lang_weights or {}, source_weights or {}),
-        "budgets",
-    )
-    named = plan.select(*[F.col(c).alias(f"of_{c}") for c in _LEAF], "epochs", "rest")
-    same = F.lit(True)
-    for c in _LEAF:
-        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    placed = read.join(named, same).withColumn("place", place).withColumn("bucket", F.substring("place", 1, 3))
-    placed = placed.select("row", *_LEAF, "id", "words", "epochs", "rest", "place", "bucket")
-    sums = placed.groupBy(*_LEAF, "bucket", "rest").agg(F.sum("words").alias("inside"))
-    before = F.sum("inside").over(Window.partitionBy(*_LEAF).orderBy("bucket")) - F.col("inside")
-    # Buckets before the end are taken whole; the bucket in which the budget ends is sorted.
-    marks = stage(
-        sums.withColumn("before", before).filter("before <= rest")
-        .select(*[F.col(c).alias(f"of_{c}") for c in _LEAF], F.col("bucket").alias("of_bucket"), "before",
-                (F.col("before") + F.col("inside") <= F.col("rest")).alias("whole")),
-        "buckets",
-    )
-    joined = placed.join(marks, same & (F.col("bucket") == F.col("of_bucket")), "left")
-    joined = joined.select("row", *_LEAF, "id", "words", "epochs", "rest", "place", "bucket", "before", "whole")
-    edge = joined.filter("whole = false")
+    read = docs.select(F.struct(*keep).alias("row"), domain.alias("domain"), F.col(lang_col).alias("lang"),
+                       F.col(source_col).alias("source"), F.col(id_col).alias("id"), words.alias("words"))
+    with discarding(docs.sparkSession):
+        counted = stage(read.drop("row"), "counted-words")
+        leaves = stage(counted.groupBy(*_LEAF).agg(F.sum("words").alias("words")), "leaves")
+        total = leaves.agg(F.floor(F.sum("words") * fraction)).first()[0] or 0
+        plan = stage(
+            budgets(leaves, F.lit(total), max_epochs, domain_weights, lang_weights or {}, source_weights or {}), "budgets")
+        plan = stage(_with_edges(counted, plan, seed), "edges", keep=True)
+    placed = _placed(read, plan, seed)
+    edge = placed.filter("bucket = edge")
     running = F.sum("words").over(
         Window.partitionBy(*_LEAF, "bucket").orderBy("place", "id", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = edge.withColumn("taken", F.col("before") + running <= F.col("rest"))
-    rest = joined.filter("whole is null or whole").withColumn("taken", F.coalesce("whole", F.lit(False)))
+    rest = placed.filter("edge is null or bucket <> edge").withColumn("taken", F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))
     every = rest.unionByName(edge).withColumn("passes", F.col("epochs") + F.col("taken").cast("int"))
     return (
         every.filter("passes > 0")
         .select("row", *_LEAF, "words", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)).alias("epoch"))
     )
+
+
+def _placed(read: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Texts with their leaf's plan, their place in the leaf's partial epoch and its bucket."""
+    named = plan.drop("words", "given").withColumnsRenamed({c: f"of_{c}" for c in _LEAF})
+    same = F.lit(True)
+    for c in _LEAF:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    placed = read.join(named, same).drop(*[f"of_{c}" for c in _LEAF]).withColumn("place", place)
+    return placed.withColumn("bucket", F.substring("place", 1, 3))
+
+
+def _with_edges(counted: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Adds to each leaf's plan the bucket in which its budget ends and the words before it.
+
+    Buckets before the edge are taken whole, those after it not at all; without an edge,
+    the budget holds every bucket.
+    """
+    sums = _placed(counted, plan, seed).groupBy(*_LEAF, "bucket", "rest").agg(F.sum("words").alias("inside"))
+    upto = F.sum("inside").over(Window.partitionBy(*_LEAF).orderBy("bucket"))
+    over = sums.withColumn("upto", upto).filter("upto > rest")
+    first = over.groupBy(*_LEAF).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("inside")).alias("before"))).alias("edge"))
+    first = first.select(*[F.col(c).alias(f"of_{c}") for c in _LEAF], F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before"))
+    same = F.lit(True)
+    for c in _LEAF:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return plan.join(first, same, "left").drop(*[f"of_{c}" for c in _LEAF])

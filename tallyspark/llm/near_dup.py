@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.bloom import keep_possible
 from tallyspark.llm.common import mix64, shingle_hashes, small_batches, text_of
 from tallyspark.llm.components import components
-from tallyspark.session import stage
+from tallyspark.session import discarding, stage
 
 SLOTS, ORDERS, DEPTH = 128, 32, 4
 MOST, OVERLAP, MOST_BYTES = 1024, 32, 64 << 20
@@ -198,6 +198,11 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+    with discarding(docs.sparkSession):
+        return stage(_linked(docs, size, percent), "linked", keep=True)
+
+
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     features = stage(
         docs.mapInArrow(_features(size), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, regions array<bigint>"), "features")
     rows = features.select("doc_id", "n_shingles", "h1", "h2")

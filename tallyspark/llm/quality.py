@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm.common import WORD, text_of
-from tallyspark.session import stage
+from tallyspark.session import discarding, stage
 
 MIN_WORDS, MOST_REPEATED_PCT = 50, 50
 MIN_GROUP = 50
@@ -172,20 +172,18 @@ def thresholds(counted: DataFrame) -> DataFrame:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-def judge(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang",
-          source_col: str = "source") -> DataFrame:
-    """``row`` (a struct of the columns ``keep``), the counts, ``base_failed`` and ``kept``.
-
-    Texts are read once; the counts and ``keep`` are written, and the group limits join them.
-    """
-    counted = stage(
+def _counted(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``), lang, source and the counts of every text."""
+    return (
         docs.select(F.struct(*keep).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
                     text_counts(text_of(text_col)).alias("c"))
-        .select("row", "lang", "source", "c.words.*", "c.n_symbols", "c.lines.*"),
-        "counted",
+        .select("row", "lang", "source", "c.words.*", "c.n_symbols", "c.lines.*")
     )
-    limits = stage(thresholds(counted), "limits").select(
-        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "low", "high")
+
+
+def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """``row``, the counts, ``base_failed`` and ``kept`` of counted texts, by the limits of their group."""
+    limits = limits.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "low", "high")
     n = F.col("n_words")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PCT * n)
     inside = F.lit(True)
@@ -200,11 +198,19 @@ def judge(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: st
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                    source_col: str = "source") -> DataFrame:
-    """Counts and verdicts of every text."""
-    judged = judge(docs, [id_col], text_col, lang_col, source_col)
+    """Counts and verdicts of every text.  Texts are read once; their counts are written."""
+    counted = stage(_counted(docs, [id_col], text_col, lang_col, source_col), "counted")
+    judged = judge(counted, stage(thresholds(counted), "limits"))
     return judged.select(F.col("row")[id_col].alias("doc_id"), *_COUNTS, "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their columns."""
-    return judge(docs, docs.columns, text_col, lang_col, source_col).filter("kept").select("row.*")
+    """The rows of ``docs`` that no rule rejects, with their columns.
+
+    Texts are counted twice, for the limits and for the verdicts, so that no copy of them
+    is written or moved.
+    """
+    with discarding(docs.sparkSession):
+        counted = stage(_counted(docs, [lang_col], text_col, lang_col, source_col).drop("row"), "counted")
+        limits = stage(thresholds(counted), "limits", keep=True)
+    return judge(_counted(docs, docs.columns, text_col, lang_col, source_col), limits).filter("kept").select("row.*")
