@@ -63,8 +63,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    read = token_files.token_files(docs, default_path("word_bpe_49k.json"), caseless=True, end_id=2)
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.token_files(docs, default_path("word_bpe_49k.json"), digest=True, caseless=True, end_id=2)
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

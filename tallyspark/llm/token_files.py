@@ -12,6 +12,7 @@ Documents are ordered by doc_id (null first), then by ids.  Null text is empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +26,36 @@ from tallyspark.session import new_folder
 
 IDS_PER_BLOCK = 1 << 16
 #: Length of each of the four values that a control byte describes.
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
-_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint64)
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
+_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    values = values.astype("<u2" if width < 3 else "<u4")
+    lengths = np.ones(len(values), dtype=np.uint8)
+    for i in range(1, width):
+        lengths += values >= 1 << (8 * i)
+    columns = values.dtype.itemsize
+    data = values.view(np.uint8).reshape(-1, columns)[np.arange(columns, dtype=np.uint8) < lengths[:, None]]
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     codes[: len(values)] = lengths - 1
-    codes = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)
-    return codes.sum(axis=1, dtype=np.uint8).tobytes(), data.tobytes()
+    codes = codes.reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The values again: lengths by table lookup, then one gather."""
+    """The values again: lengths by table lookup, then one gather per byte of the longest."""
     lengths = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
-    starts = np.cumsum(lengths) - lengths
-    padded = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.uint64)
-    value = padded[starts]
-    for i in (1, 2, 3):
-        value |= padded[np.minimum(starts + i, len(padded) - 1)] << np.uint64(8 * i)
-    return (value & _MASKS[lengths]).astype(np.uint32)
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    padded = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
+    value = padded[starts].astype(np.uint32)
+    width = int(lengths.max(initial=1))
+    for i in range(1, width):
+        value |= padded[starts + i].astype(np.uint32) << np.uint32(8 * i)
+    return value & _MASKS[lengths] if width > 1 else value
 
 
 def _binary(data: bytes | memoryview, sizes: np.ndarray) -> pa.Array:
@@ -69,7 +76,7 @@ def _tokenize(path: str, caseless: bool, end_id: int, bounds: list[int], kind: s
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 4 << 20):
             encoded = [e + end for e in encoder(path, caseless).encode(batch.column("text").to_pylist())]
             sizes = np.array([len(e) for e in encoded], dtype=np.int64) // 4
             ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(kind)
@@ -179,34 +186,41 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, casele
     )
 
 
-def _unpack(id_of: np.ndarray):
+def _unpack(id_of: np.ndarray, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 before, n, docs, sizes, control, data = (
                     batch.column(c)[row].as_py() for c in ("before", "n_ids", "doc_ids", "n_tokens", "control", "data"))
-                ids = id_of[decode_values(control, data, n)].astype("<u4")
+                ids = id_of[decode_values(control, data, n)].tobytes()
                 sizes = np.array(sizes, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(docs, pa.int64()),
-                    pa.array(before + np.cumsum(sizes) - sizes),
-                    pa.array(sizes),
-                    _binary(ids.tobytes(), 4 * sizes),
-                ], names=["doc_id", "start", "n_tokens", "ids"])
+                ends = np.cumsum(sizes)
+                if digest:
+                    view = memoryview(ids)
+                    last = pa.array([crc32(view[4 * (e - s):4 * e]) for e, s in zip(ends.tolist(), sizes.tolist())], pa.int64())
+                else:
+                    last = _binary(ids, 4 * sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int64()), pa.array(before + ends - sizes), pa.array(sizes), last],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return run
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """One row per document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit).
+
+    With ``digest``, ids_crc32 of the ids stands in their place.
+    """
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").collect()
-    id_of = np.array([r["id"] for r in ranks], dtype=np.uint32)
+    id_of = np.array([r["id"] for r in ranks], dtype="<u4")
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(_unpack(id_of), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    last = "ids_crc32 bigint" if digest else "ids binary"
+    return blocks.mapInArrow(_unpack(id_of, digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer_path: str, digest: bool = False, **options) -> DataFrame:
     """Writes token files below the shared folder and reads them back."""
     path = new_folder(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer_path, **options)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, digest)

@@ -13,6 +13,8 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 # The word patterns that the two vocabulary files state, for Latin-1.
@@ -23,8 +25,8 @@ _CASELESS_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[
 
 #: Latin-1 bytes whose class as blank, letter or mark differs between libraries.
 _UNUSUAL = bytes([*range(0, 9), *range(14, 32), *range(127, 161), 173])
-#: Words kept are in two generations of this size; words met again move to the younger one.
-_MOST_WORDS = 600_000
+#: Words whose ids are kept, about 200 bytes each; a full cache starts anew.
+_MOST_WORDS = 1_000_000
 
 
 def default_path(name: str) -> str:
@@ -44,14 +46,44 @@ class Encoder:
         self.largest_id = max(self._tokenizer.get_vocab().values())
         self._caseless = caseless
         self._words = _CASELESS_WORDS if caseless else _BYTE_WORDS
+        self._line, self._last = None, None
+        if caseless:
+            self._last = np.zeros(self.largest_id + 1, dtype=bool)
+            self._last[[i for word, i in self._tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
+        else:
+            self._line = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
+    def _by_word(self, words: list[str]) -> list[bytes]:
+        """Ids of each of many words, encoded as lines of one text and cut at the line ends.
+
+        Words with a blank inside would not stay words there; they are encoded alone.
+        """
+        apart = [w for w in words if w[1:2].isspace() or w.isspace()]
+        joined = [w for w in words if not (w[1:2].isspace() or w.isspace())]
+        found = dict(zip(apart, self._library(apart)))
+        if joined:
+            ids = array("I", self._tokenizer.encode_batch_fast(["\n".join(joined)], add_special_tokens=False)[0].ids)
+            data = ids.tobytes()
+            at = np.frombuffer(data, dtype="<u4")
+            # Either a line end is an id of its own, or a word's last id says that it is the last.
+            if self._last is None:
+                ends = np.append(np.flatnonzero(at == self._line), len(at))
+                starts = np.concatenate([[0], ends[:-1] + 1])
+            else:
+                ends = np.flatnonzero(self._last[at]) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+            if len(ends) == len(joined):
+                found.update(zip(joined, map(data.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))))
+            else:
+                found.update(zip(joined, self._library(joined)))
+        return [found[w] for w in words]
+
     def _plain(self, text: str) -> bool:
         if any(s in text for s in self._special):
             return False
@@ -62,27 +94,31 @@ class Encoder:
         return len(data.translate(None, _UNUSUAL)) == len(data)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
+        known = self._known
+        cut: list[tuple[list[str], list[bytes | None]] | None] = []
+        new: set[str] = set()
         for text in texts:
-            plain = self._plain(text)
-            cut.append(self._words.findall(text.lower() if self._caseless else text) if plain else None)
-        met: set[str] = set()
-        for words in cut:
-            met.update(words or ())
-        if len(self._known) > _MOST_WORDS:
-            self._older, self._known = self._known, {}
-        known, older = self._known, self._older
-        new = []
-        for word in met.difference(known):
-            if word in older:
-                known[word] = older[word]
-            else:
-                new.append(word)
-        for start in range(0, len(new), 10_000):
-            some = new[start:start + 10_000]
-            known.update(zip(some, self._library(some)))
-        whole = iter(self._library([t for t, words in zip(texts, cut) if words is None]))
-        return [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in cut]
+            if not self._plain(text):
+                cut.append(None)
+                continue
+            words = self._words.findall(text.lower() if self._caseless else text)
+            ids = list(map(known.get, words))
+            if None in ids:
+                new.update([w for w, i in zip(words, ids) if i is None])
+            cut.append((words, ids))
+        if len(known) + len(new) > _MOST_WORDS:
+            known.clear()
+        unknown = list(new)
+        for start in range(0, len(unknown), 20_000):
+            some = unknown[start:start + 20_000]
+            known.update(zip(some, self._by_word(some)))
+        whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
+        return [
+            next(whole) if c is None
+            else b"".join(c[1]) if None not in c[1]
+            else b"".join([known[w] if i is None else i for w, i in zip(*c)])
+            for c in cut
+        ]
 
 
 @lru_cache(maxsize=4)
