@@ -63,8 +63,9 @@ def budgets(leaves: DataFrame, total: Column, max_epochs: int, domain_weights: M
     """
     caps = leaves.withColumn("capacity", (F.col("words") * max_epochs).cast("double"))
     top = caps.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    everything = caps.agg(F.least(F.sum("capacity"), total.cast("double")).alias("budget"))
-    top = share(top.join(everything, F.lit(True)).withColumn("weight", weight_of(F.col("domain"), domain_weights)), [F.lit(0)])
+    everything = F.sum("capacity").over(Window.partitionBy(F.lit(0)))
+    top = top.withColumns({"budget": F.least(everything, total.cast("double")), "weight": weight_of(F.col("domain"), domain_weights)})
+    top = share(top, [F.lit(0)])
 
     def down(parents: DataFrame, children: DataFrame, keys: list[str], weight: Column) -> DataFrame:
         same = F.lit(True)

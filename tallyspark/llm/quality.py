@@ -174,9 +174,10 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _counted(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """``row`` (a struct of the columns ``keep``), lang, source and the counts of every text."""
+    # Through an explode, later filters and columns use the counts instead of computing them anew.
     return (
         docs.select(F.struct(*keep).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
-                    text_counts(text_of(text_col)).alias("c"))
+                    F.explode(F.array(text_counts(text_of(text_col)))).alias("c"))
         .select("row", "lang", "source", "c.words.*", "c.n_symbols", "c.lines.*")
     )
 
