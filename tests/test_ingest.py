@@ -199,3 +199,31 @@ def test_regression_counts(spark, sf_dir):
     assert {r["vote_status"]: r["count"] for r in star.vote_opportunity.groupBy("vote_status").count().collect()} == by_status
     mayor = reports.votes_by_contest(star).filter("contest = 'Mayor' AND candidate = 'Candidate 4'").first()
     assert mayor["voted"] == leader
+
+
+def test_measurements_are_read_once_and_moved_once(spark, tmp_path):
+    """Up to the settled marks there is one scan of the measurements and one exchange of their rows."""
+    path = str(tmp_path / "marks")
+    marks_df(spark, [mark(1, 1, "A"), mark(1, 2, "B"), mark(2, 1, "A (Rank 1)", kind="RANKED_CHOICE")]).write.parquet(path)
+    scans = scans_df(spark, [scan(1), scan(2)])
+    images = ingest.build_image_table(scans, ingest.build_barcode_dim(scans))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        settled = ingest.settled_marks(ingest.classify_marks(spark.read.parquet(path)), images)
+        plan = settled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count(f"[file:{path}]") == 1
+    above = plan[: plan.index(f"[file:{path}]")]
+    # The scan's branch is the last one opened; exchanges on the way to it are indented less.
+    lines = above.splitlines()
+    depth = len(lines[-1]) - len(lines[-1].lstrip(" :+-"))
+    moved = 0
+    for line in reversed(lines[:-1]):
+        here = len(line) - len(line.lstrip(" :+-"))
+        if here < depth:
+            depth = here
+            moved += "Exchange hashpartitioning" in line
+    assert moved == 1
+    assert settled.count() == 3
