@@ -35,7 +35,7 @@ from tallyspark.llm.components import components
 from tallyspark.session import discarding, stage
 
 SLOTS, ORDERS, DEPTH = 128, 32, 4
-MOST, OVERLAP, MOST_BYTES = 1024, 32, 64 << 20
+MOST, OVERLAP, MOST_BYTES = 1024, 32, 32 << 20
 _KEY_SLOTS = 16
 _FACTORS = mix64(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -51,7 +51,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 1 << 20):
             counts, sums, mixes, regions = [], [], [], []
             for shingles in shingle_hashes(batch.column("text"), size):
                 counts.append(len(shingles))
@@ -107,7 +107,14 @@ _LINK = "a bigint, b bigint"
 
 
 def _links(rows: list[tuple[int, str]], size: int, percent: int) -> pa.RecordBatch:
-    sets = list(shingle_hashes(pa.array([t for _, t in rows], pa.large_string()), size))
+    sets: list[np.ndarray] = []
+    texts: list[str] = []
+    for _, text in rows:
+        texts.append(text)
+        if sum(map(len, texts)) > 1 << 20 or len(texts) == 256:
+            sets += shingle_hashes(pa.array(texts, pa.large_string()), size)
+            texts = []
+    sets += shingle_hashes(pa.array(texts, pa.large_string()), size)
     links = link_sets([i for i, _ in rows], sets, percent)
     return pa.RecordBatch.from_arrays(
         [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
@@ -156,7 +163,7 @@ def _order_keys(size: int):
     """For each text and order, the region and the sort key: sixteen values from the order's first on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 1 << 20):
             keys = []
             for shingles in shingle_hashes(batch.column("text"), size):
                 signs = signature(shingles).astype(">u4")

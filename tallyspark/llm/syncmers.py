@@ -122,7 +122,7 @@ _OUT = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order; each is held back until the one after it is known."""
     held: tuple | None = None
-    for batch in small_batches(batches, "text", 4 << 20):
+    for batch in small_batches(batches, "text", 1 << 20):
         rows = list(zip(*(batch.column(c).to_pylist() for c in ("_slice", "doc_id", "text", "_ahead"))))
         rows = [held, *rows] if held else rows
         pairs = [(a, b) for a, b in zip(rows, rows[1:]) if a[0] == b[0] and not a[3]]
@@ -193,7 +193,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text", 4 << 20):
+    for batch in small_batches(batches, "text", 1 << 20):
         found = anchors(batch.column("text").to_pylist())
         sizes = [len(p) for p, _ in found]
         ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
