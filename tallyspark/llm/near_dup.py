@@ -10,8 +10,11 @@ region.  Documents joined by regions form a candidate cluster.
   and taken in runs of ``MOST``, each with the end of the one before.  A run is as deep a
   region as its neighbours' common prefix makes it, so dense regions are cut deeper.  The
   first order goes ahead; the others take only regions that still hold several components.
+  Runs only link early.  Every region that then still holds several components is decided
+  whole: its documents are dealt into blocks, and every two blocks meet in one task.  Pairs
+  within one component are known; blocks of the region's largest component do not meet.
 
-In a cluster or run, signatures screen pairs (five and a half standard deviations below the
+In a cluster, run or pair of blocks, signatures screen pairs (five and a half standard deviations below the
 limit), and the full sets decide.  Pairs already connected are not compared again, and only
 a link to the smallest document of each component leaves the task.  Two documents at the
 limit of 0.85 share no region with probability (1 - 0.85^4)^32, or 6e-11.
@@ -26,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.bloom import keep_possible
@@ -36,6 +40,7 @@ from tallyspark.session import discarding, stage
 
 SLOTS, ORDERS, DEPTH = 128, 32, 4
 MOST, OVERLAP, MOST_BYTES = 1024, 32, 32 << 20
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 _KEY_SLOTS = 16
 _FACTORS = mix64(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -76,14 +81,23 @@ def _features(size: int):
     return run
 
 
-def link_sets(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(id, smallest id) for every set connected to another by links of the given likeness."""
+def link_sets(ids: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None,
+              sides: list[bool] | None = None, turn: int | None = None) -> list[tuple[int, int]]:
+    """(id, smallest id) for every set connected to another by links of the given likeness.
+
+    Sets of the same ``known`` component are connected from the start; their links are not repeated.
+    With ``sides``, only sets of different sides are compared.  With ``turn``, a pair is left to the
+    first order whose region it shares.
+    """
     j = percent / 100
     enough = SLOTS * j - 5.5 * (SLOTS * j * (1 - j)) ** 0.5
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     signs = np.array([signature(sets[i]) for i in order]).reshape(len(order), SLOTS)
     sizes = np.array([len(sets[i]) for i in order])
-    root = np.arange(len(order))
+    labels = np.array([ids[i] if known is None else known[i] for i in order], dtype=np.int64)
+    side = None if sides is None else np.array([sides[i] for i in order])
+    root = np.unique(labels, return_index=True)[1][np.unique(labels, return_inverse=True)[1]]
+    heads = np.flatnonzero(root == np.arange(len(order)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -92,21 +106,29 @@ def link_sets(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
         return i
 
     for i in range(len(order) - 1):
-        fits = (signs[i + 1:] == signs[i]).sum(axis=1) >= enough
         small, large = np.minimum(sizes[i + 1:], sizes[i]), np.maximum(sizes[i + 1:], sizes[i])
-        for k in np.flatnonzero(fits & (100 * small >= percent * large)) + i + 1:
+        wanted = (labels[i + 1:] != labels[i]) & (100 * small >= percent * large)
+        if side is not None:
+            wanted &= side[i + 1:] != side[i]
+        others = np.flatnonzero(wanted) + i + 1
+        equal = signs[others] == signs[i]
+        fits = equal.sum(axis=1) >= enough
+        others, equal = others[fits], equal[fits]
+        if turn is not None and len(others):
+            others = others[equal.reshape(-1, ORDERS, DEPTH).all(axis=2).argmax(axis=1) == turn]
+        for k in others:
             a, b = find(i), find(k)
             if a != b:
                 shared = len(np.intersect1d(sets[order[i]], sets[order[k]], assume_unique=True))
                 if 100 * shared >= percent * (sizes[i] + sizes[k] - shared):
                     root[max(a, b)] = min(a, b)
-    return [(ids[order[i]], ids[order[r]]) for i in range(len(order)) if (r := find(i)) != i]
+    return [(ids[order[i]], ids[order[r]]) for i in heads if (r := find(i)) != i]
 
 
 _LINK = "a bigint, b bigint"
 
 
-def _links(rows: list[tuple[int, str]], size: int, percent: int) -> pa.RecordBatch:
+def _links(rows: list[tuple[int, str]], size: int, percent: int, **only) -> pa.RecordBatch:
     sets: list[np.ndarray] = []
     texts: list[str] = []
     for _, text in rows:
@@ -115,7 +137,7 @@ def _links(rows: list[tuple[int, str]], size: int, percent: int) -> pa.RecordBat
             sets += shingle_hashes(pa.array(texts, pa.large_string()), size)
             texts = []
     sets += shingle_hashes(pa.array(texts, pa.large_string()), size)
-    links = link_sets([i for i, _ in rows], sets, percent)
+    links = link_sets([i for i, _ in rows], sets, percent, **only)
     return pa.RecordBatch.from_arrays(
         [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
@@ -159,8 +181,34 @@ def _link_runs(size: int, percent: int):
     return run
 
 
+def _link_blocks(size: int, percent: int):
+    """Rows come by pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, known, sides = None, [], [], []
+
+        def decided() -> pa.RecordBatch:
+            turn, _, x, y = current
+            return _links(rows, size, percent, known=known, sides=sides if x < y else None, turn=turn)
+
+        for batch in small_batches(batches, "text"):
+            columns = (batch.column(c).to_pylist() for c in ("turn", "region", "x", "y", "node", "component", "side", "text"))
+            for turn, region, x, y, node, component, side, text in zip(*columns):
+                if (turn, region, x, y) != current:
+                    if len(rows) > 1:
+                        yield decided()
+                    current, rows, known, sides = (turn, region, x, y), [], [], []
+                rows.append((node, text))
+                known.append(component)
+                sides.append(side)
+        if len(rows) > 1:
+            yield decided()
+
+    return run
+
+
 def _order_keys(size: int):
-    """For each text and order, the region and the sort key: sixteen values from the order's first on."""
+    """For each text and order, the sort key (sixteen values from the order's first on) and the text's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
@@ -173,21 +221,22 @@ def _order_keys(size: int):
                 batch.column("node").take(pa.array(np.repeat(np.arange(n), ORDERS))),
                 pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)),
                 pa.array(keys, pa.binary()),
-            ], names=["node", "turn", "key"])
+                pa.array(np.repeat(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64), ORDERS)),
+            ], names=["node", "turn", "key", "bytes"])
 
     return run
 
 
 def _link_large(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links within clusters too large for one task: node, text."""
-    keys = stage(texts.mapInArrow(_order_keys(size), "node bigint, turn int, key binary"), "orders")
+    keys = stage(texts.mapInArrow(_order_keys(size), "node bigint, turn int, key binary, bytes bigint"), "orders")
 
     def sorted_links(rows: DataFrame) -> DataFrame:
         full = stage(rows.join(texts, "node"), "runs")
         ordered = full.repartitionByRange("turn", "key", "node").sortWithinPartitions("turn", "key", "node")
         return stage(ordered.select("node", "text").mapInArrow(_link_runs(size, percent), _LINK), "run-links")
 
-    first = sorted_links(keys.filter("turn = 0"))
+    first = sorted_links(keys.filter("turn = 0").drop("bytes"))
     found = components(first).select("node", "component")
     labelled = keys.filter("turn > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stage(labelled.withColumn("region", F.substring("key", 1, 4 * DEPTH)), "labelled")
@@ -195,7 +244,43 @@ def _link_large(texts: DataFrame, size: int, percent: int) -> DataFrame:
         labelled.groupBy("turn", "region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("low < high").select("turn", "region")
     )
-    return first.union(sorted_links(labelled.join(open_regions, ["turn", "region"], "left_semi").select("node", "turn", "key")))
+    early = first.union(sorted_links(labelled.join(open_regions, ["turn", "region"], "left_semi").select("node", "turn", "key")))
+    return early.union(_link_open(keys, texts, early, size, percent))
+
+
+def _link_open(keys: DataFrame, texts: DataFrame, early: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the components of ``early`` that share a region, all pairs decided."""
+    found = components(early).select("node", "component")
+    rows = keys.select("node", "turn", F.substring("key", 1, 4 * DEPTH).alias("region"), "bytes").join(found, "node", "left")
+    rows = stage(rows.withColumn("component", F.coalesce("component", "node")), "region-rows")
+    parts = rows.groupBy("turn", "region", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    regions = (
+        parts.groupBy("turn", "region")
+        .agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("all_bytes"),
+             F.max(F.struct("n", "component", "bytes")).alias("top"))
+        .filter("parts > 1")
+    )
+    whole = (F.col("n") <= BLOCK) & (F.col("all_bytes") <= BLOCK_BYTES)
+
+    def blocks(n: Column, held: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(held / BLOCK_BYTES), F.lit(1))
+
+    regions = stage(regions.select(
+        "turn", "region", F.when(~whole, F.col("top.component")).alias("largest"),
+        F.when(whole, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("all_bytes") - F.col("top.bytes"))).alias("rest"),
+        F.when(whole, 0).otherwise(blocks(F.col("top.n"), F.col("top.bytes"))).alias("own"),
+    ), "open-regions")
+    inside = F.coalesce(F.col("component") == F.col("largest"), F.lit(False))
+    number = F.xxhash64("node")
+    dealt = rows.join(regions, ["turn", "region"]).select(
+        "node", "component", "turn", "region",
+        F.when(inside, F.col("rest") + F.pmod(number, F.col("own"))).otherwise(F.pmod(number, F.col("rest"))).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1)).alias("other"))
+    dealt = dealt.select("node", "component", "turn", "region", F.least("block", "other").alias("x"),
+                         F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).alias("side"))
+    pair = ["turn", "region", "x", "y"]
+    met = dealt.join(texts, "node").select(*pair, "node", "component", "side", "text")
+    return stage(met.repartition(*pair).sortWithinPartitions(*pair, "node").mapInArrow(_link_blocks(size, percent), _LINK), "block-links")
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",

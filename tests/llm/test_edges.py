@@ -109,6 +109,29 @@ def test_near_duplicates_in_a_large_cluster(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(plain.near_duplicates(texts, 3, 85)))
 
 
+def test_near_duplicates_just_above_the_limit_in_a_large_cluster(spark, monkeypatch):
+    """Nearly all texts share regions and are just below the limit; each planted pair is found."""
+    for name, value in {"MOST": 8, "OVERLAP": 1, "BLOCK": 100}.items():
+        monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(21)
+    words = prose(272, 22).split()
+
+    def changed(text: list[str], n: int) -> list[str]:
+        copy = list(text)
+        for at in rng.sample(range(len(copy)), n):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        return copy
+
+    made = [changed(words, 5) for _ in range(1000)]
+    made += [changed(made[i], 5) for i in range(0, 1000, 25)]
+    texts = [" ".join(m) for m in made]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = near_dup.link_documents(docs, 3, 85).collect()
+    found = {r["doc_id"]: r["component_id"] for r in rows}
+    assert sum(i != c for i, c in found.items()) >= 40
+    assert found == dict(enumerate(plain.near_duplicates(texts, 3, 85)))
+
+
 def test_components_of_long_and_star_shaped_graphs(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 260)] + [(300, 301), (301, 300)]
