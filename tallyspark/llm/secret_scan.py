@@ -1,7 +1,9 @@
 """Secrets in texts: fixed patterns, and strings that pass a battery of randomness tests.
 
 Patterns give the base spans.  Besides, every run of twenty or more characters of the
-base-64 alphabets that mixes letters and digits is a candidate.  Its encoding is inferred as
+base-64 alphabets that mixes letters and digits is a candidate; ``=`` ends a run and belongs
+to it as padding only.  A run that fits no single alphabet is cut into its longest pieces of
+either base-64 alphabet and of letters and digits.  A candidate's encoding is inferred as
 the smallest alphabet that holds it, and three tests ask whether it could be random in that
 alphabet: chi-squared uniformity of its characters, runs above and below the middle of the
 alphabet, and correlation of neighbours.  The three probabilities combine by Bonferroni.
@@ -11,7 +13,7 @@ strings pass a limit t with probability (1 - t/3)^3, so their number follows fro
 one half; what else passes is false.  Each band takes the smallest limit, ``LEAST`` or more,
 at which at most ``FALSE_SHARE`` of what passes is false.
 
-Spans count code points, end exclusive.  A random span inside a base span is left out.
+Spans count code points, end exclusive.  A random span inside a base span or a wider random one is left out.
 Null text is empty.  Repeated rows are reported each.  Only built-in expressions are used.
 """
 
@@ -34,7 +36,9 @@ _ASSIGN_LEAST = 6
 #: Runs are as long as they can be, so the least length can stand in the pattern.
 _ACCESS = r"AKIA[A-Z0-9]{16,}"
 _HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-_RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+_RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Longest pieces of a run that no single alphabet holds.
+_PIECES = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings from small to large alphabets: pattern that holds the string, alphabet.
@@ -105,6 +109,22 @@ def _alphabet(body: Column) -> Column:
     return F.when(mixed, out)
 
 
+def _pieces(body: Column) -> Column:
+    """Distinct (skip, piece) of a run: characters before the piece, and the piece."""
+
+    def of(pattern: str) -> Column:
+        lengths = F.transform(F.split(body, pattern, -1), lambda g: F.length(g))
+        return let(F.regexp_extract_all(body, F.lit(pattern), 0), lambda found: let(lengths, lambda gaps: F.transform(
+            found, lambda piece, i: F.struct(
+                (F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda total, n: total + n)
+                 + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda total, m: total + F.length(m))).alias("skip"),
+                piece.alias("piece")))))
+
+    mixed = body.rlike("[+/]") & body.rlike("[_-]")
+    whole = F.array(F.struct(F.lit(0).alias("skip"), body.alias("piece")))
+    return F.when(mixed, F.array_distinct(F.concat(*[of(p) for p in _PIECES]))).otherwise(whole)
+
+
 def _found(text: Column, kind: str, pattern: str, hint: str, usable: Column | None = None) -> Column:
     """Matches in order: length before it since the last one, its length, whether it counts, its string."""
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -140,8 +160,15 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = F.rtrim(F.col("body"), F.lit("="))
     placed = each.select(
         "row", "kind", "ok", F.sum(F.col("gap").cast("bigint") + F.col("len")).over(upto).alias("end"), "len", body.alias("body"))
+    placed = placed.select("row", "kind", "ok", (F.col("end") - F.col("len")).alias("start"), "end", "body", F.length("body").alias("run"),
+                           F.explode(_pieces(F.col("body"))).alias("part"))
+    stop = F.col("part.skip") + F.length("part.piece")
+    placed = placed.select(
+        "row", "kind", "ok", (F.col("start") + F.coalesce("part.skip", F.lit(0))).alias("start"),
+        F.when(stop < F.col("run"), F.col("start") + stop).otherwise(F.col("end")).alias("end"),
+        F.col("part.piece").alias("body"))
     placed = placed.select(
-        "row", "kind", "ok", (F.col("end") - F.col("len")).alias("start"), "end", F.length("body").alias("size"), "body",
+        "row", "kind", "ok", "start", "end", F.length("body").alias("size"), "body",
         _alphabet(F.col("body")).alias("alphabet"))
     long_body = F.col("alphabet").isNotNull() & (F.col("size") >= BANDS[0])
     band = sum((F.when(F.col("size") >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
@@ -184,6 +211,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("row", "kind", "start", "end", reach.alias("reach"))
         .filter(~random | (F.col("end") > F.col("reach")))
     )
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = F.coalesce(F.max(F.when(random, F.col("end"))).over(before), F.lit(-1))
+    kept = kept.select("row", "kind", "start", "end", outer.alias("outer")).filter(~random | (F.col("end") > F.col("outer")))
     listed = kept.groupBy(F.col("row").alias("of_row")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.join(listed, F.col("row") == F.col("of_row"), "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))

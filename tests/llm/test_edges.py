@@ -242,6 +242,33 @@ def test_secrets(spark, docs):
     assert len(quiet) == len(TEXTS) and all(r["spans"] == [] for r in quiet)
 
 
+def test_secrets_after_names_and_in_paths(spark):
+    rng = random.Random(31)
+    plain_set = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key(extra: str) -> str:
+        return "K" + "".join(rng.choice(plain_set + extra) for _ in range(42)) + "7"
+
+    forms = [("AWS_SECRET_ACCESS_KEY={}", "+/"), ("PRIVATE_KEY={}==", ""), ("see ?a=1&sig={}&x=2", "_-"), ("auth={}", ""),
+             ("/v1/my-app/{}", ""), ("/v1/my_app/{}/x", "_-"), ("é {} end", "+/")]
+    texts, keys = [], []
+    for i in range(210):
+        form, extra = forms[i % len(forms)]
+        keys.append(key(extra))
+        texts.append(form.format(keys[-1]))
+    rows = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    hits = [0] * len(forms)
+    for row in rows:
+        i = row["doc_id"]
+        spans = [(s["start"], s["end"]) for s in row["spans"] if s["kind"] == 3]
+        at = texts[i].index(keys[i])
+        hits[i % len(forms)] += any(a <= at and at + len(keys[i]) <= b for a, b in spans)
+        assert all(b < d for (_, b), (_, d) in zip(spans, spans[1:]))
+        if i % len(forms) == 1:
+            assert all(texts[i][a:b] == keys[i] + "==" for a, b in spans)
+    assert min(hits) >= 22, hits
+
+
 def test_secrets_of_a_failing_match_hide_what_they_hold(spark):
     texts = ["secret=token:abcdef", "token: x token: abcdefg", "PASSWORD='longer1' apikey:\"a\" api_key = zzzzzz", None,
              "0123456789abcdef01234567" + "g" + "0" * 23]
