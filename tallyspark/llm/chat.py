@@ -1,8 +1,10 @@
 """Chat formatting: schema fingerprints choose how a record becomes turns; a template marks them.
 
-A record is one JSON object.  Its nested field paths, without types, are hashed; the hash
-selects one of the declared layouts, which says where roles and texts are.  Records whose
-hash no layout declares keep an empty list of turns and a null layout.
+A record is one JSON object.  Those of its nested field paths that any layout declares are
+hashed, without types; the hash selects one of the layouts, which says where roles and texts
+are.  Other fields (ids, sources, names of turns) change nothing.  A content that is a list of
+parts with texts is their concatenation.  Records whose hash no layout declares keep an empty
+list of turns and a null layout; formatted, each is one row with its raw record.
 
 The template writes a turn as ``<s>[INST] role [/INST]text</s>``.  Control strings inside
 roles and texts get a backslash after their first character (one more where there are some
@@ -31,6 +33,31 @@ from tallyspark.llm.common import small_batches
 _TURNS = "array<struct<role:string,text:string>>"
 
 
+def _parts(owner: Column, field: str) -> Column:
+    return F.transform(F.try_variant_get(owner, f"$.{field}", "array<variant>"), lambda p: F.try_variant_get(p, "$.text", "string"))
+
+
+def _text(owner: Column, field: str) -> Column:
+    """A field's text; that of a list of parts is their concatenation."""
+    return F.coalesce(F.array_join(_parts(owner, field), ""), F.try_variant_get(owner, f"$.{field}", "string"))
+
+
+def _named(owner: Column, field: str) -> Column:
+    """The field's name if it is there, with a mark if its value is neither scalar nor a list of texts."""
+    value = F.try_variant_get(owner, f"$.{field}", "variant")
+    nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)<")
+    texts = F.coalesce(F.forall(_parts(owner, field), lambda t: t.isNotNull()), F.lit(False))
+    return F.when(value.isNotNull(), F.when(nested & ~texts, F.lit(f"{field}: ?")).otherwise(F.lit(field)))
+
+
+def _marks(turns: Column, field: str) -> Column:
+    return F.transform(turns, lambda t: _named(t, field))
+
+
+def _object(names: list[Column]) -> Column:
+    return F.concat(F.lit("OBJECT<"), F.array_join(F.array(*names), ", "), F.lit(">"))
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where a record's turns are: a list of turn objects, or fields that are turns themselves.
@@ -64,19 +91,19 @@ class Layout:
     def turns(self, record: Column) -> Column:
         if self.list_field:
             role, text = self.fields
-            kind = f"array<struct<`{role}`:string,`{text}`:string>>"
-            listed = F.try_variant_get(record, f"$.{self.list_field}", kind)
+            listed = F.try_variant_get(record, f"$.{self.list_field}", "array<variant>")
             names = F.create_map(*[F.lit(x) for pair in self.roles for x in pair]) if self.roles else None
 
             def one(turn: Column) -> Column:
-                named = turn[role] if names is None else F.coalesce(names[turn[role]], turn[role])
-                return F.struct(named.alias("role"), turn[text].alias("text"))
+                said = F.try_variant_get(turn, f"$.{role}", "string")
+                named = said if names is None else F.coalesce(names[said], said)
+                return F.struct(named.alias("role"), _text(turn, text).alias("text"))
 
             return F.transform(listed, one)
 
         def of(role: str | None, field: str) -> Column:
             named = F.lit(role) if role else F.try_variant_get(record, f"$.{self.role_field}", "string")
-            return F.struct(named.alias("role"), F.try_variant_get(record, f"$.{field}", "string").alias("text"))
+            return F.struct(named.alias("role"), _text(record, field).alias("text"))
 
         single = len(self.fields) == 1
         turns = F.array(*[of(role, field) for role, field in self.fields])
@@ -96,16 +123,37 @@ LAYOUTS = (
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the nested field paths of a parsed record; scalar types do not count."""
-    shape = F.regexp_replace(F.schema_of_variant(record), r": [A-Z_]+(?:\([0-9,]+\))?(?=[,>])", "")
-    return F.sha2(shape, 256)
+def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of the declared field paths of a parsed record; scalar types do not count.
+
+    A record without any declared path has the hash of all its own paths.
+    """
+    lists = {x.list_field: x for x in layouts if x.list_field}
+    plain = {f for x in layouts if not x.list_field for f in (*[f for _, f in x.fields], x.role_field) if f}
+    names = []
+    for name in sorted(plain | set(lists)):
+        if name not in lists:
+            names.append(_named(record, name))
+            continue
+        value = F.try_variant_get(record, f"$.{name}", "variant")
+        turns = F.try_variant_get(record, f"$.{name}", "array<variant>")
+        held = []
+        for field in sorted(lists[name].fields):
+            marks = _marks(turns, field)
+            held.append(F.when(F.array_contains(marks, f"{field}: ?"), F.lit(f"{field}: ?"))
+                        .when(F.array_contains(marks, field), F.lit(field)))
+        inner = F.concat(F.lit(f"{name}: ARRAY<"), _object(held), F.lit(">"))
+        objects = F.schema_of_variant(value).startswith("ARRAY<OBJECT<")
+        names.append(F.when(value.isNotNull(), F.when(objects, inner).otherwise(F.lit(f"{name}: ?"))))
+    whole = F.schema_of_variant(record)
+    declared = F.size(F.array_compact(F.array(*names))) > 0
+    return F.sha2(F.when(declared & whole.startswith("OBJECT<"), _object(names)).otherwise(whole), 256)
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds ``layout`` (null if none is declared for the record's fingerprint) and ``turns``."""
     parsed = records.withColumn("_parsed", F.try_parse_json(record_col))
-    parsed = parsed.withColumn("_print", fingerprint(F.col("_parsed")))
+    parsed = parsed.withColumn("_print", fingerprint(F.col("_parsed"), layouts))
     name, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
     for layout in layouts:
         known = F.col("_print").isin(layout.fingerprints())
@@ -191,17 +239,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     ``formatted`` has conv_id, turn, place, formatted and loss.  A digest of a whole
     conversation has to run through it in order; one task streams it and keeps hashes only.
+    Records without turns have no digest.
     """
     return (
-        formatted.select("conv_id", "turn", "place", "formatted", "loss")
+        formatted.filter("formatted is not null").select("conv_id", "turn", "place", "formatted", "loss")
         .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "place", "formatted")
         .select("conv_id", "formatted", "loss").mapInArrow(_digest, _BACK)
     )
 
 
 def format_records(records: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", record_col: str = "record") -> DataFrame:
-    """conv_id, turn, place, layout, role, text, formatted and loss: a row for every turn of every record."""
+    """conv_id, turn, place, layout, role, text, formatted, loss and record: a row for every turn of every record.
+
+    A record without turns is one row with null place, formatted and loss, and the raw ``record``.
+    """
     known = canonical_turns(records.select(
         F.col(id_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.col(record_col).alias("record")))
-    turns = known.select("conv_id", "turn", "layout", F.posexplode("turns").alias("place", "said"))
-    return format_turns(turns.select("conv_id", "turn", "place", "layout", "said.*"))
+    turns = known.select("conv_id", "turn", "layout", "record", F.posexplode_outer("turns").alias("place", "said"))
+    there = F.col("place").isNotNull()
+    made = format_turns(turns.select("conv_id", "turn", "place", "layout", "said.*", "record"))
+    return made.select("conv_id", "turn", "place", "layout", "role", "text", F.when(there, F.col("formatted")).alias("formatted"),
+                       F.when(there, F.col("loss")).alias("loss"), F.when(~there, F.col("record")).alias("record"))

@@ -418,6 +418,27 @@ def test_chat_layouts(spark):
     assert 8 not in back and 12 not in back
 
 
+def test_chat_keeps_records_with_other_fields_and_unknown_ones(spark):
+    import json
+
+    parts = [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]
+    records = [
+        {"id": 7, "source": "web", "messages": [{"role": "user", "name": "n", "content": "hi"}, {"role": "assistant", "content": "yo", "tool_calls": [{"id": 1}]}]},
+        {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "c"}]},
+        {"messages": [{"role": "user", "content": [{"type": "image"}]}]},
+        {"prompt": "p", "completion": "c", "response": "r"}, {"metadata": {"k": [1]}, "question": "q", "answer": "a"}, {"unknown": 1},
+        {"messages": []},
+    ]
+    raw = [json.dumps(r) for r in records] + ["{bad"]
+    table = spark.createDataFrame([(i, 0, r) for i, r in enumerate(raw)], "conv_id bigint, turn bigint, record string")
+    rows = plain.by_key(chat.format_records(table).collect(), "conv_id")
+    turns = {i: [(r["role"], r["text"]) for r in sorted(rs, key=lambda r: r["place"])] for i, rs in rows.items() if rs[0]["layout"]}
+    assert turns == {0: [("user", "hi"), ("assistant", "yo")], 1: [("user", "ab"), ("assistant", "c")], 4: [("user", "q"), ("assistant", "a")]}
+    for i in (2, 3, 5, 6, 7):
+        assert [(r["layout"], r["place"], r["formatted"], r["record"]) for r in rows[i]] == [(None, None, None, raw[i])]
+    assert {r["conv_id"] for r in chat.read_back(chat.format_records(table)).collect()} == {0, 1, 4}
+
+
 def test_no_python_on_the_native_paths(docs):
     for out in (line_dedup.cleaned_texts(docs), secret_scan.scan_secrets(docs), quality.quality_report(docs)):
         plan = out._jdf.queryExecution().toString()
