@@ -203,17 +203,21 @@ def test_regression_counts(spark, sf_dir):
 
 def test_measurements_are_read_once_and_moved_once(spark, tmp_path):
     """Up to the settled marks there is one scan of the measurements and one exchange of their rows."""
-    path = str(tmp_path / "marks")
+    path = str(tmp_path / ("a-long-folder-name-" * 8) / "marks")
     marks_df(spark, [mark(1, 1, "A"), mark(1, 2, "B"), mark(2, 1, "A (Rank 1)", kind="RANKED_CHOICE")]).write.parquet(path)
     scans = scans_df(spark, [scan(1), scan(2)])
     images = ingest.build_image_table(scans, ingest.build_barcode_dim(scans))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # Plans cut a folder's path off at the second length, however long the path is.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxMetadataStringLength": "10000"}
+    before = {key: spark.conf.get(key) for key in settings}
     try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         settled = ingest.settled_marks(ingest.classify_marks(spark.read.parquet(path)), images)
         plan = settled._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     assert plan.count(f"[file:{path}]") == 1
     above = plan[: plan.index(f"[file:{path}]")]
     # The scan's branch is the last one opened; exchanges on the way to it are indented less.
