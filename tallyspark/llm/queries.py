@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, line_dedup, mixing, near_dup, packing, quality, reference_sql, secret_scan, syncmers, token_files, urls
+from tallyspark.llm import chat, fill_middle, line_dedup, mixing, near_dup, packing, quality, reference_sql, secret_scan, syncmers, token_files, urls
 from tallyspark.llm.common import table
 from tallyspark.llm.tokens import default_path
 
@@ -92,6 +92,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.with_restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,4 +118,5 @@ QUERIES = {
     "op5_packing": (op5_packing, None),
     "op6_token_files": (op6_token_files, None),
     "op9_syncmers": (op9_syncmers, None),
+    "op13_fill_middle": (op13_fill_middle, reference_sql.fill_middle()),
 }

@@ -203,3 +203,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND o.r IS NULL AS kept
 FROM based b LEFT JOIN outside o ON b.r = o.r
 """
+
+
+def fill_middle() -> str:
+    word = "('0x' || substr(digest, {}, 8))::BIGINT"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
+), cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+    {word.format(1)} AS h1, {word.format(9)} AS h2, {word.format(17)} AS h3, {word.format(25)} AS h4
+  FROM docs
+), placed AS (
+  SELECT *, len(tokens)::BIGINT AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a,
+    greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(tokens[:a], '') AS prefix,
+    CASE WHEN b > a THEN array_to_string(tokens[a + 1:b], '') ELSE '' END AS middle,
+    CASE WHEN n > b THEN array_to_string(tokens[b + 1:], '') ELSE '' END AS suffix
+  FROM placed
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
