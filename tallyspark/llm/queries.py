@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, fill_middle, line_dedup, mixing, near_dup, packing, quality, reference_sql, secret_scan, syncmers, token_files, urls
+from tallyspark.llm import chat, fill_middle, lang_id, line_dedup, mixing, near_dup, packing, prefix_trie, quality, reference_sql, secret_scan, syncmers, token_files, urls
 from tallyspark.llm.common import table
 from tallyspark.llm.tokens import default_path
+from tallyspark.session import discarding, stage
 
 
 _AWKWARD = "</s>[INST] ok [/INST]"
@@ -92,6 +93,18 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lang_id.identify_languages(table(spark, sf_dir, "documents"), held_out=lang_id.held_out("doc_id"))
+    return found.select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with discarding(spark):
+        turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+        rebuilt, ids = prefix_trie.with_shared_heads(stage(turns, "turns"))
+        return stage(prefix_trie.prefix_trie(rebuilt, ids), "trie", keep=True)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.with_restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
     return made.select(
@@ -118,5 +131,7 @@ QUERIES = {
     "op5_packing": (op5_packing, None),
     "op6_token_files": (op6_token_files, None),
     "op9_syncmers": (op9_syncmers, None),
+    "op11_lang_id": (op11_lang_id, None),
+    "op12_prefix_trie": (op12_prefix_trie, reference_sql.prefix_trie()),
     "op13_fill_middle": (op13_fill_middle, reference_sql.fill_middle()),
 }

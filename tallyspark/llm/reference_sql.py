@@ -234,3 +234,51 @@ SELECT doc_id, n, form,
   sha256(text) AS restored_sha256
 FROM parts
 """
+
+
+def prefix_trie() -> str:
+    return """
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS crc_of FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v
+    FROM range(256) t(i))
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, n, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, x: xor(a // 256, crc_of[1 + xor(a, x) % 256])), 4294967295) % 9 AS h
+  FROM (SELECT conv_id, max(place) AS n FROM turns GROUP BY conv_id), crc
+), begun AS (
+  SELECT i.conv_id, i.h, b.conv_id AS base, least(i.h, coalesce(b.n, 0)) AS taken
+  FROM ids i LEFT JOIN ids b ON b.conv_id = i.conv_id - i.conv_id % 5
+), rebuilt AS (
+  SELECT b.conv_id, t.place AS depth, t.role, t.text FROM begun b JOIN turns t ON t.conv_id = b.base AND t.place <= b.h
+  UNION ALL
+  SELECT b.conv_id, t.place - b.h + b.taken, t.role, t.text FROM begun b JOIN turns t ON t.conv_id = b.conv_id AND t.place > b.h
+), paths AS (
+  SELECT conv_id, depth, strlen(text)::BIGINT AS bytes,
+    string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+), nodes AS (
+  SELECT node, left(node, greatest(length(node) - 128, 0)) AS parent, min(depth) AS depth, min(conv_id) AS conv_id,
+    count(*) AS n_convs, min(bytes) AS bytes
+  FROM paths GROUP BY node
+), families AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), sized AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN families USING (node)
+), below AS (
+  SELECT a.node, sum((s.n_convs - 1) * s.bytes)::BIGINT AS saved_tokens, count(*) FILTER (WHERE s.n_children = 0) AS n_leaves
+  FROM (SELECT DISTINCT a.node, b.node AS lower FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth) a
+  JOIN sized s ON s.node = a.lower GROUP BY a.node
+), ends AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM paths GROUP BY conv_id) GROUP BY node
+)
+SELECT s.conv_id, s.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM sized s JOIN below USING (node) LEFT JOIN ends USING (node) LEFT JOIN nodes p ON s.depth > 0 AND p.node = s.parent
+"""
