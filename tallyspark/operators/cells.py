@@ -95,6 +95,12 @@ def sample_regions(pixels: DataFrame, images: DataFrame, boxes: DataFrame,
             F.count_if(F.col("in_zone") & dark).alias("zone_dark"),
         )
     )
+    every_box = images.select("image_id", "barcode").join(boxes, "barcode")
+    return _samples(every_box.join(sums, ["image_id", "box_id"], "left"))
+
+
+def _samples(boxes: DataFrame) -> DataFrame:
+    """The measured columns from boxes of images with their sums; no sums mean no pixel."""
     zero = F.lit(0).cast("bigint")
 
     def count(name: str) -> Column:
@@ -105,8 +111,7 @@ def sample_regions(pixels: DataFrame, images: DataFrame, boxes: DataFrame,
 
     stripe = F.expr("greatest(1, width div 10)") * F.col("height")
     dots = F.upper("style") == "CONNECT_DOTS"
-    every_box = images.select("image_id", "barcode").join(boxes, "barcode")
-    return every_box.join(sums, ["image_id", "box_id"], "left").select(
+    return boxes.select(
         "image_id", "box_id", F.col("style").alias("indicator_style"),
         count("dark").alias("dark_pixels"),
         F.when(dots, stripe.cast("int")).otherwise(count("total")).alias("total_pixels"),
@@ -158,6 +163,13 @@ def novel_positions(first: DataFrame, radius: int) -> DataFrame:
     )
 
 
+def dilated(positions: DataFrame, radius: int) -> DataFrame:
+    """All positions within the square radius of some position, along y and then along x."""
+    offsets = F.sequence(F.lit(-radius), F.lit(radius))
+    columns = positions.select("barcode", "x", F.explode(F.transform(offsets, lambda d: F.col("y") + d)).alias("y")).distinct()
+    return columns.select("barcode", F.explode(F.transform(offsets, lambda d: F.col("x") + d)).alias("x"), "y").distinct()
+
+
 def masked_positions(boxes: DataFrame, warp_dpi: int, pad_in: float = INDICATOR_PAD_IN) -> DataFrame:
     """Positions in and around the indicator boxes; a write-in box has no bottom pad,
     because a name written below it must be seen."""
@@ -292,3 +304,86 @@ def pixels_of_images(images: DataFrame) -> DataFrame:
     schema = "image_id bigint, barcode string, seq bigint, x int, y int, r int, g int, b int"
     raw = images.select("image_id", "barcode", "seq", "image").mapInPandas(unpack, schema)
     return raw.select("image_id", "barcode", "seq", "x", "y", luminance(F.col("r"), F.col("g"), F.col("b")).alias("lum"))
+
+
+_BOX_COLUMNS = ("box_id", "style", "left", "top", "width", "height")
+_SUMS = ("total", "dark", "lum_sum", "t_total", "t_dark", "t_sum", "zone_dark")
+
+
+def _rectangles(style: str, left: int, top: int, width: int, height: int) -> list[tuple[int, int, int, int]]:
+    """The box, its inside and the zone of its style, as (left, top, right, bottom), ends exclusive.
+
+    The parts are those of ``box_cells``: an arrow has a zone around the centre,
+    connect-dots a centred stripe.
+    """
+    box = (max(0, left), max(0, top), left + width, top + height)
+    inside = (box[0] + 1, box[1] + 1, box[2] - 1, box[3] - 1)
+    zone = (0, 0, 0, 0)
+    if style.upper() == "ARROW":
+        x, y, half_w, half_h = left + width // 2, top + height // 2, max(1, width // 8), max(1, height // 8)
+        zone = (x - half_w, y - half_h, x + half_w, y + half_h)
+    elif style.upper() == "CONNECT_DOTS":
+        stripe = max(1, width // 10)
+        start = max(0, left + (width - stripe) // 2)
+        zone = (max(start, box[0]), box[1], min(start + stripe, box[2]), box[3])
+    return [box, inside, zone]
+
+
+def _summed_areas(threshold: int):
+    """Per page: sums of brightness and of dark pixels over everything above and left of each place."""
+    def measure_pages(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def table_of(values):
+            table = np.zeros((values.shape[0] + 1, values.shape[1] + 1), dtype=np.int64)
+            np.cumsum(values, axis=0, dtype=np.int64, out=table[1:, 1:])
+            np.cumsum(table[1:, 1:], axis=1, out=table[1:, 1:])
+            return table
+
+        for batch in batches:
+            rows = []
+            for image_id, image, boxes in zip(*(batch.column(c) for c in ("image_id", "image", "boxes"))):
+                height, width, channels = (image[k].as_py() for k in ("height", "width", "nChannels"))
+                data = np.frombuffer(image["data"].as_buffer(), dtype=np.uint8).reshape(height, width, channels)
+                blue, green, red = (data[:, :, min(i, channels - 1)].astype(np.int32) for i in range(3))
+                lum = (299 * red + 587 * green + 114 * blue) // 1000
+                bright, dark = table_of(lum), table_of(lum < threshold)
+
+                def area(table, part):
+                    x0, x1 = (min(max(v, 0), width) for v in (part[0], part[2]))
+                    y0, y1 = (min(max(v, 0), height) for v in (part[1], part[3]))
+                    return int(table[y1, x1] - table[y0, x1] - table[y1, x0] + table[y0, x0]) if x1 > x0 and y1 > y0 else 0
+
+                def size(part):
+                    x0, x1 = (min(max(v, 0), width) for v in (part[0], part[2]))
+                    y0, y1 = (min(max(v, 0), height) for v in (part[1], part[3]))
+                    return max(0, x1 - x0) * max(0, y1 - y0)
+
+                for box in boxes.as_py():
+                    whole, inside, zone = _rectangles(box["style"] or "", *(box[k] for k in ("left", "top", "width", "height")))
+                    rows.append((image_id.as_py(), *(box[k] for k in ("box_id", "style", "width", "height")),
+                                 size(whole), area(dark, whole), area(bright, whole),
+                                 size(inside), area(dark, inside), area(bright, inside), area(dark, zone)))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * len(_SUMS)]
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["image_id", "box_id", "style", "width", "height", *_SUMS])
+
+    return measure_pages
+
+
+def sample_images(images: DataFrame, boxes: DataFrame, threshold: int = DEFAULT_DARK_THRESHOLD) -> DataFrame:
+    """``sample_regions`` for rows of Spark's ``image`` source (image_id, barcode, image).
+
+    Each page is summed up once in a table of areas; a box is four look-ups then, whatever
+    its size, and no row per pixel is made.  The boxes of a barcode travel as one list,
+    bounded by the printed sheet.  A page without boxes gives no rows.  A task holds the
+    pages of one Arrow batch: ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds them.
+    """
+    listed = boxes.groupBy("barcode").agg(F.collect_list(F.struct(*[
+        F.col(c).cast("string" if c == "style" else "bigint" if c == "box_id" else "int").alias(c) for c in _BOX_COLUMNS])).alias("boxes"))
+    pages = images.select("image_id", "barcode", "image").join(stage(listed, "boxes"), "barcode").select("image_id", "image", "boxes")
+    sums = ", ".join(f"{c} bigint" for c in _SUMS)
+    return _samples(pages.mapInArrow(
+        _summed_areas(threshold), f"image_id bigint, box_id bigint, style string, width int, height int, {sums}"))

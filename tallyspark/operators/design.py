@@ -315,7 +315,14 @@ def layout_report(positions: DataFrame, unit: str = "inches", page: int | None =
     )
 
 
+def layout_documents(report: DataFrame) -> DataFrame:
+    """One document per combination with its pages as sides, bounded by a ballot's sheets."""
+    side = F.struct("side_number", "ballotContentArea", "contests")
+    return report.groupBy("combinationId", "unit").agg(F.array_sort(F.collect_list(side)).alias("sides"))
+
+
 def write_layout_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A page per line, or a document per file where ``report`` has ``layout_documents``."""
     report.write.mode(mode).partitionBy("combinationId").json(path)
 
 

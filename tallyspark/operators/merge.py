@@ -8,7 +8,7 @@ than there are stations.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,16 @@ from tallyspark.operators import reports
 from tallyspark.operators.ingest import Star
 from tallyspark.session import stage
 
-Stations = Sequence[tuple[str, Star]]
+@dataclass(frozen=True)
+class Stations:
+    """The tables of all stations, one below the other, with ``station_no``: a row's station
+    as its place in ``labels``.  However many there are, a table is one scan."""
+
+    tables: Star
+    labels: tuple[str, ...]
+
+
+StationList = Sequence[tuple[str, Star]]
 
 
 @dataclass(frozen=True)
@@ -31,15 +40,18 @@ class Merged:
     rejects: DataFrame
 
 
-def _stack(stations: Stations, name: str) -> DataFrame:
-    """One table of all stations with the station's place in the list."""
-    stacked: DataFrame | None = None
-    for number, (_, star) in enumerate(stations):
-        rows = getattr(star, name).withColumn("station_no", F.lit(number))
-        stacked = rows if stacked is None else stacked.unionByName(rows)
-    if stacked is None:
+def stack(stations: StationList | Stations) -> Stations:
+    """Stations that are given one by one, as one set; a set stays as it is."""
+    if isinstance(stations, Stations):
+        return stations
+    if not stations:
         raise ValueError("no stations to merge")
-    return stacked
+    tables = {}
+    for number, (_, star) in enumerate(stations):
+        for name, rows in star.tables().items():
+            rows = rows.withColumn("station_no", F.lit(number))
+            tables[name] = tables[name].unionByName(rows) if name in tables else rows
+    return Stations(Star(**tables), tuple(label for label, _ in stations))
 
 
 def _shift(stacked: DataFrame) -> Column:
@@ -74,7 +86,11 @@ def _mapping(resolved: DataFrame, old: str, new: str, *more: str) -> DataFrame:
     return resolved.select("station_no", F.col("id").alias(old), F.col("new_id").alias(new), *more)
 
 
-def merge_stations(stations: Stations, on_duplicate_image: str = "skip") -> Merged:
+def _own_columns(table: DataFrame) -> list[str]:
+    return [c for c in table.columns if c != "station_no"]
+
+
+def merge_stations(stations: StationList | Stations, on_duplicate_image: str = "skip") -> Merged:
     """Union of the stations with duplicates resolved; the first station wins.
 
     An image scanned at two stations is kept once.  ``skip`` also leaves out the
@@ -84,25 +100,25 @@ def merge_stations(stations: Stations, on_duplicate_image: str = "skip") -> Merg
     """
     if on_duplicate_image not in ("skip", "append"):
         raise ValueError("on_duplicate_image must be 'skip' or 'append'")
-    first = stations[0][1]
-    codes = stage(_resolve(_stack(stations, "barcode"), ["raw_data"]), "barcodes")
-    contests = stage(_resolve(_stack(stations, "contest"), ["contest_title", "contest_type"]), "contests")
+    all_of = stack(stations).tables
+    codes = stage(_resolve(all_of.barcode, ["raw_data"]), "barcodes")
+    contests = stage(_resolve(all_of.contest, ["contest_title", "contest_type"]), "contests")
     contest_map = _mapping(contests, "contest_id", "new_contest")
-    names = _stack(stations, "candidate").join(contest_map, ["station_no", "contest_id"])
+    names = all_of.candidate.join(contest_map, ["station_no", "contest_id"])
     candidates = stage(
         _resolve(names.drop("contest_id").withColumnRenamed("new_contest", "contest_id"), ["contest_id", "candidate_name"]),
         "candidates",
     )
-    images = stage(_resolve(_stack(stations, "ballot_image"), ["image_path"]), "images")
+    images = stage(_resolve(all_of.ballot_image, ["image_path"]), "images")
     merged_images = _remap_barcode(images.filter("survives"), codes).withColumn("id", F.col("new_id")).select(
-        *first.ballot_image.columns
+        *_own_columns(all_of.ballot_image)
     )
     # The surviving image's barcode is looked up per image, so that the facts move once.
     codes_of = merged_images.select(F.col("id").alias("new_image"), "barcode_id")
     image_map = _mapping(images, "ballot_image_id", "new_image", "survives").join(codes_of, "new_image", "left")
 
     facts = (
-        _stack(stations, "vote_opportunity")
+        all_of.vote_opportunity
         .drop("barcode_id")
         .join(image_map, ["station_no", "ballot_image_id"], "left")
         .join(contest_map, ["station_no", "contest_id"], "left")
@@ -114,11 +130,11 @@ def merge_stations(stations: Stations, on_duplicate_image: str = "skip") -> Merg
         {"ballot_image_id": F.col("new_image"), "contest_id": F.col("new_contest"), "candidate_id_fk": F.col("new_candidate")}
     )
     star = Star(
-        _survivors(codes, first.barcode.columns),
+        _survivors(codes, _own_columns(all_of.barcode)),
         merged_images,
-        _survivors(contests, first.contest.columns),
-        _survivors(candidates, first.candidate.columns),
-        moved.select(*first.vote_opportunity.columns),
+        _survivors(contests, _own_columns(all_of.contest)),
+        _survivors(candidates, _own_columns(all_of.candidate)),
+        moved.select(*_own_columns(all_of.vote_opportunity)),
     )
     duplicates = images.filter(~F.col("survives")).groupBy("station_no").agg(F.count("*").alias("n"))
     unmapped = facts.filter(~mapped).groupBy("station_no").agg(F.count("*").alias("n"))
@@ -137,36 +153,41 @@ def _remap_barcode(images: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
-def _labels(stations: Stations) -> Column:
-    return F.get(F.array(*[F.lit(label) for label, _ in stations]), F.col("station_no"))
+def _label(stations: Stations) -> Column:
+    return F.get(F.lit(list(stations.labels)), F.col("station_no"))
 
 
-def _per_station(stations: Stations, report: Callable[[Star], DataFrame]) -> DataFrame:
-    """A report of every station, one below the other, with the station's label."""
-    stacked: DataFrame | None = None
-    for label, star in stations:
-        rows = report(star).withColumn("station", F.lit(label))
-        stacked = rows if stacked is None else stacked.unionByName(rows)
-    if stacked is None:
-        raise ValueError("no stations")
-    return stacked
+def _votes(stations: Stations) -> DataFrame:
+    """Voted and overvoted per station number, contest and candidate, counted by key before any name."""
+    tables = stations.tables
+    contests = tables.contest.select("station_no", F.col("id").alias("contest_id"), F.col("contest_title").alias("contest"))
+    names = tables.candidate.select("station_no", F.col("id").alias("candidate_id_fk"), F.col("candidate_name").alias("candidate"))
+    counted = reports.count_by_keys(tables.vote_opportunity, "station_no", "contest_id", "candidate_id_fk")
+    named = counted.join(contests, ["station_no", "contest_id"]).join(names, ["station_no", "candidate_id_fk"])
+    return named.groupBy("station_no", "contest", "candidate").agg(
+        F.sum("voted").alias("voted"), F.sum("overvoted").alias("overvoted"))
 
 
-def station_votes(stations: Stations) -> DataFrame:
+def station_votes(stations: StationList | Stations) -> DataFrame:
     """Voted and overvoted per station, contest and candidate."""
-    return _per_station(stations, reports.votes_by_contest).select("station", "contest", "candidate", "voted", "overvoted")
+    stations = stack(stations)
+    return _votes(stations).select(_label(stations).alias("station"), "contest", "candidate", "voted", "overvoted")
 
 
-def station_totals(stations: Stations) -> DataFrame:
+def station_totals(stations: StationList | Stations) -> DataFrame:
     """The same, with the number of images of the station."""
-    images = _per_station(stations, lambda star: star.ballot_image.agg(F.count("*").alias("ballot_images")))
-    return station_votes(stations).join(images, "station")
+    stations = stack(stations)
+    images = stations.tables.ballot_image.groupBy("station_no").agg(F.count("*").alias("images"))
+    return _votes(stations).join(images, "station_no", "left").select(
+        _label(stations).alias("station"), "contest", "candidate", "voted", "overvoted",
+        F.coalesce("images", F.lit(0)).alias("ballot_images"))
 
 
-def compare_stations(stations: Stations) -> DataFrame:
+def compare_stations(stations: StationList | Stations) -> DataFrame:
     """Contest and candidate with a column per station and the sum; absent counts as 0."""
-    labels = [label for label, _ in stations]
-    wide = station_votes(stations).groupBy("contest", "candidate").pivot("station", labels).agg(
+    stations = stack(stations)
+    labels = stations.labels
+    wide = station_votes(stations).groupBy("contest", "candidate").pivot("station", list(labels)).agg(
         F.sum("voted").alias("voted"), F.sum("overvoted").alias("overvoted")
     )
     filled = wide.na.fill(0)
@@ -176,12 +197,13 @@ def compare_stations(stations: Stations) -> DataFrame:
     return filled
 
 
-def export_rows(stations: Stations) -> DataFrame:
+def export_rows(stations: StationList | Stations) -> DataFrame:
     """Detail rows per station and a SUM row per contest, base name and rank.
 
     Rows are laid out from the wide comparison, so no keys are crossed with stations.
     """
-    labels = [label for label, _ in stations]
+    stations = stack(stations)
+    labels = stations.labels
 
     def row(kind: str, source: str, column: str, place: int) -> Column:
         return F.struct(
@@ -208,11 +230,11 @@ def write_export(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     ordered.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def merge_log(stations: Stations, merged: Merged) -> DataFrame:
+def merge_log(stations: StationList | Stations, merged: Merged) -> DataFrame:
     """Duplicate images and unmapped facts per station, for stations that had any."""
     counted = merged.rejects.groupBy("station_no").pivot("kind", ["duplicate_image", "unmapped_fact"]).agg(F.sum("n"))
     return counted.na.fill(0).select(
-        _labels(stations).alias("station"),
+        _label(stack(stations)).alias("station"),
         F.col("duplicate_image").alias("duplicate_images"),
         F.col("unmapped_fact").alias("unmapped_facts"),
     )

@@ -49,14 +49,22 @@ def image_names(star: Star, *columns: str) -> DataFrame:
     return star.ballot_image.select(F.col("id").alias("ballot_image_id"), *columns)
 
 
-def _named_counts(star: Star, *keys: str) -> DataFrame:
-    counted = count_by_keys(star.vote_opportunity, "contest_id", "candidate_id_fk", *keys)
+def _named(star: Star, counted: DataFrame) -> DataFrame:
     return counted.join(contest_names(star), "contest_id").join(candidate_names(star), "candidate_id_fk")
 
 
+def _named_counts(star: Star, *keys: str) -> DataFrame:
+    return _named(star, count_by_keys(star.vote_opportunity, "contest_id", "candidate_id_fk", *keys))
+
+
+def named_totals(star: Star, counted: DataFrame) -> DataFrame:
+    """Counts per contest and candidate key, as counts per title and name."""
+    return _named(star, counted).groupBy("contest", "candidate").agg(*_sums(*_COUNTS))
+
+
 def votes_by_contest(star: Star) -> DataFrame:
     """Counts per title and candidate name, with the rank split off the name."""
-    totals = _named_counts(star).groupBy("contest", "candidate").agg(*_sums(*_COUNTS))
+    totals = named_totals(star, count_by_keys(star.vote_opportunity, "contest_id", "candidate_id_fk"))
     name = text.parse_rank("candidate")
     return totals.select(
         "contest", "candidate", *_COUNTS,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark import schema as S
 from tallyspark.functions import text
@@ -42,17 +43,21 @@ def valid_choices(marks: DataFrame, scans: DataFrame) -> DataFrame:
         "overvoted",
         F.when(F.col("overvoted"), none).otherwise(named).alias("choices"),
     )
-    parts = F.split(F.coalesce("barcode_data", F.lit("")), r"\|", -1)
-    voters = scans.select(
-        "image_id", "image_name",
-        F.coalesce(F.get(parts, 2), F.lit("0")).alias("party_id"),
-        F.coalesce(F.get(parts, 1), F.lit("0")).alias("region_id"),
-    )
     placed = F.flatten(F.transform(
         "choices", lambda c: F.transform(c["places"], lambda at: F.struct(at.alias("at"), c["name"].alias("name")))))
     names = F.transform(F.array_sort(placed), lambda x: x["name"])
     plain = F.transform("choices", lambda c: F.struct(c["name"].alias("name"), c["times"].alias("times")))
-    return settled.join(voters, "image_id").withColumns({"names": names, "choices": plain})
+    return settled.join(voters(scans, "image_name"), "image_id").withColumns({"names": names, "choices": plain})
+
+
+def voters(scans: DataFrame, *columns: str) -> DataFrame:
+    """Party and region of each image, from its barcode."""
+    parts = F.split(F.coalesce("barcode_data", F.lit("")), r"\|", -1)
+    return scans.select(
+        "image_id", *columns,
+        F.coalesce(F.get(parts, 2), F.lit("0")).alias("party_id"),
+        F.coalesce(F.get(parts, 1), F.lit("0")).alias("region_id"),
+    )
 
 
 def _tally(choices: DataFrame, *keys: str) -> DataFrame:
@@ -129,32 +134,61 @@ def image_detail(choices: DataFrame) -> DataFrame:
     return choices.select("contest_id", "image_id", line.alias("line")).filter(F.col("line").isNotNull())
 
 
-def _section(df: DataFrame, name: str, key: Column, votes: str) -> DataFrame:
-    return df.select(
-        "contest_title", F.lit(name).alias("section"), key.alias("section_key"), "candidate", F.col(votes).alias("votes")
-    )
+# The sections of the summary, by what was counted and what it was grouped by.
+_SECTIONS = {
+    ("valid", ""): "totalVotes", ("valid", "party"): "byParty", ("valid", "region"): "byRegion",
+    ("aside", ""): "overvotedChoices", ("ballots", ""): "overvotedBallots",
+}
 
 
-def vote_summary(marks: DataFrame, choices: DataFrame) -> DataFrame:
+def vote_summary(marks: DataFrame, scans: DataFrame) -> DataFrame:
     """The whole summary in long form, one row per section, key and candidate.
 
+    ``marks`` are classified marks; those of images that ``scans`` does not have are left
+    out.  Marks and scans are each read once: marks move to their image, everything about an
+    image is settled there, and counts at the finest grain are then added up by grouping sets.
+
     A document per contest would gather a contest's ballots in one row; in long
     form it stays a table that can be written partitioned by contest.  The
     per-image lines are ``image_detail``.
     """
-    overvoted = overvoted_ballot_counts(choices).select(
-        "contest_title", F.lit("overvotedBallots").alias("section"), F.lit("").alias("section_key"),
-        F.lit("").alias("candidate"), F.col("overvoted_ballots").alias("votes"),
-    )
-    pieces = [
-        _section(summary_totals(choices), "totalVotes", F.lit(""), "votes"),
-        _section(overvoted_choices(marks), "overvotedChoices", F.lit(""), "overvotes"),
-        _section(summary_by_party(choices), "byParty", F.col("party_id"), "votes"),
-        _section(summary_by_region(choices), "byRegion", F.col("region_id"), "votes"),
-    ]
-    for piece in pieces:
-        overvoted = overvoted.unionByName(piece)
-    return overvoted
+    # Every later grouping has the image in its key, so this is the only move of the marks.
+    moved = marks.select(
+        "image_id", "contest_id", "contest_title", "contest_type", "max_votes", "percent_to_win", "candidate_id", "candidate_name",
+        "seq", "marked",
+    ).repartition("image_id")
+    ballots = ingest.contest_ballots(moved).join(voters(scans), "image_id").withColumn("overvoted", ingest.too_many_marked())
+    title = F.col("first.contest_title")
+    # Marks are set aside by title: what a second contest of the same title on the sheet has goes as well.
+    bad = F.collect_set(F.when(F.col("overvoted") & (F.col("marks") > 0), title)).over(Window.partitionBy("image_id"))
+    settled = ballots.withColumn("bad_titles", bad)
+
+    def counted(kind: str, contest: Column, title: Column, candidate: Column, votes: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), contest.cast("bigint").alias("contest_id"), title.alias("contest_title"),
+                        candidate.alias("candidate"), votes.cast("bigint").alias("votes"))
+
+    none = F.lit(None)
+    valid = F.transform("choices", lambda c: counted(
+        "valid", F.col("contest_id"), title, F.coalesce(c.candidate_name, F.lit(S.UNKNOWN)), c.times))
+    aside = F.transform(F.filter("choices", lambda c: F.array_contains("bad_titles", c.contest_title)), lambda c: counted(
+        "aside", none, c.contest_title, c.candidate_name, c.times))
+    ballot = F.array(counted("ballots", F.col("contest_id"), title, F.lit(""), F.col("overvoted").cast("int")))
+    rows = settled.select(
+        F.col("party_id").alias("party"), F.col("region_id").alias("region"),
+        F.explode(F.concat(F.when(F.col("overvoted"), F.slice(valid, 1, 0)).otherwise(valid), aside, ballot)).alias("row"),
+    ).select("row.*", "party", "region")
+    key = ["kind", "contest_id", "contest_title", "candidate"]
+    finest = rows.groupBy(*key, "party", "region").agg(F.sum("votes").alias("votes"))
+    sets = [[F.col(c) for c in (*key, *more)] for more in ((), ("party",), ("region",))]
+    whole = finest.groupingSets(sets, *key, "party", "region").agg(
+        F.sum("votes").alias("votes"), F.grouping("party").alias("over_parties"), F.grouping("region").alias("over_regions"))
+    by = F.when(F.col("over_parties") == 0, "party").when(F.col("over_regions") == 0, "region").otherwise("")
+    section = F.lit(None).cast("string")
+    for (kind, grouped), name in _SECTIONS.items():
+        section = F.when((F.col("kind") == kind) & (by == grouped), name).otherwise(section)
+    key_of = F.when(by == "party", F.col("party")).when(by == "region", F.col("region")).otherwise("")
+    return whole.select("contest_title", section.alias("section"), key_of.alias("section_key"), "candidate", "votes").filter(
+        F.col("section").isNotNull())
 
 
 def write_vote_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:

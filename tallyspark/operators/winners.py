@@ -39,7 +39,12 @@ def rank_winners(votes: DataFrame, config: DataFrame) -> DataFrame:
 
 def results_report(star: Star) -> DataFrame:
     """Marked, overvoted and counted votes with winners, per contest and candidate."""
-    totals = reports.votes_by_contest(star).withColumn("votes", F.col("voted"))
+    return report_of_counts(star, reports.count_by_keys(star.vote_opportunity, "contest_id", "candidate_id_fk"))
+
+
+def report_of_counts(star: Star, counts: DataFrame) -> DataFrame:
+    """The report from counts per contest and candidate key; of ``star`` only those dimensions are read."""
+    totals = reports.named_totals(star, counts).withColumn("votes", F.col("voted"))
     ranked = rank_winners(totals.select("contest", "candidate", "votes", "overvoted"), reports.contest_config(star))
     return ranked.select(
         "contest", "candidate", "contest_type", "max_votes", "percent_to_win",

@@ -9,7 +9,7 @@ from tallyspark.functions import measure, text
 from tallyspark.operators import cells, design, ingest
 from tallyspark.plans import election
 from tallyspark.plans.oracle_base import plain, with_marks, with_scans
-from tallyspark.session import new_folder
+from tallyspark.session import new_folder, stage
 from tallyspark.sources import audit_log, layouts, scans, truth
 
 _WARP_DPI = 16
@@ -20,6 +20,24 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return cells.sample_regions(election.pixels(spark, d), election.pages(spark, d), election.page_boxes(spark, d))
 
 
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as rows of the image source: B, G, R bytes, white where nothing is drawn."""
+    side = election.PAGE_SIDE
+    drawn = election.pixels(spark, d).groupBy("image_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("y") * side + F.col("x"), "lum"))).alias("lums"))
+    rows = election.pages(spark, d).join(drawn, "image_id", "left")
+    one = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.repeat(
+        F.lpad(F.hex(F.coalesce(F.try_element_at("lums", i), F.lit(255))), 2, "0"), F.lit(3)))
+    return rows.select("image_id", "barcode", "seq", F.struct(
+        F.lit("").alias("origin"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("nChannels"),
+        F.lit(16).alias("mode"), F.unhex(F.array_join(one, "")).alias("data")).alias("image"))
+
+
+def sampled_images(spark: SparkSession, d: str) -> DataFrame:
+    """Box samples of whole images, which are written and read back."""
+    return cells.sample_images(stage(page_images(spark, d), "pages"), election.page_boxes(spark, d))
+
+
 def sampled_marks(spark: SparkSession, d: str) -> DataFrame:
     """Samples judged by the ingest rule, all box styles."""
     return ingest.classify_marks(samples(spark, d)).select("image_id", "box_id", "marked", "dark_pct", "dark_pixels", "mean_intensity")
@@ -85,6 +103,12 @@ sampled AS MATERIALIZED (
     CAST(coalesce(z, 0) AS INTEGER) AS zone_dark
   FROM pages_seen g JOIN boxes b USING (barcode) LEFT JOIN sums s ON s.image_id = g.image_id AND s.box_id = b.box_id
 )"""
+# Whole pages: every position has a pixel, white where nothing is drawn.
+_WHOLE_PAGES = _PIXELS.replace("px AS MATERIALIZED", "drawn AS MATERIALIZED", 1).replace("boxes AS MATERIALIZED", """px AS MATERIALIZED (
+  SELECT g.image_id, g.barcode, x, y, coalesce(lum, 255) AS lum
+  FROM pages_seen g CROSS JOIN (SELECT CAST(a AS INTEGER) AS x, CAST(b AS INTEGER) AS y FROM range(32) u(a), range(32) v(b)) LEFT JOIN drawn USING (image_id, x, y)
+),
+boxes AS MATERIALIZED""", 1)
 _INK = """
 firsts AS MATERIALIZED (SELECT barcode, x, y, min(seq) AS seq FROM px WHERE lum < 128 GROUP BY 1, 2, 3),
 seeds AS (SELECT barcode, min(image_id) AS seed FROM pages_seen GROUP BY 1),
@@ -179,7 +203,25 @@ def layouts_from_xml(spark: SparkSession, d: str) -> DataFrame:
     """Box reports in mm written as XML and read back in inches."""
     path = new_folder(spark, "layouts")
     design.write_layout_xml(design.layout_report(election.layout_positions(spark, d), "mm"), path, "mm")
-    rows = layouts.read_layouts(spark, path + "/*/", fmt="xml")
+    return _layout_rows(layouts.read_layouts(spark, path + "/*/", fmt="xml"))
+
+
+def layouts_from_json(spark: SparkSession, d: str) -> DataFrame:
+    """The same as JSON, a page per line."""
+    path = new_folder(spark, "layouts")
+    design.write_layout_json(design.layout_report(election.layout_positions(spark, d), "mm"), path)
+    return _layout_rows(layouts.read_layouts(spark, path + "/*/", fmt="jsonl"))
+
+
+def layouts_from_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same as JSON documents, a file for each combination."""
+    path = new_folder(spark, "layouts")
+    report = design.layout_report(election.layout_positions(spark, d), "mm")
+    design.write_layout_json(design.layout_documents(report).repartition("combinationId"), path)
+    return _layout_rows(layouts.read_layouts(spark, path + "/*/", fmt="json"))
+
+
+def _layout_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "page_number", "contest_id", "contest_title", "contest_type", "max_votes", "percent_to_win", "candidate_id",
         "candidate_name", "write_in", "indicator_style",
@@ -205,11 +247,44 @@ def scan_names(spark: SparkSession, d: str) -> DataFrame:
     return scans.keep_scans(files)
 
 
+#: Suffixes of the written folder, by order; Spark's text writers name their files.
+_SUFFIXES = ("png", "PNG", "jpg", "tif", "bmp", "csv", "counted")
+
+
+def listed_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of folders that Spark writes, with a file per folder and suffix, listed again.
+
+    Files of the folders that end in 7 count as counted, as if the results had them.
+    """
+    root = new_folder(spark, "scans")
+    key = F.col("o_orderkey")
+    rows = election.table(spark, d, "orders").select(
+        key.cast("string").alias("line"), (key % 20).alias("box"), (key % 2).alias("tray"), (key % 7).alias("kind"))
+    for kind, suffix in enumerate(_SUFFIXES):
+        of_kind = rows.filter(F.col("kind") == kind).drop("kind").repartition("box", "tray")
+        of_kind.write.mode("append").partitionBy("box", "tray").option("extension", suffix).csv(root)
+    done = scans.list_scans(spark, root).filter("path LIKE '%/box=%7/%'").select(F.col("path").alias("image_path"))
+    left = scans.waiting_scans(spark, root, stage(done, "counted"))
+    place = F.regexp_extract("path", r"/(box=\d+/tray=\d+)/[^/]*$", 1)
+    return left.select(place.alias("folder"), F.regexp_extract("path", r"\.([A-Za-z]+)$", 1).alias("suffix"),
+                       F.lit(scans.any_already_counted(spark, root)).alias("some_counted"))
+
+
 def truth_files(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "truth")
     truth.write_ground_truth(election.ground_truth(spark, d), path)
-    rows = truth.read_ground_truth(spark, path, whole_files=False)
-    return rows.select("image_path", "combo_id", "precinct", "party", "contest", "candidate", "counted_as")
+    rows = truth.read_ground_truth(spark, path, form="lines")
+    return rows.select(*_TRUTH)
+
+
+def truth_documents(spark: SparkSession, d: str) -> DataFrame:
+    """A document per precinct, as the test harness writes it, cut into entries on reading."""
+    path = new_folder(spark, "truth")
+    truth.write_truth_documents(election.ground_truth(spark, d), path)
+    return truth.read_ground_truth(spark, path).select(*_TRUTH)
+
+
+_TRUTH = ("image_path", "combo_id", "precinct", "party", "contest", "candidate", "counted_as")
 
 
 def audit_events(spark: SparkSession, d: str) -> DataFrame:
@@ -230,8 +305,26 @@ asked AS (
          THEN list_reduce(string_split(barcode_data, '|')[1:5], lambda a, b: a || '_' || b) END AS layout_key FROM scans
 )"""
 
+_LAYOUT_SQL = """
+        SELECT CAST(contest_id // 200 + 1 AS INTEGER) AS page_number, contest_id, 'Contest ' || contest_id AS contest_title,
+          'PLURALITY' AS contest_type, CAST(1 AS INTEGER) AS max_votes, CAST(50 AS DOUBLE) AS percent_to_win,
+          contest_id * 10 + n AS candidate_id, p_name || ' ' || n AS candidate_name, false AS write_in, 'OVAL' AS indicator_style,
+          7.5::DOUBLE AS content_width, round((contest_id // 25 % 8) * 1.25::DOUBLE, 3) AS contest_top,
+          round((contest_id // 25 % 8) * 1.25::DOUBLE + n * 0.1875::DOUBLE, 3) AS indicator_top
+        FROM (SELECT p_partkey AS contest_id, p_name, n FROM part, unnest(range(1, p_size % 4 + 2)) AS u(n) WHERE p_partkey % 11 <> 0)"""
+
+_TRUTH_SQL = with_marks("""
+        SELECT image_path, array_to_string(string_split(barcode_data, '|')[1:5], '|') AS combo_id, string_split(barcode_data, '|')[2] AS precinct,
+               string_split(barcode_data, '|')[3] AS party, contest, candidate, counted_as
+        FROM (SELECT image_id, contest_title AS contest, candidate_name AS candidate,
+                     CASE WHEN marked AND l_linenumber <> 7 THEN 'VOTED' ELSE 'UNMARKED' END AS counted_as
+              FROM marks WHERE NOT (contest_title = 'Board' AND candidate_name = 'Candidate 4')
+              UNION ALL SELECT image_id, contest_title, 'Candidate 9', CASE WHEN marked THEN 'VOTED' ELSE 'UNMARKED' END
+              FROM marks WHERE l_linenumber = 5) JOIN kept USING (image_id)""")
+
 QUERIES = {
     "img1_sample_regions": (samples, plain("SELECT * FROM sampled", _PIXELS)),
+    "img1_sample_images": (sampled_images, plain("SELECT * FROM sampled", _WHOLE_PAGES)),
     "img1_sampled_marks": (sampled_marks, plain("""
         SELECT image_id, box_id,
           CASE WHEN indicator_style <> 'OVAL' THEN zone_dark > 0 ELSE dark_pct >= 8 OR rescued END AS marked,
@@ -274,13 +367,9 @@ QUERIES = {
                CAST(coalesce(nullif(regexp_extract(name, '\\(Rank (\\d+)\\)$', 1), ''), '99') AS INTEGER) AS sort_rank
         FROM (SELECT CASE image_id % 3 WHEN 0 THEN replace(candidate_name, ' (', '(') WHEN 1 THEN replace(candidate_name, 'Rank ', 'Rank  ')
                      ELSE candidate_name END AS name, count(*) AS n FROM meas GROUP BY 1)""")),
-    "src1_read_layouts": (layouts_from_xml, """
-        SELECT CAST(contest_id // 200 + 1 AS INTEGER) AS page_number, contest_id, 'Contest ' || contest_id AS contest_title,
-          'PLURALITY' AS contest_type, CAST(1 AS INTEGER) AS max_votes, CAST(50 AS DOUBLE) AS percent_to_win,
-          contest_id * 10 + n AS candidate_id, p_name || ' ' || n AS candidate_name, false AS write_in, 'OVAL' AS indicator_style,
-          7.5::DOUBLE AS content_width, round((contest_id // 25 % 8) * 1.25::DOUBLE, 3) AS contest_top,
-          round((contest_id // 25 % 8) * 1.25::DOUBLE + n * 0.1875::DOUBLE, 3) AS indicator_top
-        FROM (SELECT p_partkey AS contest_id, p_name, n FROM part, unnest(range(1, p_size % 4 + 2)) AS u(n) WHERE p_partkey % 11 <> 0)"""),
+    "src1_read_layouts": (layouts_from_xml, _LAYOUT_SQL),
+    "src1_layout_pages": (layouts_from_json, _LAYOUT_SQL),
+    "src1_layout_documents": (layouts_from_documents, _LAYOUT_SQL),
     "src2_resolve_layout": (resolved_layouts, with_scans("""
         SELECT a.image_id,
           CASE WHEN k.layout_key IS NOT NULL THEN coalesce(e.file_name, k.file_name) ELSE coalesce(p.file_name, o.file_name) END AS layout_file,
@@ -295,14 +384,12 @@ QUERIES = {
         SELECT '/scans/' || CASE WHEN o_orderkey % 5 = 0 THEN 'writein_' ELSE '' END || o_orderkey
                || ['.png', '.PNG', '.jpeg', '.tif.counted', '.bmp', '.txt', '.png.review'][o_orderkey % 7 + 1] AS path
         FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 IN (0, 1, 2, 4)"""),
-    "src5_read_ground_truth": (truth_files, with_marks("""
-        SELECT image_path, array_to_string(string_split(barcode_data, '|')[1:5], '|') AS combo_id, string_split(barcode_data, '|')[2] AS precinct,
-               string_split(barcode_data, '|')[3] AS party, contest, candidate, counted_as
-        FROM (SELECT image_id, contest_title AS contest, candidate_name AS candidate,
-                     CASE WHEN marked AND l_linenumber <> 7 THEN 'VOTED' ELSE 'UNMARKED' END AS counted_as
-              FROM marks WHERE NOT (contest_title = 'Board' AND candidate_name = 'Candidate 4')
-              UNION ALL SELECT image_id, contest_title, 'Candidate 9', CASE WHEN marked THEN 'VOTED' ELSE 'UNMARKED' END
-              FROM marks WHERE l_linenumber = 5) JOIN kept USING (image_id)""")),
+    "src3_listed_folder": (listed_folder, """
+        SELECT DISTINCT 'box=' || o_orderkey % 20 || '/tray=' || o_orderkey % 2 AS folder,
+               ['png', 'PNG', 'jpg', 'tif', 'bmp'][o_orderkey % 7 + 1] AS suffix, true AS some_counted
+        FROM orders WHERE o_orderkey % 7 < 5 AND o_orderkey % 10 <> 7"""),
+    "src5_read_ground_truth": (truth_files, _TRUTH_SQL),
+    "src5_truth_documents": (truth_documents, _TRUTH_SQL),
     "src6_audit_events": (audit_events, with_scans("""
         SELECT strftime(counted_at, '%Y-%m-%d %H:%M:%S') AS event_time, 'SCAN' AS event, 'clerk' AS username,
                image_name || ', "' || barcode_data || '"' AS detail FROM scans""")),

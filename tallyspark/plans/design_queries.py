@@ -14,12 +14,12 @@ from tallyspark.plans.report_queries import on_star
 
 
 def station_totals(spark: SparkSession, d: str) -> DataFrame:
-    return merge.station_totals(election.stations(spark, d))
+    return merge.station_totals(election.station_set(spark, d))
 
 
 def merged_facts(spark: SparkSession, d: str) -> DataFrame:
     """The merged star joined back to names, so that both engines agree without ids."""
-    star = merge.merge_stations(election.stations(spark, d)).star
+    star = merge.merge_stations(election.station_set(spark, d)).star
     return (
         star.vote_opportunity.join(reports.image_names(star, "image_path"), "ballot_image_id")
         .join(reports.contest_names(star), "contest_id")
@@ -30,26 +30,26 @@ def merged_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_appended(spark: SparkSession, d: str) -> DataFrame:
-    star = merge.merge_stations(election.stations(spark, d), "append").star
+    star = merge.merge_stations(election.station_set(spark, d), "append").star
     return reports.votes_by_contest(star).select("contest", "candidate", "voted", "overvoted", "unmarked")
 
 
 def merged_images(spark: SparkSession, d: str) -> DataFrame:
-    star = merge.merge_stations(election.stations(spark, d)).star
+    star = merge.merge_stations(election.station_set(spark, d)).star
     joined = star.ballot_image.join(reports.barcode_keys(star, "raw_data"), "barcode_id", "left")
     return joined.select("id", "image_path", "scribble_flagged", "raw_data")
 
 
 def compare_stations(spark: SparkSession, d: str) -> DataFrame:
-    return merge.compare_stations(election.stations(spark, d))
+    return merge.compare_stations(election.station_set(spark, d))
 
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
-    return merge.export_rows(election.stations(spark, d)).drop("place")
+    return merge.export_rows(election.station_set(spark, d)).drop("place")
 
 
 def merge_log(spark: SparkSession, d: str) -> DataFrame:
-    stations = election.stations(spark, d)
+    stations = election.station_set(spark, d)
     return merge.merge_log(stations, merge.merge_stations(stations))
 
 

@@ -13,8 +13,9 @@ from tallyspark import schema as S
 from tallyspark.functions import text
 from tallyspark.operators import ingest
 from tallyspark.operators.ingest import Star
+from tallyspark.operators.merge import Stations
 from tallyspark.session import new_folder
-from tallyspark.sources.results import load_results, save_results
+from tallyspark.sources.results import load_results, load_stations, save_results, save_station
 
 # The six contests of the view, by index.
 CONTESTS = (
@@ -220,6 +221,20 @@ def stations(spark: SparkSession, sf_dir: str) -> list[tuple[str, Star]]:
     return [("A", _station(star, (0, 1), 0)), ("B", _station(star, (1, 2), 1))]
 
 
+_STATIONS: dict[tuple[str, str], Stations] = {}
+
+
+def station_set(spark: SparkSession, sf_dir: str) -> Stations:
+    """The two stations as each stored its results, read as one set."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATIONS:
+        path = new_folder(spark, "stations")
+        for number, (label, star) in enumerate(stations(spark, sf_dir)):
+            save_station(star, path, number, label)
+        _STATIONS[key] = load_stations(spark, path)
+    return _STATIONS[key]
+
+
 # --- ground truth ------------------------------------------------------------
 
 

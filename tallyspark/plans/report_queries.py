@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import reports, summary, winners
+from tallyspark.operators import ingest, reports, summary, winners
 from tallyspark.operators.ingest import Star
 from tallyspark.plans import election
 from tallyspark.plans.oracle_base import with_marks, with_star
@@ -37,8 +37,8 @@ def on_choices(report: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def vote_summary(spark: SparkSession, d: str) -> DataFrame:
-    marks = election.marks(spark, d)
-    return summary.vote_summary(marks, summary.valid_choices(marks, election.kept_scans(spark, d)))
+    """All marks; those of scans for review fall out with their scans."""
+    return summary.vote_summary(ingest.classify_marks(election.measurements(spark, d)), election.kept_scans(spark, d))
 
 
 def write_in_crops(spark: SparkSession, d: str) -> DataFrame:

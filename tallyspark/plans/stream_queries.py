@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,6 +45,15 @@ def _in_passes(rows: DataFrame, key: str, path: str, run: Callable[[DataFrame, i
             query.awaitTermination()
 
 
+def _in_shares(rows: DataFrame, path: str, run: Callable[[int], bool]) -> None:
+    """Let a table arrive in fixed shares, by image id, until ``run`` says that it is over."""
+    staged = stage(rows, "arrivals")
+    for number in range(1, PASSES + 1):
+        feeds.append_rows(staged.filter(F.col("image_id") % PASSES == number - 1), path)
+        if not run(number):
+            return
+
+
 def _feed_rows(spark: SparkSession, d: str) -> DataFrame:
     return feeds.flatten(election.scans(spark, d), election.measurements(spark, d))
 
@@ -100,6 +110,42 @@ def final_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return streams.read_snapshots(spark, out).filter("snapshot = 'final'").drop("snapshot")
 
 
+SNAPSHOT_EVERY = 500
+
+
+def every_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """All snapshots: at multiples of 500 images, after each pass, and the final one."""
+    out, folder = new_folder(spark, "stream"), new_folder(spark, "feed")
+
+    def run(number: int) -> bool:
+        streams.snapshot_every(feeds.read_feed(spark, folder), out, f"{out}/_checkpoint", SNAPSHOT_EVERY, number)
+        return True
+
+    _in_shares(_feed_rows(spark, d), folder, run)
+    return streams.read_snapshots(spark, out)
+
+
+REVIEW_LIMIT = 8
+
+
+def stopped_review(spark: SparkSession, d: str) -> DataFrame:
+    """Scans that wait for review when the limit stops the count; nothing is read after that."""
+    out, folder = new_folder(spark, "stream"), new_folder(spark, "feed")
+
+    def run(_: int) -> bool:
+        query = streams.review_stream(feeds.read_feed(spark, folder), out, f"{out}/_checkpoint", REVIEW_LIMIT)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as stop:
+            if streams.ReviewLimitReached.__name__ not in str(stop):
+                raise
+            return False
+        return True
+
+    _in_shares(_feed_rows(spark, d), folder, run)
+    return read_table(spark, out, "review", streams.REVIEW)
+
+
 def quarantine(spark: SparkSession, d: str) -> DataFrame:
     out = new_folder(spark, "stream")
     _in_passes(_feed_rows(spark, d), "image_id", new_folder(spark, "feed"),
@@ -142,6 +188,26 @@ QUERIES = {
     "str4_snapshot_every": (final_snapshot, with_star("""
         SELECT contest, candidate, contest_type, max_votes, percent_to_win, voted + overvoted AS marked, overvoted,
                voted AS counted, place, winner FROM won""", _CONFIG, _RANKED)),
+    "str4_snapshots": (every_snapshot, with_star("""
+        SELECT snapshot, contest, candidate, contest_type, max_votes, percent_to_win, voted + overvoted AS marked, overvoted,
+               voted AS counted, place, contest_type IN ('PLURALITY', 'MEASURE') AND
+               CASE WHEN max_votes <= 1 THEN place = 1 AND total > 0 AND voted > percent_to_win / 100.0 * total ELSE place <= max_votes END AS winner
+        FROM names JOIN (
+          SELECT *, CAST(row_number() OVER (PARTITION BY pass, contest ORDER BY voted DESC, candidate) AS INTEGER) AS place,
+                 CAST(sum(voted) OVER (PARTITION BY pass, contest) AS DOUBLE) AS total FROM upto JOIN cfg USING (contest)) USING (pass)""",
+        _CONFIG, f"""
+passes AS (SELECT CAST(p AS INTEGER) AS pass, count(*) FILTER (WHERE id % {PASSES} < p) AS n_now, count(*) FILTER (WHERE id % {PASSES} < p - 1) AS n_before
+           FROM bi, range(1, {PASSES + 1}) r(p) GROUP BY p),
+names AS (SELECT pass, 'pass' || pass AS snapshot FROM passes UNION ALL SELECT {PASSES}, 'final'
+          UNION ALL SELECT pass, 'n' || (n_now // {SNAPSHOT_EVERY} * {SNAPSHOT_EVERY}) FROM passes WHERE n_now // {SNAPSHOT_EVERY} > n_before // {SNAPSHOT_EVERY}),
+upto AS (SELECT pass, co.contest_title AS contest, ca.candidate_name AS candidate, count(*) FILTER (WHERE vote_status = 'VOTED') AS voted,
+                count(*) FILTER (WHERE vote_status = 'OVERVOTED') AS overvoted
+         FROM vo JOIN passes ON vo.ballot_image_id % {PASSES} < pass JOIN co ON co.id = vo.contest_id JOIN ca ON ca.id = vo.candidate_id_fk GROUP BY 1, 2, 3)""")),
+    "str5_review_limit": (stopped_review, with_scans(f"""
+        SELECT image_id, image_path, error_message AS reason FROM scans WHERE error_message IS NOT NULL AND image_id % {PASSES} <= (
+          SELECT coalesce(min(pass), {PASSES}) FROM (
+            SELECT r.p AS pass FROM range({PASSES}) r(p), scans WHERE error_message IS NOT NULL AND image_id % {PASSES} <= r.p
+            GROUP BY r.p HAVING count(*) >= {REVIEW_LIMIT}))""")),
     "str5_review_stream": (quarantine, with_scans(
         "SELECT image_id, image_path, error_message AS reason FROM scans WHERE error_message IS NOT NULL")),
     "str6_novel_ink_stream": (streamed_ink, plain("SELECT * FROM novel", _PIXELS, _INK)),

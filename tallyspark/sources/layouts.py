@@ -19,21 +19,27 @@ from tallyspark.session import stage
 _LOG = logging.getLogger(__name__)
 
 # Fixed values.
-FORMATS = {"yaml": r"\.ya?ml$", "xml": r"\.xml$"}
+FORMATS = {"yaml": r"\.ya?ml$", "xml": r"\.xml$", "json": r"\.json$", "jsonl": r"\.json$"}
 CORNER_ORDER = ("TL", "TR", "BR", "BL")
 PAGE_MARK_ORDER = ("PTL", "PTR")
 NUMERIC = ("maxVotes", "percentToWin")   # in YAML these count only when they are numbers
 
 _BOX = "struct<offsetFromLeft:string,offsetFromTop:string,width:string,height:string>"
 _MARKS = "array<struct<corner:string,x:string,y:string>>"
-_SIDE = f"""struct<
-  side_number:string, ballotContentArea:{_BOX}, cornerMarks:{_MARKS}, pageMarks:{_MARKS},
-  barcodeCentre:struct<x:string,y:string>,
-  contests:array<struct<
+_SIDE_FIELDS = {
+    "side_number": "string", "ballotContentArea": _BOX, "cornerMarks": _MARKS, "pageMarks": _MARKS,
+    "barcodeCentre": "struct<x:string,y:string>",
+    "contests": f"""array<struct<
     id:string,title:string,contestType:string,maxVotes:string,percentToWin:string,boundingBox:{_BOX},
     candidates:array<struct<
       id:string,name:string,writeIn:string,
-      indicator:struct<offsetFromLeft:string,offsetFromTop:string,width:string,height:string,indicatorStyle:string>>>>>>"""
+      indicator:struct<offsetFromLeft:string,offsetFromTop:string,width:string,height:string,indicatorStyle:string>>>>>""",
+}
+_SIDE = "struct<" + ",".join(f"{name}:{kind}" for name, kind in _SIDE_FIELDS.items()) + ">"
+# In the JSON form a setting keeps its type, as only numbers count.
+_VARIANTS = ("maxVotes:string,percentToWin:string", "maxVotes:variant,percentToWin:variant")
+_JSON_REPORT = f"unit string, sides array<{_SIDE.replace(*_VARIANTS)}>, " + ", ".join(
+    f"{name} {kind.replace(*_VARIANTS)}" for name, kind in _SIDE_FIELDS.items())
 _XML_MARKS = "struct<mark:array<struct<_corner:string,x:string,y:string>>>"
 _XML_REPORT = f"""_unit string, side array<struct<
   _number:string, ballotContentArea:{_BOX}, cornerMarks:{_XML_MARKS},
@@ -129,6 +135,34 @@ def _xml_sides(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "unit", "side_pos", side.alias("side"))
 
 
+def _json_sides(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Sides of JSON reports, read by the schema: a document per file, or a page per line.
+
+    A document has ``sides``, a page is a side itself.  What is not JSON has neither and
+    gives no rows.
+    """
+    reports = (
+        spark.read.schema(_JSON_REPORT).option("multiLine", multi_line).option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
+        .json(path).withColumn("path", F.col("_metadata.file_path"))
+    )
+    names = tuple(_SIDE_FIELDS)
+    is_page = F.col("contests").isNotNull() | F.col("ballotContentArea").isNotNull()
+    page = F.when(is_page, F.array(F.struct(*names)))
+    rows = reports.select("path", F.coalesce("unit", F.lit("inches")).alias("unit"),
+                          F.posexplode(F.coalesce("sides", page)).alias("side_pos", "x"))
+
+    def number(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        return F.when(~kind.isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "string"))
+
+    def contest(c: Column) -> Column:
+        return c.withField("maxVotes", number(c["maxVotes"])).withField("percentToWin", number(c["percentToWin"]))
+
+    return rows.select("path", "unit", "side_pos", F.struct(
+        *[F.col(f"x.{n}").alias(n) for n in names if n != "contests"],
+        F.transform("x.contests", contest).alias("contests")).alias("side"))
+
+
 def _number(c: Column, unit: Column) -> Column:
     """First token of a text as inches; 0 when it is no number."""
     value = F.coalesce(F.get(F.split(F.trim(c), r"\s+"), 0).try_cast("double"), F.lit(0.0))
@@ -147,12 +181,16 @@ def _marks(marks: Column, order: tuple[str, ...], unit: Column) -> Column:
 def read_layouts(spark: SparkSession, path: str, fmt: str = "yaml") -> DataFrame:
     """One row per indicator of every layout file in a folder.
 
-    Files of the preferred format are read; the other format only when there is
-    none.  Offsets come out in inches whatever unit the file states.
+    Files of the preferred format are read; of ``yaml`` and ``xml`` the other one only when
+    there is none.  ``json`` reads a document per file and ``jsonl`` a page per line, both
+    without Python on the executors.  Offsets come out in inches whatever unit the file states.
     """
-    other = "xml" if fmt == "yaml" else "yaml"
-    used = other if _files(spark, path, fmt).select("path").isEmpty() else fmt
-    sides = _xml_sides(spark, path) if used == "xml" else _yaml_sides(spark, path)
+    if fmt in ("json", "jsonl"):
+        sides = _json_sides(spark, path, multi_line=fmt == "json")
+    else:
+        other = "xml" if fmt == "yaml" else "yaml"
+        used = other if _files(spark, path, fmt).select("path").isEmpty() else fmt
+        sides = _xml_sides(spark, path) if used == "xml" else _yaml_sides(spark, path)
     unit = F.col("unit")
     contests = sides.select("*", F.posexplode_outer("side.contests").alias("contest_pos", "c"))
     boxes = contests.select("*", F.posexplode_outer("c.candidates").alias("candidate_pos", "k"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tallyspark import schema as S
 from tallyspark.operators.ingest import Star
+from tallyspark.operators.merge import Stations
 
 
 def save_results(star: Star, path: str, mode: str = "errorifexists") -> None:
@@ -53,3 +54,26 @@ def save_bucketed(star: Star, prefix: str, buckets: int, mode: str = "errorifexi
 
 def load_bucketed(spark: SparkSession, prefix: str) -> Star:
     return Star(*[spark.table(f"{prefix}{name}") for name in S.RESULT_TABLES])
+
+
+_STATION_NO = T.StructField("station_no", T.IntegerType())
+_LABEL = T.StructType([T.StructField("label", T.StringType())])
+
+
+def save_station(star: Star, root: str, number: int, label: str) -> None:
+    """One station's tables beside those of the others; written again, they are replaced."""
+    rows = star.tables() | {"station": star.contest.sparkSession.createDataFrame([(label,)], _LABEL)}
+    for name, table in rows.items():
+        table.write.mode("overwrite").parquet(f"{root}/{name}/{_STATION_NO.name}={number}")
+
+
+def load_stations(spark: SparkSession, root: str) -> Stations:
+    """All stations below ``root`` as one set; the station is a partition column of every table."""
+    def table(name: str, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(T.StructType([*schema.fields, _STATION_NO])).parquet(f"{root}/{name}")
+
+    # One short row per station; the places of stations that are missing stay empty.
+    found = {r["station_no"]: r["label"] for r in table("station", _LABEL).collect()}
+    labels = tuple(found.get(n, "") for n in range(max(found, default=-1) + 1))
+    tables = {name: table(name, getattr(S, name.upper())) for name in S.RESULT_TABLES}
+    return Stations(Star(**tables), labels)

@@ -32,6 +32,19 @@ def list_scans(spark: SparkSession, root: str) -> DataFrame:
     return keep_scans(_listing(spark, root))
 
 
+def waiting_scans(spark: SparkSession, root: str, counted: DataFrame) -> DataFrame:
+    """Scans of a folder that nobody has counted yet, in path order.
+
+    Left out are those whose path is among ``counted`` (column ``image_path``, as the results
+    store it), and those beside a marker: a file of the same name with the counted suffix.
+    Only names are compared; no image is opened.
+    """
+    files = _listing(spark, root)
+    marked = counted_files(files).select(F.expr(f"left(path, length(path) - {len(COUNTED_SUFFIX)})").alias("path"))
+    known = marked.unionByName(counted.select(F.col("image_path").alias("path")))
+    return keep_scans(files.join(known, "path", "left_anti"))
+
+
 def any_already_counted(spark: SparkSession, root: str) -> bool:
     """Tells a finished folder from one that never held scans."""
     return not counted_files(_listing(spark, root)).isEmpty()

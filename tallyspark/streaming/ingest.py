@@ -10,17 +10,24 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark import schema as S
-from tallyspark.operators import cells, ingest, summary, winners
+from tallyspark.operators import cells, ingest, reports, summary, winners
 from tallyspark.operators.ingest import Star
 from tallyspark.session import discarding, number_rows, stage
 from tallyspark.sources import audit_log
+from tallyspark.streaming import path_index
 from tallyspark.streaming.feed import marks_of, scans_of
 from tallyspark.streaming.store import read_table, write_batch
 
 REVIEW = T.StructType(
     [T.StructField("image_id", T.LongType()), T.StructField("image_path", T.StringType()), T.StructField("reason", T.StringType())]
 )
-_PATH = T.StructType([T.StructField("image_path", T.StringType())])
+SHARE = T.StructType(
+    [
+        T.StructField("contest_id", T.LongType()), T.StructField("candidate_id_fk", T.LongType()),
+        T.StructField("voted", T.LongType()), T.StructField("overvoted", T.LongType()), T.StructField("unmarked", T.LongType()),
+    ]
+)
+_SIZE = T.StructType([T.StructField("images", T.LongType())])
 TALLY = T.StructType(
     [
         T.StructField("contest_title", T.StringType()),
@@ -63,15 +70,15 @@ def _grow(spark: SparkSession, out: str, table: str, schema: T.StructType, found
     return read_table(spark, out, table, schema, before=batch_id + 1)
 
 
-def _kept(batch: DataFrame, batch_id: int, out: str, paths: str) -> tuple[DataFrame, DataFrame]:
+def _kept(batch: DataFrame, batch_id: int, paths: str) -> tuple[DataFrame, DataFrame]:
     """The scans of a batch that count, and those for review.
 
-    A path counts once: later copies in the batch go, and so do paths that an earlier batch
-    wrote to ``paths``.  Only the path column is read for that.
+    A path counts once: later copies in the batch go, and so do paths that the index
+    ``paths`` has from an earlier batch.
     """
     good, review = ingest.split_review(scans_of(batch))
-    stored = read_table(batch.sparkSession, out, paths, _PATH, before=batch_id)
-    return stage(ingest.dedupe_images(good).join(stored, "image_path", "left_anti"), "kept"), review
+    first = stage(ingest.dedupe_images(good), "first")
+    return stage(path_index.new_paths(first, paths, batch_id), "kept"), review
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str,
@@ -83,7 +90,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
     spark = batch.sparkSession
     rows = batch.persist()
     with discarding(spark):
-        kept, review = _kept(rows, batch_id, out, "ballot_image")
+        kept, review = _kept(rows, batch_id, f"{out}/image_path")
         marks = ingest.classify_marks(marks_of(rows), dark_pct_min).join(kept.select("image_id"), "image_id", "left_semi")
 
         barcodes = _grow(spark, out, "barcode", S.BARCODE, ingest.distinct_barcodes(kept), ["raw_data"], batch_id)
@@ -97,6 +104,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str,
         write_batch(ingest.key_facts(settled, contests, candidates), out, "vote_opportunity", batch_id)
         write_batch(review, out, "review", batch_id)
         write_batch(images, out, "ballot_image", batch_id)
+        path_index.add_paths(kept, f"{out}/image_path", batch_id)
     rows.unpersist()
 
 
@@ -152,10 +160,10 @@ def tally_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     spark = batch.sparkSession
     rows = batch.persist()
     with discarding(spark):
-        kept, _ = _kept(rows, batch_id, out, "tally_path")
+        kept, _ = _kept(rows, batch_id, f"{out}/tally_path")
         marks = ingest.classify_marks(marks_of(rows)).join(kept.select("image_id"), "image_id", "left_semi")
         write_batch(summary.session_tallies(marks), out, "tally", batch_id)
-        write_batch(kept.select("image_path"), out, "tally_path", batch_id)
+        path_index.add_paths(kept, f"{out}/tally_path", batch_id)
     rows.unpersist()
 
 
@@ -171,18 +179,39 @@ def running_tallies(spark: SparkSession, out: str) -> DataFrame:
 
 def snapshot_batch(batch: DataFrame, batch_id: int, out: str, every: int = S.DEFAULT_SNAPSHOT_INTERVAL) -> None:
     """Ingest, then write the results report when the image count passed a multiple of
-    ``every``.  The snapshot is named after that multiple, so a replay replaces it."""
+    ``every``.  The snapshot is named after that multiple, so a replay replaces it.
+
+    Every batch leaves its own counts per contest and candidate, and its number of images.
+    A report adds those up; neither facts nor images of earlier batches are read again.
+    """
     spark = batch.sparkSession
     ingest_batch(batch, batch_id, out)
-    seen = read_table(spark, out, "ballot_image", S.BALLOT_IMAGE, before=batch_id).count()
-    now = read_table(spark, out, "ballot_image", S.BALLOT_IMAGE, before=batch_id + 1).count()
+    facts = _of_batch(spark, out, "vote_opportunity", S.VOTE_OPPORTUNITY, batch_id)
+    write_batch(reports.count_by_keys(facts, "contest_id", "candidate_id_fk"), out, "share", batch_id)
+    images = _of_batch(spark, out, "ballot_image", S.BALLOT_IMAGE, batch_id)
+    write_batch(images.agg(F.count("*").alias("images")), out, "size", batch_id)
+    seen, now = (
+        read_table(spark, out, "size", _SIZE, before=upto).agg(F.coalesce(F.sum("images"), F.lit(0)).alias("n")).first()["n"]
+        for upto in (batch_id, batch_id + 1)
+    )
     if every > 0 and now // every > seen // every:
         write_snapshot(spark, out, f"n{now // every * every}", before=batch_id + 1)
 
 
+def _of_batch(spark: SparkSession, out: str, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The rows that one batch wrote."""
+    return spark.read.schema(schema).parquet(f"{out}/{table}/batch_id={batch_id}")
+
+
+def shares_report(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The results report from the batches' counts."""
+    shares = read_table(spark, out, "share", SHARE, before)
+    counts = shares.groupBy("contest_id", "candidate_id_fk").agg(*[F.sum(c).alias(c) for c in ("voted", "overvoted", "unmarked")])
+    return winners.report_of_counts(stored_star(spark, out, before), counts)
+
+
 def write_snapshot(spark: SparkSession, out: str, name: str, before: int | None = None) -> None:
-    report = winners.results_report(stored_star(spark, out, before))
-    report.write.mode("overwrite").parquet(f"{out}/snapshots/snapshot={name}")
+    shares_report(spark, out, before).write.mode("overwrite").parquet(f"{out}/snapshots/snapshot={name}")
 
 
 def snapshot_every(feed: DataFrame, out: str, checkpoint: str, every: int = S.DEFAULT_SNAPSHOT_INTERVAL, pass_number: int = 1) -> None:
@@ -230,6 +259,11 @@ _FIRST = T.StructType(
         T.StructField("seq", T.LongType()), T.StructField("image_id", T.LongType()),
     ]
 )
+#: Folders of the ink tables, by barcode; a batch reads those of its own barcodes.
+INK_BUCKETS = 64
+_BUCKET = T.StructField("bucket", T.IntegerType())
+_STORED_FIRST = T.StructType([*_FIRST.fields, _BUCKET])
+_NEAR = T.StructType([*_FIRST.fields[:3], _BUCKET])
 _SEED = T.StructType([T.StructField("barcode", T.StringType()), T.StructField("seed_seq", T.LongType())])
 
 
@@ -237,10 +271,11 @@ def ink_batch(batch: DataFrame, batch_id: int, out: str, boxes: DataFrame, warp_
               dilation_in: float = cells.DILATION_IN, pad_in: float = cells.INDICATOR_PAD_IN) -> None:
     """Stray ink of a batch of pixels against all earlier ones.
 
-    What is remembered is the first ballot per position, kept as a table of additions:
-    its size is that of the printed pages.  It is joined, not held per barcode in one
-    task, so a barcode may have any share of the ballots.  Scans arrive in scan
-    order, and every page has at least one pixel row.
+    What is remembered is the first ballot per position, and the positions near any ink so
+    far, both kept as tables of additions: their size is that of the printed pages.  Only
+    positions that this batch is the first to darken are dilated.  The tables are joined,
+    not held per barcode in one task, so a barcode may have any share of the ballots.
+    Scans arrive in scan order, and every page has at least one pixel row.
     """
     spark = batch.sparkSession
     pixels = batch.persist()
@@ -251,27 +286,36 @@ def ink_batch(batch: DataFrame, batch_id: int, out: str, boxes: DataFrame, warp_
 
 def _ink_batch(spark: SparkSession, pixels: DataFrame, batch_id: int, out: str, boxes: DataFrame, warp_dpi: int,
                dilation_in: float, pad_in: float) -> None:
-    known = read_table(spark, out, "first_dark", _FIRST, before=batch_id)
+    place = ["barcode", "x", "y"]
+    bucket = F.pmod(F.xxhash64("barcode"), F.lit(INK_BUCKETS)).cast("int").alias("bucket")
+    touched = [r["bucket"] for r in pixels.select(bucket).distinct().collect()]
+
+    def stored(table: str, schema: T.StructType) -> DataFrame:
+        return read_table(spark, out, table, schema, before=batch_id).filter(F.col("bucket").isin(touched)).select(*place)
+
     seeds = read_table(spark, out, "seed", _SEED, before=batch_id)
     new_seeds = pixels.groupBy("barcode").agg(F.min("seq").alias("seed_seq")).join(seeds, "barcode", "left_anti")
     write_batch(new_seeds, out, "seed", batch_id)
-    found = cells.first_dark(cells.dark_mask(pixels)).join(known, ["barcode", "x", "y"], "left_anti")
-    write_batch(found.select(*_FIRST.fieldNames()), out, "first_dark", batch_id)
 
-    touched = pixels.select("barcode").distinct()
-    so_far = read_table(spark, out, "first_dark", _FIRST, before=batch_id + 1).join(touched, "barcode", "left_semi")
+    first = cells.first_dark(cells.dark_mask(pixels))
+    frontier = stage(first.join(stored("first_dark", _STORED_FIRST), place, "left_anti"), "frontier")
+    write_batch(frontier.select(*_FIRST.fieldNames(), bucket), out, "first_dark", batch_id, ("bucket",))
+
     radius = int(dilation_in * warp_dpi + 0.5)
+    near = stored("near", _NEAR)
     mask = stage(cells.masked_positions(boxes, warp_dpi, pad_in), "mask")
-    new_images = pixels.select("image_id").distinct()
+    # Ink of earlier batches lies in ``near``; of this batch, on the frontier itself.
     novel = (
-        cells.novel_positions(so_far, radius)
-        .join(new_images, "image_id", "left_semi")
-        .join(mask, ["barcode", "x", "y"], "left_anti")
+        cells.novel_positions(frontier, radius)
+        .join(near, place, "left_anti")
+        .join(mask, place, "left_anti")
         .join(read_table(spark, out, "seed", _SEED, before=batch_id + 1), "barcode")
         .filter(F.col("seq") > F.col("seed_seq"))
         .select(*_FIRST.fieldNames())
     )
     write_batch(novel, out, "novel", batch_id)
+    grown = cells.dilated(frontier, radius).join(near, place, "left_anti")
+    write_batch(grown.select(*place, bucket), out, "near", batch_id, ("bucket",))
 
 
 def novel_ink_stream(pixels: DataFrame, out: str, checkpoint: str, boxes: DataFrame, warp_dpi: int,

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/{table}/batch_id={batch_id}")
+def write_batch(df: DataFrame, root: str, table: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
+    """A batch's rows, in folders of the columns ``by`` where a reader can leave some out."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{root}/{table}/batch_id={batch_id}")
 
 
 def read_table(spark: SparkSession, root: str, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
