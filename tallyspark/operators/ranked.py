@@ -145,11 +145,11 @@ def irv_rounds(ballots: DataFrame, tie_rule: str = "eliminate_last") -> DataFram
         standing, history, number = lists, None, 0
         while True:
             number += 1
-            counts = stage(_count_round(standing, number, tie_rule).coalesce(1), "round")
+            counts = stage(_count_round(standing, number, tie_rule), "round")
             history = counts if history is None else history.unionByName(counts)
             undecided = counts.filter(F.col("outcome").isNull()).select("contest_id").distinct()
             if undecided.isEmpty():
-                return stage(history.coalesce(1), "history", keep=True)
+                return stage(history, "history", keep=True)
             gone = (
                 history.filter("fate = 'eliminated'").join(undecided, "contest_id", "left_semi")
                 .groupBy("contest_id").agg(F.collect_list("candidate").alias("gone"))

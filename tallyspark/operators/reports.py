@@ -152,14 +152,30 @@ def marked_write_ins(star: Star) -> DataFrame:
     )
 
 
-def contest_dashboard(star: Star) -> DataFrame:
+def contest_parts(facts: DataFrame) -> DataFrame:
+    """Counts per contest, and which images it is on, as bitmaps of 32768 image ids each.
+
+    Parts of several batches add up (``add_parts``), also where batches share images.
+    """
+    image = "ballot_image_id"
+    return facts.groupBy("contest_id", F.bitmap_bucket_number(image).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(image)).alias("images"),
+        *[F.count_if(_has(s)).alias(n) for n, s in _COUNTS.items()])
+
+
+def add_parts(parts: DataFrame) -> DataFrame:
+    """Parts of any number of batches as those of one."""
+    return parts.groupBy("contest_id", "bucket").agg(F.bitmap_or_agg("images").alias("images"), *_sums(*_COUNTS))
+
+
+def contest_dashboard(star: Star, parts: DataFrame | None = None) -> DataFrame:
     """Counts and distinct ballots per contest.
 
-    Title and type are the contest's key, so the distinct count can run on the id:
-    one partial aggregate per (contest, image), then a count of what is left.
+    Title and type are the contest's key, so the distinct count can run on the id.  Images
+    are marked in bitmaps before anything moves, so no row per contest and image does.
     """
-    per_ballot = count_by_keys(star.vote_opportunity, "contest_id", "ballot_image_id")
-    totals = per_ballot.groupBy("contest_id").agg(F.count("*").alias("ballots"), *_sums(*_COUNTS))
+    parts = contest_parts(star.vote_opportunity) if parts is None else parts
+    totals = parts.groupBy("contest_id").agg(F.sum(F.bitmap_count("images")).alias("ballots"), *_sums(*_COUNTS))
     return totals.join(contest_names(star, "contest_type"), "contest_id").select(
         "contest", "contest_type", "ballots", *_COUNTS
     )
@@ -196,12 +212,13 @@ def headline_totals(star: Star) -> DataFrame:
     from_images = star.ballot_image.agg(
         F.count("*").alias("ballot_images"), F.count_if(F.col("scribble_flagged")).alias("flagged_images")
     )
-    votes = star.vote_opportunity.agg(F.count_if(_has("VOTED")).alias("votes_cast"))
-    overvoted = (
-        star.vote_opportunity.filter(_has("OVERVOTED")).select("ballot_image_id").distinct()
-        .agg(F.count("*").alias("overvoted_images"))
+    image = "ballot_image_id"
+    per_bucket = star.vote_opportunity.groupBy(F.bitmap_bucket_number(image).alias("bucket")).agg(
+        F.count_if(_has("VOTED")).alias("votes_cast"),
+        F.bitmap_count(F.bitmap_construct_agg(F.when(_has("OVERVOTED"), F.bitmap_bit_position(image)))).alias("overvoted_images"),
     )
-    pieces = votes.unionByName(from_images, allowMissingColumns=True).unionByName(overvoted, allowMissingColumns=True)
+    from_facts = per_bucket.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("votes_cast", "overvoted_images")])
+    pieces = from_facts.unionByName(from_images, allowMissingColumns=True)
     return pieces.agg(*_sums("votes_cast", "ballot_images", "overvoted_images", "flagged_images"))
 
 

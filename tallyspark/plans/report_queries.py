@@ -115,15 +115,27 @@ picked AS MATERIALIZED (
   FROM icr i JOIN marks m ON m.image_id = i.image_id AND m.contest_no = i.contest_id
   WHERE m.marked AND NOT i.overvoted
 ),
-listed AS (
-  SELECT image_id, contest_id, list(candidate ORDER BY seq) AS marked FROM picked GROUP BY image_id, contest_id
-),
 set_aside AS (
   SELECT m.contest_title, m.candidate_name AS candidate, count(*) AS overvotes
   FROM marks m JOIN icr i ON i.image_id = m.image_id AND i.contest_id = m.contest_no
   WHERE m.marked AND i.overvoted GROUP BY 1, 2
 )"""
 
+# What an image says in a contest, from one aggregate of its marks.
+_GATHERED = """
+said AS (
+  SELECT image_id, contest_no AS contest_id, arg_min(contest_title, seq) AS contest_title,
+    arg_min(contest_type, seq) AS contest_type, arg_min(max_votes, seq) AS max_votes, arg_min(percent_to_win, seq) AS percent_to_win,
+    list(candidate_name ORDER BY seq) FILTER (WHERE marked) AS marked
+  FROM marks GROUP BY image_id, contest_no
+),
+gathered AS (
+  SELECT s.*, f.image_id IS NOT NULL AS overvoted, k.image_name,
+    coalesce(string_split(k.barcode_data, '|')[3], '0') AS party_id, coalesce(string_split(k.barcode_data, '|')[2], '0') AS region_id
+  FROM said s JOIN kept k ON k.image_id = s.image_id
+  LEFT JOIN fptp_bad f ON f.image_id = s.image_id AND f.contest_no = s.contest_id
+)"""
+
 QUERIES = {
     "agg1_votes_by_contest": (on_star(reports.votes_by_contest), with_star(f"""
         SELECT contest, candidate, voted, overvoted, unmarked,
@@ -184,8 +196,8 @@ QUERIES = {
                      count(*) AS ballots_checked FROM marks GROUP BY 1, 2)
         LEFT JOIN set_aside USING (contest_title, candidate)""", _ICR)),
     "agg16_valid_choices": (valid_choices, with_marks("""
-        SELECT i.*, coalesce(array_to_string(l.marked, '|'), '') AS names
-        FROM icr i LEFT JOIN listed l ON l.image_id = i.image_id AND l.contest_id = i.contest_id""", _ICR)),
+        SELECT image_id, contest_id, contest_title, contest_type, max_votes, percent_to_win, overvoted, image_name, party_id, region_id,
+               CASE WHEN overvoted THEN '' ELSE coalesce(array_to_string(marked, '|'), '') END AS names FROM gathered""", _GATHERED)),
     "agg17_summary_totals": (on_choices(totals_with_overvotes), with_marks("""
         SELECT contest_id, contest_title, candidate, votes, overvoted_ballots
         FROM (SELECT contest_id, contest_title, candidate, count(*) AS votes FROM picked GROUP BY 1, 2, 3)
@@ -196,10 +208,9 @@ QUERIES = {
         "SELECT contest_id, contest_title, region_id, candidate, count(*) AS votes FROM picked GROUP BY 1, 2, 3, 4", _ICR)),
     "agg20_overvoted_choices": (on_marks(summary.overvoted_choices), with_marks("SELECT * FROM set_aside", _ICR)),
     "agg21_image_detail": (on_choices(summary.image_detail), with_marks("""
-        SELECT i.contest_id, i.image_id, CASE WHEN overvoted THEN image_name || ' [OVERVOTE]'
-          ELSE image_name || ' (party=' || party_id || ' region=' || region_id || '): ' || array_to_string(l.marked, ', ') END AS line
-        FROM icr i LEFT JOIN listed l ON l.image_id = i.image_id AND l.contest_id = i.contest_id
-        WHERE overvoted OR l.marked IS NOT NULL""", _ICR)),
+        SELECT contest_id, image_id, CASE WHEN overvoted THEN image_name || ' [OVERVOTE]'
+          ELSE image_name || ' (party=' || party_id || ' region=' || region_id || '): ' || array_to_string(marked, ', ') END AS line
+        FROM gathered WHERE overvoted OR len(marked) > 0""", _GATHERED)),
     "agg22_vote_summary": (vote_summary, with_marks("""
         SELECT contest_title, 'totalVotes' AS section, '' AS section_key, candidate, count(*) AS votes FROM picked GROUP BY 1, 4
         UNION ALL SELECT contest_title, 'overvotedChoices', '', candidate, overvotes FROM set_aside
