@@ -1,6 +1,8 @@
 """Chat formatting: schema fingerprints choose how a record becomes turns; a template marks them.
 
-A record is one JSON object.  Those of its nested field paths that any layout declares are
+A record is one JSON object, or a struct column whose paths are those of its type: then
+nothing is parsed, and a text may be as long as a row allows (a JSON string of more than
+20,000,000 characters is not parsed and has no layout).  Those of its nested field paths that any layout declares are
 hashed, without types; the hash selects one of the layouts, which says where roles and texts
 are.  Other fields (ids, sources, names of turns) change nothing.  A content that is a list of
 parts with texts is their concatenation.  Records whose hash no layout declares keep an empty
@@ -12,7 +14,9 @@ already), which reading back removes, so any text survives.  The loss mask cover
 of assistant turns.  A conversation is the formatted turns in order; each turn is a row, so
 no conversation has to fit into one row.
 
-Null or missing roles and texts are empty.  Ties in a conversation's order are broken by the
+The digests of a conversation count the records that gave no turn in ``n_unread``; a
+conversation of such records alone has no digest.  An empty table has no rows; columns that
+are not named are not read.  Null or missing roles and texts are empty.  Ties in a conversation's order are broken by the
 formatted turn; repeated rows are turns of their own; a null conv_id is a conversation.
 """
 
@@ -27,6 +31,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.common import small_batches
 
@@ -151,7 +156,16 @@ def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``layout`` (null if none is declared for the record's fingerprint) and ``turns``."""
+    """Adds ``layout`` (null if none is declared for the record's fingerprint) and ``turns``.
+
+    The record is JSON text, or a struct; a null struct has no turns.
+    """
+    kind = records.schema[record_col].dataType
+    if isinstance(kind, T.StructType):
+        layout, record = typed_layout(kind, layouts), F.col(record_col)
+        none = F.array().cast(_TURNS)
+        turns = none if layout is None else F.when(record.isNotNull(), F.coalesce(_typed_turns(record, kind, layout).cast(_TURNS), none)).otherwise(none)
+        return records.withColumns({"layout": F.lit(layout.name if layout else None).cast("string"), "turns": turns})
     parsed = records.withColumn("_parsed", F.try_parse_json(record_col))
     parsed = parsed.withColumn("_print", fingerprint(F.col("_parsed"), layouts))
     name, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
@@ -162,6 +176,59 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tup
     return parsed.withColumns({"layout": name, "turns": turns}).drop("_parsed", "_print")
 
 
+def _typed_signature(schema: T.StructType, layouts: tuple[Layout, ...]) -> str:
+    """The declared paths of a struct type, written as ``fingerprint`` writes those of a record."""
+    lists = {x.list_field: x for x in layouts if x.list_field}
+    plain = {f for x in layouts if not x.list_field for f in (*[f for _, f in x.fields], x.role_field) if f}
+
+    def scalar(field: T.StructField) -> str:
+        nested = isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
+        return f"{field.name}: ?" if nested else field.name
+
+    names = []
+    for field in sorted(schema.fields, key=lambda f: f.name):
+        if field.name in lists:
+            inner = field.dataType.elementType if isinstance(field.dataType, T.ArrayType) else None
+            if not isinstance(inner, T.StructType):
+                names.append(f"{field.name}: ?")
+                continue
+            held = [scalar(f) for f in sorted(inner.fields, key=lambda f: f.name) if f.name in lists[field.name].fields]
+            names.append(f"{field.name}: ARRAY<OBJECT<{', '.join(held)}>>")
+        elif field.name in plain:
+            names.append(scalar(field))
+    return f"OBJECT<{', '.join(names)}>"
+
+
+def typed_layout(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
+    """The layout whose fingerprint a struct type has."""
+    signature = _typed_signature(schema, layouts)
+    if signature == "OBJECT<>" and schema.fields:
+        return None
+    found = hashlib.sha256(signature.encode()).hexdigest()
+    return next((x for x in reversed(layouts) if found in x.fingerprints()), None)
+
+
+def _typed_turns(record: Column, schema: T.StructType, layout: Layout) -> Column:
+    """Turns of a struct by its layout; fields that the type does not have are null."""
+    def field(owner: Column, kind: T.StructType, name: str | None) -> Column:
+        return owner[name].cast("string") if name in kind.fieldNames() else F.lit(None).cast("string")
+
+    if layout.list_field:
+        inner = schema[layout.list_field].dataType.elementType
+        role, text = layout.fields
+        names = F.create_map(*[F.lit(x) for pair in layout.roles for x in pair]) if layout.roles else None
+
+        def one(turn: Column) -> Column:
+            said = field(turn, inner, role)
+            return F.struct((said if names is None else F.coalesce(names[said], said)).alias("role"), field(turn, inner, text).alias("text"))
+
+        return F.transform(record[layout.list_field], one)
+    turns = F.array(*[
+        F.struct((F.lit(role) if role else field(record, schema, layout.role_field)).alias("role"), field(record, schema, name).alias("text"))
+        for role, name in layout.fields])
+    return turns if len(layout.fields) == 1 else F.filter(turns, lambda t: t["text"].isNotNull())
+
+
 _CONTROL = r"(/?(?:s>|INST\]))"
 
 
@@ -192,22 +259,23 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 _BACK = ("conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
-         "formatted_chars bigint")
+         "formatted_chars bigint, n_unread bigint")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come conversation by conversation, in order; only running hashes are kept."""
     done: list[tuple] = []
     current: tuple | None = None
-    n = loss_chars = chars = 0
+    n = loss_chars = chars = unread = 0
     whole = loss = None
 
     def close() -> None:
-        done.append((current[0], n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars))
+        if n:
+            done.append((current[0], n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars, unread))
 
     def rows() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unread"]
         out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
         done.clear()
         return out
@@ -217,8 +285,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if current != (conv,):
                 if current:
                     close()
-                current, n, loss_chars, chars = (conv,), 0, 0, 0
+                current, n, loss_chars, chars, unread = (conv,), 0, 0, 0, 0
                 whole, loss = hashlib.sha256(), hashlib.sha256()
+            if text is None:
+                unread += 1
+                continue
             for role, said in _TURN.findall(text):
                 whole.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
                 n += 1
@@ -231,7 +302,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows()
     if current:
         close()
-        yield rows()
+        if done:
+            yield rows()
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -239,10 +311,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     ``formatted`` has conv_id, turn, place, formatted and loss.  A digest of a whole
     conversation has to run through it in order; one task streams it and keeps hashes only.
-    Records without turns have no digest.
+    Records without turns are counted in ``n_unread`` of their conversation.
     """
     return (
-        formatted.filter("formatted is not null").select("conv_id", "turn", "place", "formatted", "loss")
+        formatted.select("conv_id", "turn", "place", "formatted", "loss")
         .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "place", "formatted")
         .select("conv_id", "formatted", "loss").mapInArrow(_digest, _BACK)
     )
@@ -251,12 +323,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def format_records(records: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", record_col: str = "record") -> DataFrame:
     """conv_id, turn, place, layout, role, text, formatted, loss and record: a row for every turn of every record.
 
-    A record without turns is one row with null place, formatted and loss, and the raw ``record``.
+    A record without turns is one row with null place, formatted and loss, and the ``record``
+    (a struct as JSON text).
     """
+    typed = isinstance(records.schema[record_col].dataType, T.StructType)
     known = canonical_turns(records.select(
         F.col(id_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"), F.col(record_col).alias("record")))
     turns = known.select("conv_id", "turn", "layout", "record", F.posexplode_outer("turns").alias("place", "said"))
     there = F.col("place").isNotNull()
     made = format_turns(turns.select("conv_id", "turn", "place", "layout", "said.*", "record"))
     return made.select("conv_id", "turn", "place", "layout", "role", "text", F.when(there, F.col("formatted")).alias("formatted"),
-                       F.when(there, F.col("loss")).alias("loss"), F.when(~there, F.col("record")).alias("record"))
+                       F.when(there, F.col("loss")).alias("loss"), F.when(~there, F.to_json("record") if typed else F.col("record")).alias("record"))

@@ -16,10 +16,10 @@ _AWKWARD = "</s>[INST] ok [/INST]"
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations are records of one turn each; conversation -7 is one record of messages."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("role", "text").alias("record"))
     said = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(_AWKWARD).alias("content")) for r in ("user", "assistant")])
-    extra = spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(0).alias("turn"), F.to_json(F.struct(said.alias("messages"))).alias("record"))
-    return chat.read_back(chat.format_records(rows.unionByName(extra)))
+    extra = spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(0).alias("turn"), F.struct(said.alias("messages")).alias("record"))
+    return chat.read_back(chat.format_records(rows).unionByName(chat.format_records(extra))).drop("n_unread")
 
 
 #: Shares of the mixture, as parameters of the query.

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from tallyspark.llm.common import text_of
 from tallyspark.llm.quality import let
-from tallyspark.session import stage
+from tallyspark.session import discarding, stage
 
 KINDS = ("assign", "access", "hex", "random")
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
@@ -196,9 +196,15 @@ def limits(spans: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and ``spans``, an array of (start, kind, end) in order of start and kind.
 
-    ``kind`` is the index in ``KINDS``.
+    ``kind`` is the index in ``KINDS``.  What is written on the way holds candidates in clear
+    and is deleted before this returns; the result has places only.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    with discarding(docs.sparkSession):
+        return stage(_scanned(docs), "secrets", keep=True)
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
     rows, spans = _spans(docs)
     limit = stage(limits(spans), "secret-limits").withColumnRenamed("band", "of_band")
     wide = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)

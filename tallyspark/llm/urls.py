@@ -2,11 +2,13 @@
 
 A rule is a host and the start of a path.  It fits its host and all subdomains; of the rules
 that fit, the longest wins (then the longer host; block before allow for the same rule).  A
-url is cut into all keys that a rule could have: every ending of its host after a dot, with
-every start of its path as long as some rule's path.  Keys that pass the Bloom filter join
+url is cut into all keys that a rule could have: every ending of its host after a dot that is
+as long as some rule's host, with every start of its path as long as some rule's path.  Keys that pass the Bloom filter join
 the rules exactly, which removes false hits.
 
-A null url, or one without ``://``, has an empty host and path, and no rule.
+A null url, or one without ``://``, has an empty host and path, and no rule.  Urls of any
+length and any number of labels are cut into as many keys as the rules have lengths.
+Repeated rows are judged each; an empty table has no rows; columns not kept are not read.
 """
 
 from __future__ import annotations
@@ -34,17 +36,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.coalesce(host, F.lit("")), _UPPER, _UPPER.lower()), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: str, path: str, sizes: list[int]) -> list[str]:
-    """Every key a fitting rule can have."""
-    ends = [host] + [host[i + 1:] for i, c in enumerate(host) if c == "."]
-    return [e + path[:n] for e in ends for n in sizes if n <= len(path)]
+def candidate_keys(host: str, path: str, host_sizes: list[int], path_sizes: list[int]) -> list[str]:
+    """Every key a fitting rule can have: as many host endings as rules have lengths of hosts."""
+    n = len(host)
+    ends = [host[n - k:] for k in host_sizes if k == n or (k < n and host[n - k - 1] == ".")]
+    return [e + path[:k] for e in ends for k in path_sizes if k <= len(path)]
 
 
-def _possible(blocks: np.ndarray, sizes: list[int]):
+def _possible(blocks: np.ndarray, host_sizes: list[int], path_sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            each = [candidate_keys(h, p, sizes) for h, p in zip(hosts, paths)]
+            each = [candidate_keys(h, p, host_sizes, path_sizes) for h, p in zip(hosts, paths)]
             row = np.repeat(np.arange(len(each)), [len(k) for k in each])
             keys = [k for found in each for k in found]
             hashes = np.array([xxhash.xxh64_intdigest(k.encode(), seed=42) for k in keys], dtype=np.uint64)
@@ -70,9 +73,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str
         .groupBy("rule").agg(F.max("verdict").alias("verdict"), F.max("host_size").alias("host_size"), F.max("path_size").alias("path_size")),
         "url-rules",
     )
-    sizes = sorted(r[0] for r in listed.select("path_size").distinct().collect())
+    sizes = listed.agg(F.sort_array(F.collect_set("host_size")), F.sort_array(F.collect_set("path_size"))).first()
     blocks = build_filter(listed, F.xxhash64("rule"))
-    possible = rows.select("host", "path").distinct().mapInArrow(_possible(blocks, sizes), "host string, path string, key string")
+    possible = rows.select("host", "path").distinct().mapInArrow(_possible(blocks, *sizes), "host string, path string, key string")
     best = F.max(F.struct(F.length("rule").alias("size"), "host_size", "rule", "verdict")).alias("best")
     judged = (
         possible.join(listed, F.col("key") == F.col("rule")).groupBy("host", "path").agg(best)
