@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,8 @@ from tallyspark.session import stage
 SHINGLE_WORDS, LIKENESS_PERCENT = 5, 80
 MIX_FRACTION, MIX_EPOCHS, MIX_SEED = 0.8, 2, 17
 WINDOW, END_ID = 1024, 0
+#: Rows without an id are numbered from here on; ids are below it.
+_ABOVE_IDS = 1 << 62
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,20 +49,26 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Of rows that share a doc_id, one stays.  Of rows without a doc_id, one per text stays.
+    Rows without a doc_id are linked like all others, under a number from their text above
+    every id, so a copy with an id is preferred.  Of rows that share an id or that number,
+    one stays.
     """
-    linked = near_dup.link_documents(docs, SHINGLE_WORDS, LIKENESS_PERCENT)
-    known = linked.filter("doc_id is not null")
-    gone = known.filter("not kept").select("doc_id").distinct()
-    several = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    def numbered(part: DataFrame, number: Column) -> DataFrame:
+        return part.select(F.struct(*docs.columns).alias("row"), "text", number.alias("number"))
+
+    above = F.lit(_ABOVE_IDS) + F.xxhash64("text").bitwiseAND(F.lit(_ABOVE_IDS - 1))
+    unnamed = stage(numbered(docs.filter("doc_id is null"), above), "unnamed")
+    rows = numbered(docs.filter("doc_id is not null"), F.col("doc_id").cast("bigint")).unionByName(unnamed)
+    linked = near_dup.link_documents(rows, SHINGLE_WORDS, LIKENESS_PERCENT, id_col="number").withColumnRenamed("doc_id", "number")
+    gone = linked.filter("not kept").select("number").distinct()
+    several = linked.groupBy("number").agg(F.count("*").alias("n")).filter("n > 1").select("number")
     apart = stage(gone.unionByName(several).distinct(), "apart")
-    # Most documents are kept and occur once; only the others are looked at by id.
-    once = docs.filter("doc_id is not null").join(sent(apart), "doc_id", "left_anti").select(docs.columns)
-    again = stage(several.join(gone, "doc_id", "left_anti"), "again")
-    repeated = docs.filter("doc_id is not null").join(sent(again), "doc_id", "left_semi").select(docs.columns)
-    rows = repeated.unionByName(docs.filter("doc_id is null")).select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    single = rows.select("row", F.row_number().over(same).alias("copy")).filter("copy = 1").select("row.*")
+    # Most documents are kept and occur once; only the others are looked at by number.
+    once = rows.join(sent(apart), "number", "left_anti").select("row.*")
+    again = stage(several.join(gone, "number", "left_anti"), "again")
+    repeated = rows.join(sent(again), "number", "left_semi")
+    same = Window.partitionBy("number").orderBy(F.xxhash64("text"))
+    single = repeated.select("row", F.row_number().over(same).alias("copy")).filter("copy = 1").select("row.*")
     return once.unionByName(single)
 
 
