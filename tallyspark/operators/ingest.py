@@ -303,35 +303,28 @@ def overvotes_ranked(marks: DataFrame) -> DataFrame:
     return ballots.select("image_id", "contest_id", F.explode("bad_ranks").alias("bad_rank"))
 
 
-def overvote_flags(marks: DataFrame) -> DataFrame:
-    """Per image, only where something is wrong: the overvoted contests and ranks.
+def assign_vote_status(marks: DataFrame) -> DataFrame:
+    """Adds ``vote_status``; an unmarked box stays UNMARKED whatever the contest.
 
-    Reduced to image grain, so that attaching the flags costs the wide marks one
-    shuffle on the image key.
+    Overvotes are settled by windows whose keys all begin with the image, so the marks move
+    once, or not at all where they already lie by image.
     """
-    several = contest_ballots(marks, _RULES).filter("marks > 1")
-    ballots = several.withColumns({"whole": too_many_marked(), "bad_ranks": _doubled_ranks()})
-    bad = ballots.filter(F.col("whole") | (F.size("bad_ranks") > 0))
-    return bad.groupBy("image_id").agg(
-        F.collect_list(F.struct("contest_id", "whole", "bad_ranks")).alias("overvotes")
-    )
-
-
-def _status(marked: Column, contest: Column, name: Column, overvotes: Column) -> Column:
-    rank = text.rank_of(F.coalesce(name, F.lit("")))
-    hit = F.exists(
-        F.coalesce(overvotes, F.lit([]).cast("array<struct<contest_id:bigint,whole:boolean,bad_ranks:array<int>>>")),
-        lambda o: (o.contest_id == contest)
-        & (o.whole | F.coalesce((rank > 0) & F.array_contains(o.bad_ranks, rank), F.lit(False))),
+    marked = F.col("marked")
+    rows = marks.withColumns({"_contest": contest_key(), "_rank": text.rank_of(F.coalesce("candidate_name", F.lit("")))})
+    contest = Window.partitionBy("image_id", "_contest")
+    kind = F.coalesce("contest_type", F.lit(S.DEFAULT_CONTEST_TYPE)).alias("contest_type")
+    rows = rows.select(
+        "*",
+        F.min(F.struct("seq", kind, "max_votes")).over(contest).alias("_first"),
+        F.size(F.collect_set(F.when(marked, F.coalesce("candidate_id", F.lit(-1)))).over(contest)).alias("_chosen"),
+        F.count_if(marked).over(Window.partitionBy("image_id", "_contest", "_rank")).alias("_same_rank"),
     )
-    return F.when(marked & hit, "OVERVOTED").when(marked, "VOTED").otherwise("UNMARKED")
-
-
-def assign_vote_status(marks: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """Adds ``vote_status``; an unmarked box stays UNMARKED whatever the contest."""
-    flags = overvote_flags(marks) if flags is None else flags
-    status = _status(F.col("marked"), contest_key(), F.col("candidate_name"), F.col("overvotes"))
-    return marks.join(flags, "image_id", "left").withColumn("vote_status", status).drop("overvotes")
+    limit = F.when(F.col("_first.max_votes") > 0, F.col("_first.max_votes")).otherwise(S.DEFAULT_MAX_VOTES)
+    whole = F.col("_first.contest_type").isin(*SINGLE_MARK_TYPES) & (F.col("_chosen") > limit)
+    doubled = (F.col("_first.contest_type") == "RANKED_CHOICE") & (F.col("_rank") > 0) & (F.col("_same_rank") > 1)
+    over = whole | F.coalesce(doubled, F.lit(False))
+    status = F.when(marked & over, "OVERVOTED").when(marked, "VOTED").otherwise("UNMARKED")
+    return rows.withColumn("vote_status", status).drop("_contest", "_rank", "_first", "_chosen", "_same_rank")
 
 
 # --- dimensions and facts ----------------------------------------------------
@@ -418,24 +411,12 @@ def build_candidate_dim(marks: DataFrame, contests: DataFrame, variants: DataFra
 def settled_marks(marks: DataFrame, images: DataFrame) -> DataFrame:
     """Marks of kept images with barcode key and vote status, still under their own names.
 
-    Marks meet their image on the image id, and overvotes are settled by windows inside
-    that partitioning: the wide marks are read once and moved once.
+    Marks meet their image on the image id, and overvotes are settled inside that
+    partitioning: the wide marks are read once and moved once.
     """
     keys = images.select(F.col("id").alias("image_id"), "barcode_id")
-    marked = F.col("marked")
-    named = _named(marks.withColumn("contest_key", contest_key()).withColumn(
-        "rank", text.rank_of(F.coalesce("candidate_name", F.lit("")))).join(keys, "image_id"))
-    contest = Window.partitionBy("image_id", "contest_key")
-    first = F.min(F.struct("seq", "contest_type", "max_votes")).over(contest)
-    same_rank = F.count_if(marked).over(Window.partitionBy("image_id", "contest_key", "rank"))
-    candidates = F.collect_set(F.when(marked, F.coalesce("candidate_id", F.lit(-1)))).over(contest)
-    settled = named.select("*", first.alias("first"), candidates.alias("chosen"), same_rank.alias("same_rank"))
-    limit = F.when(F.col("first.max_votes") > 0, F.col("first.max_votes")).otherwise(S.DEFAULT_MAX_VOTES)
-    whole = F.col("first.contest_type").isin(*SINGLE_MARK_TYPES) & (F.size("chosen") > limit)
-    doubled = (F.col("first.contest_type") == "RANKED_CHOICE") & (F.col("rank") > 0) & (F.col("same_rank") > 1)
-    over = whole | F.coalesce(doubled, F.lit(False))
-    status = F.when(marked & over, "OVERVOTED").when(marked, "VOTED").otherwise("UNMARKED")
-    return settled.withColumn("vote_status", status).select(
+    settled = assign_vote_status(_named(marks).join(keys, "image_id"))
+    return settled.select(
         "image_id", "seq", "contest_title", "contest_type", "candidate_name", "max_votes", "percent_to_win", "candidate_id",
         "write_in", "barcode_id", *_MEASURED, "vote_status")
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
-from tallyspark.operators import ingest
+from tallyspark.operators import ingest, reports
 from tallyspark.plans import election
-from tallyspark.plans.oracle_base import plain, with_marks, with_scans, with_star
+from tallyspark.plans.oracle_base import plain, with_marks, with_rough, with_scans, with_star
 
 
 def barcode_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +80,32 @@ def image_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def rough_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of badly scanned ballots under their names: repeated paths, missing ids, disputed settings."""
+    star = election.rough_results(spark, d)
+    return (
+        star.vote_opportunity.join(reports.image_names(star, "image_path"), "ballot_image_id")
+        .join(reports.contest_names(star, "contest_type"), "contest_id").join(reports.candidate_names(star), "candidate_id_fk")
+        .join(reports.barcode_keys(star, "raw_data"), "barcode_id")
+        .select("ballot_image_id", "image_path", "raw_data", "contest", "contest_type", "candidate", "dark_pct", "vote_status")
+    )
+
+
+def rough_contests(spark: SparkSession, d: str) -> DataFrame:
+    return election.rough_results(spark, d).contest
+
+
+def rough_candidates(spark: SparkSession, d: str) -> DataFrame:
+    star = election.rough_results(spark, d)
+    return star.candidate.join(reports.contest_names(star), "contest_id").select(
+        "contest", "candidate_name", "ballot_candidate_id", "write_in")
+
+
+def rough_images(spark: SparkSession, d: str) -> DataFrame:
+    star = election.rough_results(spark, d)
+    return star.ballot_image.join(reports.barcode_keys(star, "raw_data"), "barcode_id").select("id", "image_path", "raw_data")
+
+
 def review(spark: SparkSession, d: str) -> DataFrame:
     return ingest.split_review(election.scans(spark, d))[1]
 
@@ -175,6 +201,18 @@ QUERIES = {
         SELECT id, image_path, image_name, counted_at, dpi, page_number, warp_dpi,
                CAST(1500 AS INTEGER) AS canonical_width, CAST(2000 AS INTEGER) AS canonical_height,
                scribble_flagged, scribble_pixels, barcode_id FROM bi""")),
+    "ing10_rough_facts": (rough_facts, with_rough("""
+        SELECT image_id AS ballot_image_id, image_path, raw_data, contest_title AS contest, contest_type, candidate_name AS candidate, dark_pct, vote_status
+        FROM r_settled JOIN r_kept USING (image_id)""")),
+    "ing10_rough_images": (rough_images, with_rough("SELECT image_id AS id, image_path, raw_data FROM r_kept")),
+    "ing8_rough_contests": (rough_contests, with_rough("""
+        SELECT row_number() OVER (ORDER BY contest_title, contest_type) AS id, * FROM (
+          SELECT contest_title, contest_type, arg_min(max_votes, (image_id, seq)) AS max_votes, arg_min(percent_to_win, (image_id, seq)) AS percent_to_win
+          FROM r_marks GROUP BY 1, 2)""")),
+    "ing9_rough_candidates": (rough_candidates, with_rough("""
+        SELECT contest, candidate_name, said.candidate_no AS ballot_candidate_id, said.write_in AS write_in FROM (
+          SELECT contest_title AS contest, candidate_name, arg_min({'candidate_no': candidate_no, 'write_in': write_in}, (image_id, seq)) AS said
+          FROM r_marks GROUP BY 1, 2)""")),
     "ing11_split_review": (review, with_scans(
         "SELECT image_id, image_path, error_message AS reason FROM scans WHERE error_message IS NOT NULL")),
     "ing12_indicator_boxes": (boxes, plain(_BOXES_SQL)),

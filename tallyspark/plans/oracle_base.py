@@ -119,6 +119,47 @@ vo AS MATERIALIZED (
 )"""
 
 
+ROUGH = """
+r_scans AS (
+  SELECT * REPLACE ('/scans/r' || CASE WHEN image_id % 10 IN (3, 4) THEN image_id - image_id % 10 ELSE image_id END || '.png' AS image_path,
+                    CASE WHEN image_id % 89 <> 0 THEN barcode_data END AS barcode_data)
+  FROM scans WHERE error_message IS NULL
+),
+r_kept AS MATERIALIZED (
+  SELECT *, coalesce(barcode_data, '') AS raw_data
+  FROM (SELECT *, row_number() OVER (PARTITION BY image_path ORDER BY image_id) AS arrival FROM r_scans) WHERE arrival = 1
+),
+r_marks AS MATERIALIZED (
+  SELECT m.image_id, m.seq, m.contest_title, m.contest_type, m.candidate_name, m.rank_no,
+    CASE WHEN m.image_id % 13 <> 0 THEN contest_no ELSE -1 END AS contest_no,
+    CAST(max_votes + CASE WHEN m.image_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS max_votes,
+    percent_to_win + CASE WHEN m.image_id % 5 = 0 THEN 10 ELSE 0 END AS percent_to_win,
+    CASE WHEN l_linenumber <> 6 THEN candidate_no END AS candidate_no, write_in <> (m.image_id % 19 = 0) AS write_in,
+    raw_pct >= 8 OR (raw_pct >= 5 AND trimmed_pct >= 8) AS marked,
+    CASE WHEN raw_pct >= 5 AND raw_pct < 8 AND trimmed_pct >= 8 THEN trimmed_pct ELSE raw_pct END AS dark_pct
+  FROM meas m JOIN r_kept USING (image_id)
+),
+r_first AS (
+  SELECT image_id, contest_no, arg_min(contest_type, seq) AS first_type, arg_min(max_votes, seq) AS first_max,
+    count(DISTINCT coalesce(candidate_no, -1)) FILTER (WHERE marked) AS chosen
+  FROM r_marks GROUP BY image_id, contest_no
+),
+r_ranks AS (
+  SELECT image_id, contest_no, rank_no, count(*) AS times FROM r_marks WHERE marked AND rank_no > 0 GROUP BY 1, 2, 3
+),
+r_settled AS MATERIALIZED (
+  SELECT m.*, CASE WHEN NOT marked THEN 'UNMARKED'
+    WHEN (first_type IN ('PLURALITY', 'MEASURE') AND chosen > first_max) OR (first_type = 'RANKED_CHOICE' AND coalesce(times, 0) > 1) THEN 'OVERVOTED'
+    ELSE 'VOTED' END AS vote_status
+  FROM r_marks m JOIN r_first f USING (image_id, contest_no)
+  LEFT JOIN r_ranks r ON r.image_id = m.image_id AND r.contest_no = m.contest_no AND r.rank_no = m.rank_no
+)"""
+
+
+def with_rough(body: str, *more: str) -> str:
+    return _with([SCANS, MEASURES, ROUGH, *more], body)
+
+
 def with_scans(body: str, *more: str) -> str:
     return _with([SCANS, *more], body)
 

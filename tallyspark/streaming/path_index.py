@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folders; a batch brings at most so many numbers to the driver.
-PREFIXES = 64
+PREFIXES = 32
 #: Files of a folder are put together every so many batches.
 BATCHES_APART = 8
 
