@@ -3,9 +3,11 @@
 A run of ``K`` code points is an anchor if the smallest hash among its inner runs of ``S``
 code points is its first or its last one.  Whether a run is an anchor depends on that run
 alone, so a passage has the same anchors in every text that holds it.  A fingerprint keeps
-the anchors whose hash is below a power of two, the largest that leaves at most ``KEEP``,
-each with its place.  Two fingerprints are compared at the stricter of their powers: shared
-anchors count as far as they come in the same order in both texts.
+the anchors whose hash is below a power of two, each with its place: the largest power that
+leaves at most ``KEEP``, but never less than one hash in two to the power of ``SPARSEST``.
+So a fingerprint grows with its text, and a passage shared by two long texts is seen at the
+same density as one shared by short ones.  Two fingerprints are compared at the stricter of
+their powers: shared anchors count as far as they come in the same order in both texts.
 
 Null text is empty.  An empty text has no anchors; a text without a closed syncmer has one
 anchor, the whole text.  Rows are ordered by doc_id (null first), then text; repeated rows
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import mix64, order_bounds, small_batches, text_of
 
 S, K, KEEP = 8, 23, 64
+#: Of long texts, one anchor in two to this power is kept: about one for every 64 code points.
+SPARSEST = 3
 _INNER = K - S + 1
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -79,8 +83,8 @@ def sketch(places: np.ndarray, hashes: np.ndarray) -> tuple[int, np.ndarray, np.
     kinds, first = np.unique(hashes, return_index=True)
     level = 0
     if len(kinds) > KEEP:
-        level = 33 - int(kinds[KEEP]).bit_length()
-        first = first[: np.searchsorted(kinds, 1 << (32 - level) if level <= 32 else 0)]
+        level = min(SPARSEST, 33 - int(kinds[KEEP]).bit_length())
+        first = first[: np.searchsorted(kinds, 1 << (32 - level))]
     first = np.sort(first)
     return level, hashes[first], places[first]
 
@@ -96,7 +100,7 @@ def likeness(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np
     """Shared anchors in common order over all anchors of both, at the stricter level; 0 to 1."""
     if not len(a[1]) and not len(b[1]):
         return 1.0
-    limit = 1 << max(0, 32 - max(a[0], b[0]))
+    limit = 1 << (32 - max(a[0], b[0]))
     left = [h for h in a[1].tolist() if h < limit]
     right = [h for h in b[1].tolist() if h < limit]
     place = {h: i for i, h in enumerate(left)}

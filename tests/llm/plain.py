@@ -128,3 +128,66 @@ def by_key(rows, key: str) -> dict:
     for row in rows:
         out[row[key]].append(row)
     return out
+
+
+_MASK = (1 << 64) - 1
+
+
+def _scrambled(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
+def closed_syncmers(text: str, s: int = 8, k: int = 23) -> list[tuple[int, int]]:
+    """(place, hash) of each run of ``k`` whose smallest inner run of ``s`` is its first or last, run by run."""
+    a, b = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+    def paired(value: int, other: int) -> int:
+        both = value * a + other * b & _MASK
+        return both ^ both >> 29
+
+    def inner(run: str) -> int:
+        values = [_scrambled(ord(c) + a & _MASK) for c in run]
+        while len(values) > 1:
+            half = len(values) // 2
+            values = [paired(values[2 * i], values[2 * i + 1]) for i in range(half)]
+        return _scrambled(values[0])
+
+    found = []
+    values = [inner(text[i:i + s]) for i in range(len(text) - s + 1)]
+    for at in range(len(text) - k + 1):
+        parts = values[at:at + k - s + 1]
+        if min(parts) in (parts[0], parts[-1]):
+            mixed = parts[0] * a + _scrambled(parts[s] + b & _MASK) + parts[-1] * b & _MASK
+            found.append((at, _scrambled(mixed) >> 32))
+    if text and not found:
+        found = [(0, int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "big"))]
+    return found
+
+
+def kept_anchors(anchors: list[tuple[int, int]], keep: int = 64, sparsest: int = 3) -> tuple[int, list[tuple[int, int]]]:
+    """Level and anchors below it, each hash at its first place."""
+    first: dict[int, int] = {}
+    for place, value in anchors:
+        first.setdefault(value, place)
+    level = 0
+    while level < sparsest and sum(v < 1 << 32 - level for v in first) > keep:
+        level += 1
+    return level, [(p, v) for v, p in first.items() if v < 1 << 32 - level]
+
+
+def anchor_likeness(a: tuple[int, list], b: tuple[int, list]) -> float:
+    """Longest common subsequence of the anchors at the stricter level, over all of both."""
+    if not a[1] and not b[1]:
+        return 1.0
+    level = max(a[0], b[0])
+    left, right = ([v for _, v in x[1] if v < 1 << 32 - level] for x in (a, b))
+    row = [0] * (len(right) + 1)
+    for x in left:
+        new = [0]
+        for j, y in enumerate(right):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    both = len(left) + len(right) - row[-1]
+    return row[-1] / both if both else 0.0

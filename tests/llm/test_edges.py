@@ -293,6 +293,19 @@ def test_syncmers(docs, size):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("words", [200, 2_000, 20_000])
+def test_fingerprints_see_shared_passages_at_any_length(words):
+    """The share of a passage is read from fingerprints within a few hundredths, also in long texts."""
+    passage = prose(words // 4, 71)
+    texts = [passage + " " + prose(words, 72), prose(words, 73) + " " + passage]
+    found = syncmers.anchors(texts)
+    small = syncmers.likeness(*[syncmers.sketch(*a) for a in found])
+    whole = syncmers.likeness(*[(0, *(x[i] for x in (h, p))) for (p, h) in found for i in [np.sort(np.unique(h, return_index=True)[1])]])
+    assert abs(small - whole) < 0.06 and small > 0
+    longest = max(syncmers.sketch(*a)[1].size for a in found)
+    assert longest >= min(64, len(texts[0]) // 16) / 2 and longest >= len(texts[0]) / 100 or words == 200
+
+
 def test_anchors_do_not_depend_on_context():
     passage = prose(60, 7)
     texts = [passage, "before it " + passage + " after", LONG[:5000] + passage + LONG[5000:9000]]

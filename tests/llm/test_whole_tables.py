@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyspark.llm import near_dup, packing, syncmers
+from tallyspark.llm import near_dup, packing
 from tallyspark.llm.queries import QUERIES
 from tallyspark.llm.tokens import default_path
 from tests.compare import connect, difference
@@ -98,19 +98,26 @@ def test_secrets(spark, sf_dir, docs):
 
 
 def test_syncmers(spark, sf_dir, docs):
+    """Fingerprints and likeness from runs looked at one by one, and a common subsequence."""
     rows = sorted(QUERIES["op9_syncmers"][0](spark, sf_dir).collect(), key=lambda r: r["doc_id"])
     texts = [t for _, t in docs]
-    for i, row in enumerate(rows):
-        following = texts[(i + 1) % len(texts)]
-        half = len(texts[i]) // 2
-        edited = texts[i][: len(texts[i]) - half] + following[:half]
-        assert row["n_chars"] == len(texts[i])
+    following = texts[1:] + texts[:1]
+    assert len(rows) == len(texts)
+    compared = 0
+    for row, text, after in zip(rows, texts, following):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert row["n_chars"] == len(text)
         assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        prints = [syncmers.sketch(*a) for a in syncmers.anchors([texts[i], edited, following])]
-        assert row["fingerprint"] == syncmers.as_text(*prints[0])
-        assert row["edited_fingerprint"] == syncmers.as_text(*prints[1])
-        assert row["near_edited"] == syncmers.likeness(prints[0], prints[1])
-        assert row["near_next"] == syncmers.likeness(prints[0], prints[2])
+        if len(text) + len(after) > 8000:
+            continue
+        compared += 1
+        mine, changed, others = (plain.kept_anchors(plain.closed_syncmers(t)) for t in (text, edited, after))
+        assert row["fingerprint"] == f"{mine[0]:02x}" + "".join(f"{v:08x}{p:08x}" for p, v in mine[1])
+        assert row["edited_fingerprint"] == f"{changed[0]:02x}" + "".join(f"{v:08x}{p:08x}" for p, v in changed[1])
+        assert row["near_edited"] == plain.anchor_likeness(mine, changed)
+        assert row["near_next"] == plain.anchor_likeness(mine, others)
+    assert compared > len(texts) / 2
 
 
 def test_pipeline_stages(spark, sf_dir):
