@@ -4,17 +4,23 @@ The budget of all goes down the tree.  A node shares its budget among its childr
 weights; a child never gets more than its texts hold in ``max_epochs`` passes, and what it
 cannot use goes to its siblings by their weights.  Only what a whole node cannot use reaches
 the siblings of the node.  A leaf takes whole epochs and then a prefix of the next one, in
-an order given by the seed: texts follow each other as long as the budget holds their words.
+an order given by the seed: texts follow each other as long as the budget holds their size.
+
+A text's size is its number of words unless ``size`` says otherwise; the query and the
+pipeline count token ids (``tokens.id_counts``).  A size that is costly is computed once for
+every text and again only for texts of the buckets in which a budget ends.
 
 A leaf may hold any share of all rows: the prefix is found from the sums of hashed buckets,
-and only the one bucket per leaf in which the budget ends is sorted.  Only built-in
-expressions are used.  Null text has no words; null languages and sources are children of
-their own; texts with the same doc_id are ordered by their size.
+and only the one bucket per leaf in which the budget ends is sorted.  Apart from ``size``,
+only built-in expressions are used.  Null text is empty; texts of size 0 are taken in every
+epoch at no cost.  Null languages and sources are children of their own; texts with the same
+doc_id are ordered by their size.  An empty table gives no rows.  ``row`` keeps extra columns
+apart, so they may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +32,10 @@ from tallyspark.session import discarding, stage
 _LEAF = ["domain", "lang", "source"]
 
 
+def count_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def weight_of(value: Column, weights: Mapping[str, float]) -> Column:
     """Weight of a child by its name; a name without one has weight 1."""
     out = F.lit(1.0)
@@ -57,9 +67,9 @@ def share(children: DataFrame, parent: list[str]) -> DataFrame:
 
 def budgets(leaves: DataFrame, total: Column, max_epochs: int, domain_weights: Mapping[str, float],
             lang_weights: Mapping[str, float], source_weights: Mapping[str, float]) -> DataFrame:
-    """Per leaf: words it holds, whole epochs and the words of the last, partial epoch.
+    """Per leaf: the size it holds, whole epochs and the size of the last, partial epoch.
 
-    ``leaves`` has domain, lang, source and words.
+    ``leaves`` has domain, lang, source and words (the size).
     """
     caps = leaves.withColumn("capacity", (F.col("words") * max_epochs).cast("double"))
     top = caps.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
@@ -87,30 +97,31 @@ def budgets(leaves: DataFrame, total: Column, max_epochs: int, domain_weights: M
 def mix(docs: DataFrame, keep: list[str], domain: Column, *, fraction: float = 0.5, max_epochs: int = 3, seed: int = 17,
         domain_weights: Mapping[str, float], lang_weights: Mapping[str, float] | None = None,
         source_weights: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``row`` (a struct of the columns ``keep``), domain, lang, source, words and epoch of every text taken.
+        lang_col: str = "lang", source_col: str = "source", size: Callable[[Column], Column] = count_words) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``), domain, lang, source, words (its size) and epoch of every text taken.
 
-    The budget is ``fraction`` of all words.  A text taken in several epochs has a row each.
+    The budget is ``fraction`` of the sizes of all texts; ``size`` is applied to the text, null
+    read as empty.  A text taken in several epochs has a row each.
     """
-    words = F.coalesce(F.regexp_count(text_of(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     read = docs.select(F.struct(*keep).alias("row"), domain.alias("domain"), F.col(lang_col).alias("lang"),
-                       F.col(source_col).alias("source"), F.col(id_col).alias("id"), words.alias("words"))
+                       F.col(source_col).alias("source"), F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     with discarding(docs.sparkSession):
-        counted = stage(read.drop("row"), "counted-words")
+        counted = stage(read.select(*_LEAF, "id", size(F.col("body")).alias("words")), "counted-sizes")
         leaves = stage(counted.groupBy(*_LEAF).agg(F.sum("words").alias("words")), "leaves")
         total = leaves.agg(F.floor(F.sum("words") * fraction)).first()[0] or 0
         plan = stage(
             budgets(leaves, F.lit(total), max_epochs, domain_weights, lang_weights or {}, source_weights or {}), "budgets")
         plan = stage(_with_edges(counted, plan, seed), "edges", keep=True)
     placed = _placed(read, plan, seed)
-    edge = placed.filter("bucket = edge")
+    edge = placed.filter("bucket = edge").withColumn("words", size(F.col("body"))).drop("body")
     running = F.sum("words").over(
         Window.partitionBy(*_LEAF, "bucket").orderBy("place", "id", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = edge.withColumn("taken", F.col("before") + running <= F.col("rest"))
     rest = placed.filter("edge is null or bucket <> edge").withColumn("taken", F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))
-    every = rest.unionByName(edge).withColumn("passes", F.col("epochs") + F.col("taken").cast("int"))
+    passes = F.col("epochs") + F.col("taken").cast("int")
+    rest = rest.withColumn("passes", passes).filter("passes > 0").withColumn("words", size(F.col("body"))).drop("body")
     return (
-        every.filter("passes > 0")
+        rest.unionByName(edge.withColumn("passes", passes).filter("passes > 0"))
         .select("row", *_LEAF, "words", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)).alias("epoch"))
     )
 
@@ -127,7 +138,7 @@ def _placed(read: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 
 def _with_edges(counted: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Adds to each leaf's plan the bucket in which its budget ends and the words before it.
+    """Adds to each leaf's plan the bucket in which its budget ends and the size before it.
 
     Buckets before the edge are taken whole, those after it not at all; without an edge,
     the budget holds every bucket.

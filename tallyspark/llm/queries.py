@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import chat, fill_middle, lang_id, line_dedup, mixing, near_dup, packing, prefix_trie, quality, reference_sql, secret_scan, syncmers, token_files, urls
-from tallyspark.llm.common import table
-from tallyspark.llm.tokens import default_path
+from tallyspark.llm.common import table, text_of
+from tallyspark.llm.tokens import default_path, id_counts
 from tallyspark.session import discarding, stage
 
 
@@ -34,10 +34,14 @@ def domain_of(source: str = "source"):
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets and prefixes in token ids, which are counted once; the mixture needs no texts after that."""
     docs = table(spark, sf_dir, "documents")
-    taken = mixing.mix(docs, ["doc_id"], domain_of(), fraction=0.5, max_epochs=3, seed=17,
-                       domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS)
-    return taken.select("row.doc_id", "domain", "lang", "source", "words", "epoch")
+    tokens = id_counts(default_path("byte_bpe_50k.json"))
+    with discarding(spark):
+        counted = stage(docs.select("doc_id", "lang", "source", tokens(text_of()).alias("tokens")), "token-counts")
+        taken = mixing.mix(counted, ["doc_id"], domain_of(), fraction=0.5, max_epochs=3, seed=17, domain_weights=DOMAIN_WEIGHTS,
+                           lang_weights=LANG_WEIGHTS, text_col="tokens", size=lambda c: c.cast("bigint"))
+        return stage(taken.select("row.doc_id", "domain", "lang", "source", F.col("words").alias("tokens"), "epoch"), "mixture", keep=True)
 
 
 URL_RULES = (
@@ -122,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": (pipeline, None),
     "op1_chat": (op1_chat, reference_sql.chat(_AWKWARD)),
-    "op2_mixing": (op2_mixing, reference_sql.mixing(0.5, 3, 17, DOMAIN_WEIGHTS, LANG_WEIGHTS)),
+    "op2_mixing": (op2_mixing, None),
     "op3_urls": (op3_urls, reference_sql.urls(URL_RULES)),
     "op4_near_dup": (op4_near_dup, None),
     "op8_secrets": (op8_secrets, None),

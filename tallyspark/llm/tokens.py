@@ -11,9 +11,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import small_batches
 
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -125,3 +131,16 @@ class Encoder:
 def encoder(path: str, caseless: bool) -> Encoder:
     """One encoder per worker process and vocabulary."""
     return Encoder(path, caseless)
+
+
+def id_counts(path: str, caseless: bool = False) -> Callable[[Column], Column]:
+    """Function from a text column (not null) to the number of its ids, with an end id each."""
+
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        found: list[int] = []
+        for part in small_batches([pa.RecordBatch.from_arrays([texts], ["text"])], "text", 4 << 20):
+            found += [len(ids) // 4 + 1 for ids in encoder(path, caseless).encode(part.column("text").to_pylist())]
+        return pa.array(found, pa.int64())
+
+    return count

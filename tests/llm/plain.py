@@ -123,6 +123,34 @@ def water_fill(budget: float, children: list[tuple[float, float]]) -> list[float
     return given
 
 
+def mixture(docs, fraction: float, epochs: int, seed: int, domain_weights: dict, lang_weights: dict) -> set:
+    """(doc_id, epoch) of every text taken; ``docs`` has doc_id, lang, source and size."""
+    leaves: dict = defaultdict(list)
+    for doc, lang, source, size in docs:
+        tail = re.search(r"([0-9]{1,9})$", source or "")
+        leaves[("web", "web", "books", "code")[int(tail[1]) % 4 if tail else 0], lang, source].append((doc, size))
+    given = {(): fraction * sum(size for *_, size in docs) // 1}
+    for depth in (1, 2, 3):
+        for parent in list(given):
+            if len(parent) == depth - 1:
+                children = sorted({leaf[:depth] for leaf in leaves if leaf[:depth - 1] == parent}, key=str)
+                weights = ({}, domain_weights, lang_weights, {})[depth]
+                held = [epochs * sum(size for leaf, texts in leaves.items() if leaf[:depth] == c for _, size in texts) for c in children]
+                given |= zip(children, water_fill(given[parent], [(h, weights.get(c[-1], 1.0)) for h, c in zip(held, children)]))
+    taken = set()
+    for leaf, texts in leaves.items():
+        budget, whole = int(given[leaf] + 1e-6), sum(size for _, size in texts)
+        passes = budget // whole
+        rest = budget - passes * whole
+        taken |= {(doc, e) for doc, _ in texts for e in range(passes)}
+        for doc, size in sorted(texts, key=lambda t: (hashlib.md5(f"{seed}:{passes}:{t[0]}".encode()).hexdigest(), t)):
+            rest -= size
+            if rest < 0:
+                break
+            taken.add((doc, passes))
+    return taken
+
+
 def by_key(rows, key: str) -> dict:
     out = defaultdict(list)
     for row in rows:

@@ -371,6 +371,11 @@ def test_mixing_takes_whole_epochs_and_a_prefix(spark, docs):
     again = mixing.mix(table.repartition(7), ["doc_id"], F.lit("web"), fraction=0.9, max_epochs=2, domain_weights={}, seed=3).collect()
     assert sorted((r["row"]["doc_id"], r["epoch"]) for r in taken) == sorted((r["row"]["doc_id"], r["epoch"]) for r in again)
     assert mixing.mix(docs, ["doc_id"], F.lit(None).cast("string"), domain_weights={}).count() > 0
+    ids = id_counts(default_path("byte_bpe_50k.json"))
+    every = mixing.mix(docs, ["doc_id", "text"], F.lit("web"), fraction=1.0, max_epochs=1, domain_weights={}, size=ids).collect()
+    # Every text has its end id, so none is free; a text without blanks has as many ids as it has.
+    assert len(every) == len(TEXTS) and all(r["words"] >= 1 for r in every)
+    assert all((r["words"] == 1) == (not r["row"]["text"]) for r in every)
 
 
 def test_urls(spark):

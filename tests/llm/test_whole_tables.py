@@ -8,8 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyspark.llm import near_dup, packing
-from tallyspark.llm.queries import QUERIES
+from tallyspark.llm import mixing, near_dup, packing, reference_sql
+from tallyspark.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS, QUERIES, domain_of
 from tallyspark.llm.tokens import default_path
 from tests.compare import connect, difference
 from tests.llm import plain
@@ -77,6 +77,23 @@ def test_token_files(spark, sf_dir, docs):
         at += len(ids)
 
 
+def test_mixing_takes_token_prefixes(spark, sf_dir, con):
+    """Whole tables in token ids: budgets filled level by level, prefixes in the seeded order."""
+    rows = con.execute("SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents").fetchall()
+    sizes = {r[0]: len(i) for r, i in zip(rows, library_ids("byte_bpe_50k.json", [r[3] for r in rows], 0))}
+    taken = QUERIES["op2_mixing"][0](spark, sf_dir).collect()
+    got = {(r["doc_id"], r["epoch"]) for r in taken}
+    assert len(got) == len(taken) and all(r["tokens"] == sizes[r["doc_id"]] for r in taken)
+    assert got == plain.mixture([(r[0], r[1], r[2], sizes[r[0]]) for r in rows], 0.5, 3, 17, DOMAIN_WEIGHTS, LANG_WEIGHTS)
+
+
+def test_mixing_in_words_matches_sql(spark, sf_dir, con):
+    taken = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], domain_of(), fraction=0.5, max_epochs=3,
+                       seed=17, domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS)
+    mine = taken.select("row.doc_id", "domain", "lang", "source", "words", "epoch").toPandas()
+    assert difference(mine, con.execute(reference_sql.mixing(0.5, 3, 17, DOMAIN_WEIGHTS, LANG_WEIGHTS)).df()) is None
+
+
 def test_near_duplicates(spark, sf_dir, docs):
     rows = {r["doc_id"]: r for r in QUERIES["op4_near_dup"][0](spark, sf_dir).collect()}
     found = plain.near_duplicates([t for _, t in docs], 3, 85)
@@ -156,9 +173,8 @@ def test_pipeline_stages(spark, sf_dir):
 
     docs, mixed = step("mixing sources to target weights", docs)
     assert docs.columns == columns and all(r in single for r in mixed)
-    words = sum(len(plain.words_of(r["text"])) for r in single)
-    taken = sum(len(plain.words_of(r["text"])) for r in mixed)
-    assert 0.6 * words < taken <= 0.8 * words
+    every, taken = (sum(map(len, library_ids("byte_bpe_50k.json", [r["text"] for r in x], 0))) for x in (single, mixed))
+    assert 0.6 * every < taken <= 0.8 * every
 
     _, packed = step("packing", docs)
     per_doc = {}
