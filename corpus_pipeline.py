@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tallyspark.llm import line_dedup, mixing, near_dup, packing, quality
 from tallyspark.llm.common import WORD, sent, table
 from tallyspark.llm.queries import DOMAIN_WEIGHTS, LANG_WEIGHTS, domain_of
-from tallyspark.llm.tokens import default_path
+from tallyspark.llm.tokens import default_path, id_counts
 from tallyspark.session import stage
 
 SHINGLE_WORDS, LIKENESS_PERCENT = 5, 80
@@ -73,9 +73,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the budgets of domains, languages and sources take; a row per epoch."""
+    """Documents that the budgets of domains, languages and sources take, in token ids; a row per epoch."""
     taken = mixing.mix(docs, docs.columns, domain_of(), fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS, seed=MIX_SEED,
-                       domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS)
+                       domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS,
+                       size=id_counts(default_path("byte_bpe_50k.json")))
     return taken.select("row.*")
 
 
