@@ -1,16 +1,19 @@
-"""Removal of lines that repeat an earlier line, exactly or up to one word.
+"""Removal of lines that repeat an earlier line, exactly or up to one edit.
 
 Lines are numbered within their text; a line is earlier if its (doc_id, hash of the text,
-number) is smaller.  The unit of an edit is a word between single blanks: one word replaced,
-inserted or left out.  If two lines are one edit apart, the first or the last half of their
-words is untouched, and within the other half again one of its halves.  Lines that share a
-half, and then a quarter, with another line emit all variants with one of the remaining words
-deleted as hashed keys; equal variants join, the pair's edit distance is verified, and the
-later line goes.  Each group of equal variants is compared with its earliest line only, which
+number) is smaller.  The unit of an edit is a word between single blanks in lines of at least
+``min_units`` words, and a code point in all others (short lines, scripts without blanks): one
+unit replaced, inserted or left out.  With five units, one edit leaves at least four fifths of
+a line alike.  If two lines are one edit apart, the first or the last half of their units is
+untouched, and within the other half again one of its halves.  Lines that share a half, and
+then a quarter, with another line emit all variants with one of the remaining units deleted as
+hashed keys; equal variants join, the pair's edit distance is verified, and the later line
+goes.  Each group of equal variants is compared with its earliest line only, which
 decides for the whole group, so no group is paired with itself.
 
-Lines of fewer than ``min_chars`` code points stay; lines of fewer than ``min_words`` words
-are compared exactly only.  Null text is empty and stays null.  Null ids come first.  Rows
+Lines of fewer than ``min_chars`` code points stay; those of fewer than ``min_units`` code
+points are compared exactly only.  A line counted in words and one counted in code points are
+never near each other.  Null text is empty and stays null.  Null ids come first.  Rows
 that repeat wholly are treated alike.  Only built-in expressions are used.
 """
 
@@ -24,7 +27,11 @@ from tallyspark.llm.common import sent, text_of
 from tallyspark.llm.quality import let
 from tallyspark.session import discarding, stage
 
-MIN_CHARS, MIN_WORDS = 20, 8
+MIN_CHARS, MIN_UNITS = 20, 5
+#: Follows every code point that is a unit, and stands for a blank among them; no word ends so.
+_MARK = "\x01"
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     # The hash and the split come before the explode, so that no row carries the whole text.
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
@@ -39,6 +46,19 @@ def _words_in(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def _code_points(line: Column) -> Column:
+    """The line's code points as units between single blanks."""
+    return F.concat(F.array_join(F.split(F.translate(line, " ", _MARK), ""), f"{_MARK} "), F.lit(_MARK))
+
+
+def _in_units(line: Column, min_units: int, then) -> Column:
+    """``then`` of the line written as units between single blanks; null if it has too few."""
+    return (
+        F.when(_words_in(line) >= min_units, then(line))
+        .when(F.length(line) >= min_units, let(_code_points(line), then))
+    )
+
+
 def _part(line: Column, size: Column) -> Column:
     """The first ``size`` words of a line, or the last ones if negative."""
     return F.when(size == 0, F.lit("")).otherwise(F.call_function("substring_index", line, F.lit(" "), size))
@@ -147,7 +167,7 @@ def _shared(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(key).agg(F.min("at").alias("a"), F.max("at").alias("b")).filter("a < b").select(key)
 
 
-def _near_repeats(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
+def _near_repeats(docs: DataFrame, first: DataFrame, min_chars: int, min_units: int) -> DataFrame:
     """First places of the lines that are one edit away from an earlier line."""
     halves = first.select("at", F.explode("halves").alias("half"))
     flagged = halves.join(_shared(halves, "half"), "half", "left_semi").select("at").distinct()
@@ -158,7 +178,7 @@ def _near_repeats(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFram
         .join(sent(flagged.select(*[F.col(c).alias(f"of_{c}") for c in same])),
               F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("text_hash") == F.col("of_text_hash"))
               & (F.col("number") == F.col("of_number")), "left_semi")
-        .select(F.struct(*same).alias("at"), "line"), "near-texts").dropDuplicates(["at"])
+        .select(F.struct(*same).alias("at"), _in_units(F.col("line"), min_units, lambda u: u).alias("line")), "near-texts").dropDuplicates(["at"])
     quarters = stage(texts.select("at", F.explode(_quarters(F.col("line"))).alias("q")).select("at", "q.*"), "quarters")
     ranges = (
         quarters.join(_shared(quarters, "key"), "key", "left_semi")
@@ -183,17 +203,19 @@ def _near_repeats(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFram
     return checked.filter(_one_edit(F.split("line", " ", -1), F.split("by_line", " ", -1))).select("at").distinct()
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_units: int = MIN_UNITS) -> DataFrame:
     """Lines to remove: doc_id, text_hash and the array of their numbers, for texts that have any.
 
     ``docs`` has doc_id and text (not null).
     """
-    halves = F.when(_words_in(F.col("line")) >= min_words, _half_keys(F.col("line")))
+    if min_units < 2:
+        raise ValueError("a line must keep a unit beside the edited one")
+    halves = _in_units(F.col("line"), min_units, _half_keys)
     at = F.struct("doc_id", "text_hash", "number")
     light = stage(_lines(docs, min_chars).select(at.alias("at"), "h", "h2", halves.alias("halves")), "lines")
     first = stage(
         light.groupBy("h", "h2").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.first("halves").alias("halves")), "first-lines")
-    near = _near_repeats(docs, first, min_chars).withColumn("near", F.lit(True))
+    near = _near_repeats(docs, first, min_chars, min_units).withColumn("near", F.lit(True))
     decided = stage(
         first.select("h", "h2", "at", "last").join(near, "at", "left")
         .filter(F.coalesce("near", F.lit(False)) | (F.col("at") < F.col("last")))
@@ -206,11 +228,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int =
 
 
 def dedup_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text",
-                min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+                min_chars: int = MIN_CHARS, min_units: int = MIN_UNITS) -> DataFrame:
     """``row`` (a struct of the columns ``keep``), the cleaned text, n_lines and n_removed."""
     read = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     with discarding(docs.sparkSession):
-        gone = stage(repeated_lines(read, min_chars, min_words), "removed", keep=True)
+        gone = stage(repeated_lines(read, min_chars, min_units), "removed", keep=True)
     gone = gone.select(
         F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "removed")
     rows = docs.select(
@@ -229,7 +251,7 @@ def dedup_lines(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_c
 
 
 def cleaned_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-                  min_words: int = MIN_WORDS) -> DataFrame:
+                  min_units: int = MIN_UNITS) -> DataFrame:
     """doc_id, the text without repeated lines, its lines before, and how many went."""
-    done = dedup_lines(docs, [id_col], id_col, text_col, min_chars, min_words)
+    done = dedup_lines(docs, [id_col], id_col, text_col, min_chars, min_units)
     return done.select(F.col("row")[id_col].alias("doc_id"), "text", "n_lines", "n_removed")

@@ -121,9 +121,11 @@ WITH lines AS (
   FROM documents
 ), numbered AS (SELECT *, doc_id * 1000000 + number AS spot FROM lines),
 firsts AS (SELECT line, min(spot) AS spot FROM numbered WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY line),
-words AS (
-  SELECT spot, string_split(line, ' ') AS w, list_reverse(string_split(line, ' ')) AS v, len(string_split(line, ' ')) AS n
-  FROM firsts WHERE len(string_split(line, ' ')) >= {line_dedup.MIN_WORDS}
+units AS (
+  SELECT spot, CASE WHEN len(string_split(line, ' ')) >= {line_dedup.MIN_UNITS} THEN string_split(line, ' ')
+    ELSE list_transform(string_split(replace(line, ' ', chr(1)), ''), lambda c: c || chr(1)) END AS w
+  FROM firsts
+), words AS (SELECT spot, w, list_reverse(w) AS v, len(w) AS n FROM units WHERE len(w) >= {line_dedup.MIN_UNITS}
 ), halves AS (SELECT DISTINCT spot, n, {half} AS half FROM words),
 pairs AS (
   SELECT DISTINCT x.spot AS later, y.spot AS earlier FROM halves x JOIN halves y ON x.half = y.half

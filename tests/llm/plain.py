@@ -57,17 +57,23 @@ def one_word_apart(a: list[str], b: list[str]) -> bool:
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
 
 
-def without_repeated_lines(texts: list[str], min_chars: int = 20, min_words: int = 8) -> list[str]:
+def units_of(line: str, least: int) -> list[tuple[str, str]]:
+    """Words, or code points where there are too few words."""
+    words = line.split(" ")
+    return [("word", w) for w in words] if len(words) >= least else [("point", c) for c in line]
+
+
+def without_repeated_lines(texts: list[str], min_chars: int = 20, min_units: int = 5) -> list[str]:
     """Texts in order, each line compared with every earlier distinct one."""
     first: dict[str, tuple[int, int]] = {}
     for i, text in enumerate(texts):
         for k, line in enumerate(text.split("\n")):
             if len(line) >= min_chars:
                 first.setdefault(line, (i, k))
-    split = [(at, line, line.split(" ")) for line, at in first.items()]
+    split = [(at, line, units_of(line, min_units)) for line, at in first.items()]
     near = {
-        line for at, line, words in split if len(words) >= min_words
-        and any(other < at and len(w) >= min_words and abs(len(w) - len(words)) <= 1 and one_word_apart(w, words)
+        line for at, line, words in split if len(words) >= min_units
+        and any(other < at and len(w) >= min_units and abs(len(w) - len(words)) <= 1 and one_word_apart(w, words)
                 for other, _, w in split)
     }
     return [

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyspark.llm import bloom, chat, line_dedup, mixing, near_dup, packing, quality, secret_scan, syncmers, token_files, urls
 from tallyspark.llm.components import components
-from tallyspark.llm.tokens import default_path
+from tallyspark.llm.tokens import default_path, id_counts
 from tests.llm import plain
 from tests.llm.test_whole_tables import library_ids
 
@@ -277,6 +277,31 @@ def test_secrets_of_a_failing_match_hide_what_they_hold(spark):
         assert [(s["start"], s["kind"], s["end"]) for s in row["spans"] if s["kind"] < 3] == plain.base_spans(texts[row["doc_id"]])
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    """Lines of few words and of scripts without blanks are near at one edit, as compared pair by pair."""
+    rng = random.Random(15)
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60))
+    lines = [
+        "please accept our cookies policy today", "please accept our cookies policy now", "please accept our cookies policy",
+        "please accept cookie policies today", "Internationalisation guidelines", "Internationalization guidelines",
+        "Internationalisation  guidelines", "internationalisation guidelinez", han, han[:30] + "x" + han[31:], han[1:], han + "yz",
+        han[:20] + " " + han[20:], " ".join(han[:25]), han[:25], "a b c d e f g h i j k l m", "abcdefghijklmnopqrstuvwxyz", "😀" * 21,
+        "😀" * 22, " " * 24, " " * 25, "short", "shirt",
+    ]
+    for _ in range(150):
+        line = list(rng.choice(lines))
+        at, kind = rng.randrange(len(line)), rng.randrange(3)
+        line[at:at + (kind != 1)] = [[rng.choice("qé ")], [line[at], "q"], []][kind]
+        lines.append("".join(line))
+    texts = lines + ["\n".join(rng.sample(lines, 5)) for _ in range(20)]
+    for least in (0, line_dedup.MIN_CHARS):
+        rows = line_dedup.cleaned_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), min_chars=least).collect()
+        assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(plain.without_repeated_lines(texts, least)))
+    found = {r["doc_id"]: r["text"] for r in rows}
+    assert found[0] and not found[1] and not found[2] and found[3]
+    assert found[4] and not found[5] and not found[6] and not found[9] and not found[10] and found[11]
+
+
 @pytest.mark.parametrize("size", [1, 4, 1000])
 def test_syncmers(docs, size):
     rows = syncmers.fingerprint_documents(docs, rows_per_slice=size).collect()
